@@ -36,11 +36,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     An empty table gives an empty table.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
-    base = docs.select(
-        *own,
-        F.coalesce("doc_id", F.lit(LAST)).alias("_doc"),
-        F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("_lines"),
-    ).withColumn("_mark", F.xxhash64("text"))
+    base = docs.select(*own, F.coalesce("doc_id", F.lit(LAST)).alias("_doc"), F.xxhash64("text").alias("_mark"))
+    split = F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("_lines")
     keys = F.transform(
         "_lines",
         lambda x: F.when(F.length(line_key(x)) >= min_chars, line_key(x)),
@@ -51,7 +48,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
         F.transform(hashed, lambda h, i: F.struct(i.alias("at"), h.alias("h"))),
         lambda p: p["h"].isNotNull(),
     )
-    lines = base.select("_doc", "_mark", F.explode(places).alias("p")).select(
+    lines = base.select("_doc", "_mark", split).select("_doc", "_mark", F.explode(places).alias("p")).select(
         "_doc", "_mark", F.col("p.at").alias("at"), F.col("p.h.a").alias("a"), F.col("p.h.b").alias("b")
     )
     # Hash a | b stands for the key: 128 bits, so chance equality is out of reach.
@@ -69,7 +66,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     )
     every = F.sequence(F.lit(0), F.size("_lines") - 1)
     stay = F.array_except(every, F.coalesce("_drop", F.array().cast("array<int>")))
-    joined = base.join(drops.hint("shuffle_hash"), ["_doc", "_mark"], "left")
+    joined = base.join(drops.hint("shuffle_hash"), ["_doc", "_mark"], "left").select(*own, "_drop", split)
     joined = joined.withColumn("_mended", F.when(F.col("_drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.col("_lines")[i]), "\n")))
     return joined.select(
         *own,
