@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motorspark.llm import line_dedup
+from motorspark.llm import licenses, line_dedup, media, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_line_dedup": line_dedup.op7_line_dedup}
+    return {
+        "op1_license_scan": licenses.op1_license_scan,
+        "op2_media_columns": media.op2_media_columns,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op8_sharding": sharding.op8_sharding,
+        "op10_simhash": simhash.op10_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
