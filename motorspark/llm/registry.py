@@ -6,18 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motorspark.llm import licenses, line_dedup, media, sharding, simhash
+from motorspark.llm import bpe, langid, licenses, line_dedup, media, packing, sharding, simhash, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": licenses.op1_license_scan,
         "op2_media_columns": media.op2_media_columns,
+        "op3_bpe": bpe.op3_bpe,
+        "op4_topk": topk.op4_topk,
+        "op5_toxicity": toxicity.op5_toxicity,
+        "op6_packing": packing.op6_packing,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_sharding": sharding.op8_sharding,
+        "op9_langid": langid.op9_langid,
         "op10_simhash": simhash.op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.ORACLE}
+    return {"op4_topk": topk.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
