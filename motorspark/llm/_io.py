@@ -6,9 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,6 +54,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def with_columns(df: DataFrame, added: str, make: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+    """``df`` with the columns of the schema ``added``, made batch by batch from its rows.
+
+    Columns of ``df`` with the same names are replaced.
+    """
+    names = [f.name for f in StructType.fromDDL(added).fields]
+    own = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names])
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch)], names=[*batch.schema.names, *names])
+
+    return own.mapInArrow(run, StructType([*own.schema.fields, *StructType.fromDDL(added).fields]))
+
+
 def with_slots(df: DataFrame, group: str, order: list[str], slot: str) -> DataFrame:
     """Number the rows of each ``group`` from 0 without gaps, as column ``slot``.
 

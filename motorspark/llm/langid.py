@@ -12,6 +12,7 @@ above the level calibrated on held-back documents) is rejected.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorspark.llm._io import documents
+from motorspark.llm._io import documents, with_columns
 
 ORDER = 4
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -246,46 +247,48 @@ def train(docs: DataFrame) -> Model | None:
 
 
 def detect(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score and ``rejected`` for every row.
+    """``docs`` with lang_pred, score and ``rejected``, which replace columns of these names.
 
     Null texts and texts without a letter are ``und``, with score 0, and
-    rejected. Equal texts get equal values. An empty table, or no model, gives
-    ``und`` throughout. Columns other than doc_id and text are not read.
+    rejected. Equal texts get equal values. An empty table stays empty; with
+    no model every row is ``und``.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        m = shared.value
-        memory = Memory(len(m.languages) if m else 0)
-        for batch in batches:
-            pred, score, rejected = [], [], []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i in range(0, len(texts), 200):
-                part = texts[i : i + 200]
-                if m is None:
-                    pred += ["und"] * len(part)
-                    score += [0.0] * len(part)
-                    rejected += [True] * len(part)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+
+    def add(batch):
+        m, pred, score, rejected = shared.value, [], [], []
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        for i in range(0, len(texts), 200):
+            part = texts[i : i + 200]
+            if m is None:
+                h, letters = np.zeros((len(part), 1)), np.zeros(len(part), np.int64)
+            else:
+                h, letters = entropies(m, part, _memory(key, shared))
+            for row, n in zip(h, letters, strict=True):
+                if not n:
+                    pred.append("und")
+                    score.append(0.0)
+                    rejected.append(True)
                     continue
-                if len(memory.at) > REMEMBERED:
-                    memory = Memory(len(m.languages))
-                for h, n in zip(*entropies(m, part, memory), strict=True):
-                    if not n:
-                        pred.append("und")
-                        score.append(0.0)
-                        rejected.append(True)
-                        continue
-                    best = int(h.argmin())
-                    odds = np.exp(-(h - h[best]) * min(float(n), 20.0))
-                    pred.append(m.languages[best])
-                    score.append(float(1 / odds.sum()))
-                    rejected.append(bool(n >= REJECT_FROM and h[best] > m.limit[best]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
-                names=["doc_id", "lang_pred", "score", "rejected"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+                best = int(row.argmin())
+                odds = np.exp(-(row - row[best]) * min(float(n), 20.0))
+                pred.append(m.languages[best])
+                score.append(float(1 / odds.sum()))
+                rejected.append(bool(n >= REJECT_FROM and row[best] > m.limit[best]))
+        return [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
+
+    return with_columns(docs, "lang_pred string, score double, rejected boolean", add)
+
+
+_MEMORIES: dict[str, Memory] = {}
+
+
+def _memory(key: str, shared) -> Memory:
+    """One memory for each worker process and model; it starts anew beyond REMEMBERED words."""
+    if key not in _MEMORIES or len(_MEMORIES[key].at) > REMEMBERED:
+        _MEMORIES.clear()
+        _MEMORIES[key] = Memory(len(shared.value.languages))
+    return _MEMORIES[key]
 
 
 def fold(modulus: int):
@@ -296,4 +299,4 @@ def fold(modulus: int):
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs.where(fold(5) != 0))
-    return detect(docs, model).withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    return detect(docs.select("doc_id", "text"), model).withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score", "rejected")

@@ -172,6 +172,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates: the one with the smallest id.
+
+    Rows that repeat an id are one document and share its fate. Of documents
+    without an id, those that are linked to one with an id go.
+    """
+    found = near_duplicates(docs)
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"), F.lit(True).alias("_near"))
+    gone = gone.distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -14,6 +14,7 @@ Everything is trained in numpy, on a bounded sample of labelled rows
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorspark.llm._io import documents
+from motorspark.llm._io import documents, with_columns
 from motorspark.llm.langid import fold
 
 WORD = re.compile(r"\w+")
@@ -306,32 +307,40 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
 
 
 def toxicity(docs: DataFrame, net: Network) -> DataFrame:
-    """doc_id, score and predicted of every row.
+    """``docs`` with the columns ``score`` and ``predicted``, which replace columns of these names.
 
     Null texts and texts without a word have score 0. Equal texts get equal
-    scores. Rows are independent: repeated ids and empty tables need no care,
-    and columns other than doc_id and text are not read.
+    scores. Rows are independent: repeated ids and empty tables need no care.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(net)
-
-    def run(batches):
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            texts, scores, part, size = batch.column(1).to_pylist(), [], [], 0
-            for t in texts:
-                part.append(t or "")
-                size += len(part[-1])
-                if size > 400_000:
-                    scores += scorer.scores(part)
-                    part, size = [], 0
-            if part:
+    shared, key = docs.sparkSession.sparkContext.broadcast(net), uuid.uuid4().hex
+
+    def add(batch):
+        scorer, scores, part, size = _scorer(key, shared), [], [], 0
+        for t in batch.column("text").to_pylist():
+            part.append(t or "")
+            size += len(part[-1])
+            if size > 400_000:
                 scores += scorer.scores(part)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())], names=["doc_id", "score", "predicted"])
+                part, size = [], 0
+        if part:
+            scores += scorer.scores(part)
+        return [pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())]
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return with_columns(docs, "score double, predicted int", add)
+
+
+_SCORERS: dict[str, Scorer] = {}
+
+
+def _scorer(key: str, shared) -> Scorer:
+    """One scorer for each worker process and network, so that its memory outlives a batch."""
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(shared.value)
+    return _SCORERS[key]
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     net = train(docs.where(fold(4) != 2), spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold(4) != 2))
-    return toxicity(docs, net).select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+    return toxicity(docs.select("doc_id", "text"), net).select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
