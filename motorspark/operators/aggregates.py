@@ -33,12 +33,11 @@ def object_sets(rows: DataFrame, columns: Sequence[str], name: str = "object_id"
 
 
 def with_object_id(rows: DataFrame, columns: Sequence[str], name: str = "object_id") -> DataFrame:
-    sets = object_sets(rows, columns, name)
-    on = None
+    sets = object_sets(rows, columns, name).withColumnsRenamed({c: f"_{c}" for c in columns})
+    same = F.lit(True)
     for c in columns:
-        same = rows[c].eqNullSafe(sets[c])
-        on = same if on is None else on & same
-    return rows.join(sets, on, "left").select(*[rows[c] for c in rows.columns], sets[name])
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.drop(name).join(sets, same, "left").drop(*[f"_{c}" for c in columns])
 
 
 def trial_offsets(log: DataFrame, columns: Sequence[str], anchor: str, reward: str = "reward") -> DataFrame:

@@ -6,7 +6,7 @@ in seconds of the day. Hours of a day are its trials. See the README.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TRIAL_S, WINDOW_S = 3600.0, 3000.0
@@ -16,12 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _day_us(ts: str) -> Column:
+    """Microseconds since midnight, whatever the session's time zone."""
+    return (F.hour(ts) * 3600 + F.minute(ts) * 60).cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+
+
 def spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session, unit_id, t."""
     e = table(spark, sf_dir, "events")
     return e.select(
         F.to_date("ts").alias("session"), F.col("event_type").alias("unit_id"),
-        ((F.unix_micros("ts") % F.lit(86_400_000_000)) / 1e6).alias("t"),
+        (_day_us("ts") / 1e6).alias("t"),
     )
 
 
@@ -47,7 +52,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.groupBy(
         F.pmod("user_id", F.lit(20)).alias("session"), F.col("event_type").alias("channel"),
-        ((F.unix_micros("ts") - F.lit(1_704_067_200_000_000)) / 1e6).alias("t"),
+        ((F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) * F.lit(86_400_000_000) + _day_us("ts")) / 1e6).alias("t"),
     ).agg(F.max("value").alias("value"))
 
 
