@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from motorspark.functions.columns import numbered, pearson
 
-N = F.count(F.lit(1))
+
+def _n() -> Column:
+    return F.count(F.lit(1))
 
 
 def sem(value: str) -> Column:
@@ -19,7 +21,7 @@ def sem(value: str) -> Column:
 
 def find_duplicate_trials(log: DataFrame, keys: Sequence[str] = ("session",), trial: str = "trial_num") -> DataFrame:
     """Trial numbers that occur more than once, how often, and the rows of the session."""
-    counts = log.groupBy(*keys, trial).agg(N.alias("n"))
+    counts = log.groupBy(*keys, trial).agg(_n().alias("n"))
     total = F.sum("n").over(Window.partitionBy(*keys))
     return counts.withColumn("total", total).where("n > 1")
 
@@ -129,7 +131,7 @@ def mean_and_sem(values: DataFrame, keys: Sequence[str], value: str = "rate") ->
 def population_rate(spikes: DataFrame, width: float, keys: Sequence[str] = ("session",), unit: str = "unit_id") -> DataFrame:
     """Spikes of all units per bin, over units * width."""
     n = spikes.groupBy(*keys).agg(F.count_distinct(unit).alias("_units"))
-    counts = spikes.groupBy(*keys, F.floor(F.col("t") / width).alias("bin")).agg(N.alias("n"))
+    counts = spikes.groupBy(*keys, F.floor(F.col("t") / width).alias("bin")).agg(_n().alias("n"))
     return counts.join(n, list(keys)).withColumn("rate", F.col("n") / (F.col("_units") * width)).drop("n", "_units")
 
 
@@ -138,7 +140,7 @@ def trial_counts(spikes: DataFrame, windows: DataFrame, keys: Sequence[str] = ("
     from motorspark.operators.pairing import spikes_in_windows
 
     spine = windows.join(spikes.select(*keys, unit).distinct(), list(keys))
-    inside = spikes_in_windows(spikes, windows, keys).groupBy(*keys, unit, trial).agg(N.alias("n"))
+    inside = spikes_in_windows(spikes, windows, keys).groupBy(*keys, unit, trial).agg(_n().alias("n"))
     found = spine.join(inside, [*keys, unit, trial], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return found.withColumn("rate", F.try_divide(F.col("n").cast("double"), F.col("stop") - F.col("start")))
 
@@ -185,11 +187,11 @@ def condition_success_matrix(trials: DataFrame, columns: Sequence[str], force: s
         # A whole number ends one bin and begins the next, and counts in both.
         bins = F.when(F.col(force) == low, F.array(low - 1, low)).otherwise(F.array(low))
         found = found.withColumn(force, F.explode(bins))
-    return found.groupBy(*([force] if force else []), *columns).agg(F.avg(success).alias("success_rate"), N.alias("n"))
+    return found.groupBy(*([force] if force else []), *columns).agg(F.avg(success).alias("success_rate"), _n().alias("n"))
 
 
 def performance_by_date(trials: DataFrame, date: str = "date", success: str = "success") -> DataFrame:
-    total = trials.groupBy(date).agg(N.alias("total"), F.sum(success).alias("correct"))
+    total = trials.groupBy(date).agg(_n().alias("total"), F.sum(success).alias("correct"))
     return total.withColumn("incorrect", F.col("total") - F.col("correct")).withColumn("percent", F.col("correct") * 100.0 / F.col("total"))
 
 
@@ -202,7 +204,7 @@ def cumulative_performance(by_date: DataFrame, date: str = "date", days: int | N
 def timepoint_coverage(timepoints: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("session",)) -> DataFrame:
     """Share of trials in which each timepoint is present."""
     present = lambda c: (F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))).cast("double")
-    return timepoints.groupBy(*keys).agg(*[F.avg(present(c)).alias(f"has_{c}") for c in columns], N.alias("n"))
+    return timepoints.groupBy(*keys).agg(*[F.avg(present(c)).alias(f"has_{c}") for c in columns], _n().alias("n"))
 
 
 def stage_status(manifest: DataFrame, input_time: str = "input_time", output_time: str = "output_time") -> DataFrame:
@@ -213,13 +215,13 @@ def stage_status(manifest: DataFrame, input_time: str = "input_time", output_tim
 
 def processing_status(manifest: DataFrame, keys: Sequence[str] = ("session", "stage")) -> DataFrame:
     count = lambda s: F.count_if(F.col("status") == s).alias(s.lower())
-    return stage_status(manifest).groupBy(*keys).agg(count("NEG"), count("ZER"), count("POS"), count("COR"), N.alias("n"))
+    return stage_status(manifest).groupBy(*keys).agg(count("NEG"), count("ZER"), count("POS"), count("COR"), _n().alias("n"))
 
 
 def encoding_summary(lags: DataFrame, scores: DataFrame, edge: float = 1.0, predictor: str = "predictor") -> DataFrame:
     """Per predictor: median lag without those at the edges, and median adjusted pR2."""
-    inner = lags.where(F.abs("lag") < edge - 1e-9).groupBy(predictor).agg(F.median("lag").alias("median_lag"), N.alias("n_lags"))
-    return inner.join(scores.groupBy(predictor).agg(F.median("adj_pr2").alias("median_adj_pr2"), N.alias("n_units")), predictor, "full")
+    inner = lags.where(F.abs("lag") < edge - 1e-9).groupBy(predictor).agg(F.median("lag").alias("median_lag"), _n().alias("n_lags"))
+    return inner.join(scores.groupBy(predictor).agg(F.median("adj_pr2").alias("median_adj_pr2"), _n().alias("n_units")), predictor, "full")
 
 
 def mode_lag(lags: DataFrame, keys: Sequence[str], lag: str = "lag") -> DataFrame:
@@ -271,7 +273,7 @@ TTL_POINTS = (("ttl", 3), ("sync", 2), ("ap", 1), ("message", -1))
 def ttl_channel_choice(events: DataFrame, keys: Sequence[str] = ("session",), name: str = "stream_name") -> DataFrame:
     """The best channel: most points of its name, then most events, then the first name."""
     points = sum((F.when(F.lower(name).contains(word), p).otherwise(0) for word, p in TTL_POINTS), F.lit(0))
-    counts = events.groupBy(*keys, name).agg(N.alias("n")).withColumn("points", points)
+    counts = events.groupBy(*keys, name).agg(_n().alias("n")).withColumn("points", points)
     w = Window.partitionBy(*keys).orderBy(F.desc("points"), F.desc("n"), name)
     return counts.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
@@ -288,4 +290,4 @@ def validate_design(rows: DataFrame, columns: Sequence[str], keys: Sequence[str]
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     bad = sum((F.count_if(~finite(c)) for c in columns), F.lit(0))
     constant = F.array_compact(F.array(*[F.when(F.stddev_pop(F.when(finite(c), F.col(c))) == 0, c) for c in columns]))
-    return rows.groupBy(*keys).agg(N.alias("n"), bad.alias("not_finite"), constant.alias("constant"))
+    return rows.groupBy(*keys).agg(_n().alias("n"), bad.alias("not_finite"), constant.alias("constant"))
