@@ -148,3 +148,19 @@ def choose_units(units: DataFrame, mode: str, curated: Column, noise: Column, ke
     good = curated if mode == "curated" else ~noise
     any_left = F.max(F.coalesce(good, F.lit(False)).cast("int")).over(Window.partitionBy(*keys))
     return units.withColumn("_any", any_left).where(F.coalesce(good, F.lit(False)) | (F.col("_any") == 0)).drop("_any")
+
+
+def sensor_time_align(traces: DataFrame, keys: Sequence[str] = ("session", "trial"), sensor: str = "sensor", value: str = "force", time: str = "t") -> DataFrame:
+    """Sum of the sensors of a trial on the union of their times within the range common to all."""
+    from motorspark.operators.series import interpolate
+
+    span = traces.groupBy(*keys, sensor).agg(F.min(time).alias("_a"), F.max(time).alias("_b")).groupBy(*keys).agg(F.max("_a").alias("_a"), F.min("_b").alias("_b"))
+    times = traces.select(*keys, time).distinct().join(span, list(keys)).where(F.col(time).between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    grid = times.join(traces.select(*keys, sensor).distinct(), list(keys))
+    return interpolate(grid, traces, [*keys, sensor], value, time).groupBy(*keys, time).agg(F.sum(value).alias(value))
+
+
+def adjustment_trial(trials: DataFrame, keys: Sequence[str] = ("session",), order: str = "trial_pos", flag: str = "adjustment") -> DataFrame:
+    """For each trial the last adjustment trial at or before it, as ``adjustment_pos``; null without one."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return trials.withColumn("adjustment_pos", F.last(F.when(F.col(flag), F.col(order)), ignorenulls=True).over(w))

@@ -450,3 +450,26 @@ def edge_times_on_spike_clock(edges_: DataFrame, keys: Sequence[str] = ("session
     return f.join(offset, list(keys), "left").withColumn("spike_time", F.coalesce("_t", F.col("timestamp") - F.col("_offset"))).drop("_t", "_offset")
 
 
+
+
+def event_grid(events: DataFrame, before: float, after: float, step: float, keys: Sequence[str] = ("session", "trial")) -> DataFrame:
+    """Rows (keys, bin, t, dt) of a regular grid around each event time ``tp``."""
+    n = int(np.floor((before + after) / step + 1e-9)) + 1
+    f = events.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return f.withColumn("dt", F.col("bin") * step - before).withColumn("t", F.col("tp") + F.col("dt"))
+
+
+def pool_behavior(signals: DataFrame, events: DataFrame, before: float, after: float, step: float, keys: Sequence[str] = ("session", "trial"), group: str = "condition") -> DataFrame:
+    """Mean and SEM per channel, group and bin of channels interpolated around the events."""
+    from motorspark.operators.aggregates import mean_and_sem
+
+    grid = event_grid(events.select(*keys, group, "tp"), before, after, step, keys).join(signals.select(*keys, "channel").distinct(), list(keys))
+    at = interpolate(grid.select(*keys, group, "channel", "bin", "t"), signals, [*keys, "channel"])
+    return mean_and_sem(at, [keys[0], "channel", group, "bin"], "value")
+
+
+def force_traces_by_target(force: DataFrame, events: DataFrame, window: float = 1.0, step: float = 0.02, keys: Sequence[str] = ("session", "trial"), target: str = "target") -> DataFrame:
+    """Mean force per target on a grid around the events: linear, extended beyond the ends, 0 at least."""
+    grid = event_grid(events.select(*keys, target, "tp"), window, window, step, keys)
+    at = interpolate(grid, force.select(*keys, "t", F.col("force").alias("value")), list(keys), clamp=False)
+    return at.groupBy(keys[0], target, "bin").agg(F.avg(F.greatest("value", F.lit(0.0))).alias("force"), F.count("value").alias("n"))
