@@ -26,6 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motorspark.llm import bpe
 from motorspark.llm._io import documents, with_slots, written
 
 WINDOW = 1024
@@ -43,6 +44,14 @@ def tokenizer(path: str, special: str, special_id: int) -> tiktoken.Encoding:
     return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={special: special_id})
 
 
+def ids_of(text: str, path: str) -> np.ndarray:
+    """The ids of a text; very long runs of white space, which the fast encoder gives up on, go to the one of ``bpe``."""
+    try:
+        return tokenizer(path, "<|endoftext|>", 50256).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        return bpe.encoder(bpe.default_vocabulary()).encode_batch([text])[0]
+
+
 def default_ranks() -> str:
     """The rank file of the vocabulary in byte_bpe_50k.json; both give the same ids."""
     import public_tokenizers
@@ -55,11 +64,10 @@ def tails(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Dat
     path = path or default_ranks()
 
     def run(batches):
-        encode = tokenizer(path, "<|endoftext|>", 50256).encode_to_numpy
         for batch in batches:
             out: list[tuple] = []
             for text in batch.column(1):
-                ids = np.append(encode(text.as_py() or "", allowed_special="all"), 0).astype("<u4")
+                ids = np.append(ids_of(text.as_py() or "", path), 0).astype("<u4")
                 whole = len(ids) // window
                 crcs = [zlib.crc32(ids[i * window : (i + 1) * window].tobytes()) for i in range(whole)]
                 tail = ids[whole * window :]

@@ -91,6 +91,11 @@ def test_fill_is_closest():
         assert sum(n * c for n, c in got.items()) == max(sums)
 
 
+def test_long_white_space():
+    got = packing.ids_of(" " * 600_000 + "\n" * 600_000, packing.default_ranks())
+    assert len(got) and packing.ids_of("a  b", packing.default_ranks()).tolist() == packing.bpe.encoder(packing.bpe.default_vocabulary()).encode_batch(["a  b"])[0].tolist()
+
+
 def test_pack_covers_every_id(spark):
     texts = [None, "", "word " * 3000, *(f"text number {i} " * (i % 30) for i in range(80)), *["copy of a text"] * 30]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "no id", 1), (5, texts[5], 1)], "doc_id long, text string, tail int")
