@@ -146,15 +146,14 @@ def poisson_glm_cv(design: DataFrame, keys: Sequence[str] = ("session",), folds:
 def lag_sweep(samples: DataFrame, lags: Sequence[int], x: Sequence[str], y: str = "y", keys: Sequence[str] = ("session",), trial: str = "trial", unit: str = "unit_id", order: str = "bin") -> DataFrame:
     """R2 of least squares of sqrt(y)[t] on x[t + lag] for each unit and lag.
 
-    Only sums of products are shuffled: the samples of a lag are met within
-    their trial and summed at once.
+    One window gives a sample at all lags; these fan out after it and are
+    summed at once, so what is shuffled then are sums of products.
     """
     w = Window.partitionBy(*keys, trial, unit).orderBy(order)
-    made = None
-    for k in lags:
-        moved = samples.select(*keys, unit, *[(F.lead(c, k) if k >= 0 else F.lag(c, -k)).over(w).alias(c) for c in x], F.sqrt(y).alias("_y"), F.lit(int(k)).alias("lag"))
-        g = gram(moved.where(f"`{x[0]}` IS NOT NULL"), [*x, "_y"], [*keys, unit, "lag"])
-        made = g if made is None else made.unionByName(g)
+    at = lambda k: F.struct(F.lit(int(k)).alias("lag"), *[(F.lead(c, k) if k >= 0 else F.lag(c, -k)).over(w).alias(c) for c in x])
+    fanned = samples.select(*keys, unit, F.sqrt(y).alias("_y"), F.array(*[at(k) for k in lags]).alias("_at")).select(*keys, unit, "_y", F.explode("_at").alias("_p"))
+    moved = fanned.select(*keys, unit, "_y", "_p.lag", *[F.col(f"_p.`{c}`").alias(c) for c in x])
+    made = gram(moved.where(f"`{x[0]}` IS NOT NULL"), [*x, "_y"], [*keys, unit, "lag"])
     d = len(x)
 
     def r2(n: pd.Series, sums: pd.Series, products: pd.Series) -> pd.Series:

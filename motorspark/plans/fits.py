@@ -12,7 +12,7 @@ from motorspark.operators import ordering as K
 from motorspark.operators import predicates as P
 from motorspark.operators import series as W
 from motorspark.plans import views as V
-from motorspark.plans.demo import BEFORE, TRIAL_COUNTS, WIDTH, _counts, _events, _rates, r
+from motorspark.plans.demo import BEFORE, CTE, HALF, SIG, TRIAL_COUNTS, WIDTH, _counts, _events, _rates, r
 from motorspark.plans.registry import register
 from motorspark.sources import tables as S
 
@@ -56,9 +56,11 @@ def demixed_pca(spark, d):
     return M.demixed_pca(A.marginal_means(peth.join(kept, ["session", "condition"], "left_semi")), 2)
 
 
-@register("trial_activity", None)
+@register("trial_activity", CTE + f""", half(i, k) AS (VALUES {HALF})
+SELECT a.session, a.unit_id, a.trial, a.condition, a.bin::INTEGER AS bin, round(sqrt(greatest(sum(b.n * k) / 60, 0)), 9) AS value FROM filled a, half
+JOIN filled b ON b.session = a.session AND b.unit_id = a.unit_id AND b.trial = a.trial AND b.bin = a.bin - half.i GROUP BY ALL""")
 def trial_activity(spark, d):
-    return _activity(spark, d)
+    return _activity(spark, d).withColumns(r("value", places=9))
 
 
 @register("lda_through_time")
@@ -86,12 +88,15 @@ def poisson_glm_cv(spark, d):
     return M.poisson_glm_cv(_design(spark, d), folds=3)
 
 
-@register("lag_sweep")
+@register("lag_sweep", SIG + """, s AS (SELECT session, channel AS unit_id, row_number() OVER w AS bin, value AS y, lag(value, 2) OVER w AS x FROM sig WINDOW w AS (PARTITION BY session, channel ORDER BY t)),
+f AS (SELECT * FROM s WHERE x IS NOT NULL), j AS (SELECT a.session, a.unit_id, k AS lag, sqrt(a.y) AS y, b.x FROM f a, (SELECT unnest(range(-4, 5)) AS k) o JOIN f b ON b.session = a.session AND b.unit_id = a.unit_id AND b.bin = a.bin + o.k),
+q AS (SELECT session, unit_id, lag, regr_r2(y, x) AS r2 FROM j GROUP BY ALL)
+SELECT session, unit_id, lag::INTEGER AS best_lag, round(r2, 6) AS best_r2 FROM q WHERE r2 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session, unit_id ORDER BY r2 DESC, lag) = 1""")
 def lag_sweep(spark, d):
     s = V.signals(spark, d)
     w = Window.partitionBy("session", "channel").orderBy("t")
     s = s.select("session", F.lit(0).alias("trial"), F.col("channel").alias("unit_id"), F.row_number().over(w).alias("bin"), F.col("value").alias("y"), F.lag("value", 2).over(w).alias("x")).where("x IS NOT NULL")
-    return M.optimal_lag(M.lag_sweep(s, range(-5, 6), ["x"]))
+    return M.optimal_lag(M.lag_sweep(s, range(-5, 6), ["x"])).withColumns(r("best_r2"))
 
 
 @register("kalman_decode_cv")
@@ -126,9 +131,11 @@ def surrogate_null(spark, d):
     return M.surrogate_null(_vectors(spark, d), 3, ("time_shuffle", "circular_shift"), ("cca",))
 
 
-@register("spike_point_features")
+@register("spike_point_features", CTE + """, c AS (SELECT e.session, u.unit_id, e.trial, count(s.t) AS n FROM events_at e JOIN (SELECT DISTINCT session, unit_id FROM spikes) u USING (session)
+LEFT JOIN spikes s ON s.session = e.session AND s.unit_id = u.unit_id AND s.t >= tp - 300 AND s.t < tp + 300 GROUP BY ALL)
+SELECT session, unit_id, trial, n, round(coalesce((n - avg(n) OVER w) / nullif(stddev_pop(n) OVER w, 0), 0), 6) + 0 AS z FROM c WINDOW w AS (PARTITION BY session, unit_id)""")
 def spike_point_features(spark, d):
-    return M.spike_point_features(V.spikes(spark, d), _events(spark, d).select("session", "trial", F.col("tp").alias("t")), 600.0)
+    return M.spike_point_features(V.spikes(spark, d), _events(spark, d).select("session", "trial", F.col("tp").alias("t")), 600.0).select("session", "unit_id", "trial", "n", F.round("z", 6).alias("z"))
 
 
 @register("point_features")
@@ -138,11 +145,14 @@ def point_features(spark, d):
     return M.point_features(s, events)
 
 
-@register("depth_activity")
+@register("depth_activity", CTE + """, a AS (SELECT session, unit_id, bin, avg(rate) AS rate FROM rates GROUP BY ALL),
+p AS (SELECT *, length(unit_id) AS depth, min(length(unit_id)) OVER (PARTITION BY session) AS lo, max(length(unit_id)) OVER (PARTITION BY session) AS hi FROM a),
+m AS (SELECT session, CASE WHEN lo = hi THEN 0 ELSE least(floor((depth - lo) * 5 / (hi - lo)), 4) END::INTEGER AS depth_bin, bin, avg(rate) AS rate FROM p GROUP BY ALL)
+SELECT session, depth_bin, bin::INTEGER AS bin, round(rate, 9) AS rate, round(CASE WHEN max(rate) OVER w = 0 THEN 0 ELSE rate / max(rate) OVER w END, 6) AS normalised FROM m WINDOW w AS (PARTITION BY session, depth_bin)""")
 def depth_activity(spark, d):
     rates = _rates(spark, d).groupBy("session", "unit_id", "bin").agg(F.avg("rate").alias("rate"))
     units = rates.select("session", "unit_id").distinct().withColumn("depth", F.length("unit_id").cast("double"))
-    return M.depth_activity(rates, units, 5)
+    return M.depth_activity(rates, units, 5).withColumns(r("rate", places=9) | r("normalised"))
 
 
 @register("modulated_units", None)

@@ -144,14 +144,18 @@ def movement_onset(spark, d):
     return W.movement_onset(W.normalised_velocity(V.signals(spark, d)))
 
 
-@register("max_aperture_time")
+@register("max_aperture_time", SIG + """, s AS (SELECT * FROM sig WHERE channel = 'click'), g AS (SELECT session, quantile_cont(t, 0.5) AS m FROM s GROUP BY 1),
+n AS (SELECT s.session, t, value, lag(value) OVER w AS a, lead(value) OVER w AS b FROM s JOIN g USING (session) WHERE t BETWEEN m - 200000 AND m WINDOW w AS (PARTITION BY s.session ORDER BY t))
+SELECT session, arg_max(t, (value, -t)) AS mga_time FROM n WHERE value > a AND value > b GROUP BY session""")
 def max_aperture_time(spark, d):
     s = V.signals(spark, d).where("channel = 'click'")
     grasp = s.groupBy("session").agg(F.percentile("t", F.lit(0.5)).alias("start"))
     return W.max_aperture_time(s, grasp, before=200_000.0)
 
 
-@register("hand_retreat")
+@register("hand_retreat", SIG + """, s AS (SELECT * FROM sig WHERE channel = 'click'), g AS (SELECT session, quantile_cont(t, 0.5) AS m FROM s GROUP BY 1),
+n AS (SELECT s.session, t, value, lag(value) OVER w AS a, lead(value) OVER w AS b FROM s JOIN g USING (session) WHERE t BETWEEN m AND m + 200000 WINDOW w AS (PARTITION BY s.session ORDER BY t))
+SELECT session, arg_min(t, (value, t)) AS hand_retreat_time FROM n WHERE value < a AND value < b GROUP BY session""")
 def hand_retreat(spark, d):
     s = V.signals(spark, d).where("channel = 'click'")
     grasp = s.groupBy("session").agg(F.percentile("t", F.lit(0.5)).alias("stop"))
@@ -164,10 +168,11 @@ def stable_period(spark, d):
     return W.stable_period(e)
 
 
-@register("edge_times_on_spike_clock")
+@register("edge_times_on_spike_clock", """WITH e AS (SELECT user_id AS session, event_id, CASE WHEN event_id % 4 > 0 THEN (event_id * 30 - 100) / 30000 END AS s, event_id / 1000 AS timestamp FROM events)
+SELECT session, event_id, round(coalesce(s, timestamp - median(timestamp - s) OVER (PARTITION BY session)), 9) AS spike_time FROM e""")
 def edge_times_on_spike_clock(spark, d):
-    e = V.table(spark, d, "events").select(F.col("user_id").alias("session"), F.when(F.col("event_id") % 4 > 0, F.col("event_id") * 30).alias("sample_number"), F.lit(100).alias("first_sample"), F.lit(30000.0).alias("fs"), (F.col("event_id") / 1000.0).alias("timestamp"))
-    return W.edge_times_on_spike_clock(e)
+    e = V.table(spark, d, "events").select("event_id", F.col("user_id").alias("session"), F.when(F.col("event_id") % 4 > 0, F.col("event_id") * 30).alias("sample_number"), F.lit(100).alias("first_sample"), F.lit(30000.0).alias("fs"), (F.col("event_id") / 1000.0).alias("timestamp"))
+    return W.edge_times_on_spike_clock(e).select("session", "event_id", F.round("spike_time", 9).alias("spike_time"))
 
 
 @register("close_gaps", SIG + """, b AS (SELECT session, k * 500000::DOUBLE AS boundary, 100::DOUBLE * k AS gap FROM (SELECT DISTINCT session FROM sig), (SELECT unnest([1, 2, 3]) AS k)),
