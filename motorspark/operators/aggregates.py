@@ -291,3 +291,18 @@ def validate_design(rows: DataFrame, columns: Sequence[str], keys: Sequence[str]
     bad = sum((F.count_if(~finite(c)) for c in columns), F.lit(0))
     constant = F.array_compact(F.array(*[F.when(F.stddev_pop(F.when(finite(c), F.col(c))) == 0, c) for c in columns]))
     return rows.groupBy(*keys).agg(_n().alias("n"), bad.alias("not_finite"), constant.alias("constant"))
+
+
+def evaluate_status(rows: DataFrame, rules: Sequence[tuple[str, Column]], default: str = "NEG") -> DataFrame:
+    """``status`` by the first of the caller's rules (name, condition) that holds."""
+    made = None
+    for name, rule in rules:
+        made = F.when(rule, name) if made is None else made.when(rule, name)
+    return rows.withColumn("status", F.lit(default) if made is None else made.otherwise(default))
+
+
+def cumulative_success_matrix(trials: DataFrame, columns: Sequence[str], session: str = "session", success: str = "success") -> DataFrame:
+    """Success rate and n per condition over all sessions up to each, as they are ordered."""
+    by = trials.groupBy(*columns, session).agg(F.sum(success).alias("_s"), _n().alias("_k"))
+    w = Window.partitionBy(*columns).orderBy(session).rowsBetween(Window.unboundedPreceding, 0)
+    return by.select(*columns, session, (F.sum("_s").over(w) / F.sum("_k").over(w)).alias("success_rate"), F.sum("_k").over(w).alias("n"))

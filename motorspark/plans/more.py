@@ -240,3 +240,48 @@ def theoretical_chance(spark, d):
     from motorspark.functions.stats import theoretical_chance as chance
 
     return chance(V.table(spark, d, "lineitem"), ["l_returnflag"], "l_linestatus")
+
+
+@register("evaluate_status", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'BIG' WHEN o_orderstatus = 'F' THEN 'DONE' ELSE 'NEG' END AS status FROM orders")
+def evaluate_status(spark, d):
+    return A.evaluate_status(V.table(spark, d, "orders"), [("BIG", F.col("o_totalprice") > 200_000), ("DONE", F.col("o_orderstatus") == "F")]).select("o_orderkey", "status")
+
+
+@register("cumulative_success_matrix", """WITH b AS (SELECT o_orderpriority, year(o_orderdate) AS session, sum((o_orderstatus <> 'F')::INTEGER) AS s, count(*) AS k FROM orders GROUP BY ALL)
+SELECT o_orderpriority, session, round(sum(s) OVER w / sum(k) OVER w, 9) AS success_rate, (sum(k) OVER w)::BIGINT AS n FROM b WINDOW w AS (PARTITION BY o_orderpriority ORDER BY session)""")
+def cumulative_success_matrix(spark, d):
+    o = V.table(spark, d, "orders").select("o_orderpriority", F.year("o_orderdate").cast("long").alias("session"), (F.col("o_orderstatus") != "F").cast("int").alias("success"))
+    return A.cumulative_success_matrix(o, ["o_orderpriority"]).withColumns(r("success_rate", places=9))
+
+
+@register("align_trial")
+def align_trial(spark, d):
+    joints = V.signals(spark, d).where("channel IN ('click', 'view')").select("session", F.floor(F.col("t") / 500_000).alias("trial"), "channel", F.col("t").alias("t"), "value")
+    frames = V.signals(spark, d).where("channel = 'error'").select("session", F.floor(F.col("t") / 500_000).alias("trial"), "t", F.array("value", "value").alias("sensels"))
+    return W.align_trial(joints, frames)
+
+
+@register("fingers_static")
+def fingers_static(spark, d):
+    speed = W.normalised_velocity(V.signals(spark, d))
+    grasp = speed.groupBy("session").agg(F.percentile("t", F.lit(0.2)).alias("start"), F.percentile("t", F.lit(0.8)).alias("stop"))
+    return W.fingers_static(speed, grasp, within=200_000.0)
+
+
+@register("causal_histories", SIG + """, l AS (SELECT session, channel, t, value, lag(value, 1, 0) OVER w AS a, lag(value, 2, 0) OVER w AS b, lag(value, 3, 0) OVER w AS c, lag(value, 4, 0) OVER w AS d FROM sig WINDOW w AS (PARTITION BY session, channel ORDER BY t))
+SELECT session, channel, t, round((value + a * exp(-0.5) + b * exp(-2.0) + c * exp(-4.5) + d * exp(-8.0)) / (1 + exp(-0.5) + exp(-2.0) + exp(-4.5) + exp(-8.0)), 6) AS rate FROM l""")
+def causal_histories(spark, d):
+    return W.causal_smooth(V.signals(spark, d), 1.0, ["session", "channel"], "t", "value").select("session", "channel", "t", F.round("rate", 6).alias("rate"))
+
+
+@register("unit_depths", "SELECT s_suppkey AS unit_id, s_nationkey AS session, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal END AS depth FROM supplier")
+def unit_depths(spark, d):
+    units = V.units(spark, d)
+    depths = units.where("unit_id % 2 = 0").select("session", "unit_id", "depth")
+    return J.order_by_depth(units, depths).select("unit_id", "session", "depth")
+
+
+@register("natural_order", "SELECT p_brand, row_number() OVER (ORDER BY regexp_extract(p_brand, '^[^0-9]*'), regexp_extract(p_brand, '[0-9]+')::INTEGER) AS position FROM (SELECT DISTINCT p_brand FROM part)")
+def natural_order(spark, d):
+    b = V.table(spark, d, "part").select("p_brand").distinct()
+    return b.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(K.natural_key("p_brand"))).cast("long"))
