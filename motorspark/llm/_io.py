@@ -7,12 +7,15 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+T = TypeVar("T")
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
@@ -46,19 +49,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a task hands to Python at once: 512 rows, and 8 MB where rows are long.
+
+    The session's default (10,000 rows) would hold a gigabyte of very long
+    texts, in the executor and in the worker. Smaller settings stay.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 512), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], T]) -> T:
+    """What a worker process keeps between tasks under ``key``; only the last key's stays, so that stages don't add up."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def with_columns(df: DataFrame, added: str, make: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
     """``df`` with the columns of the schema ``added``, made batch by batch from its rows.
 
     Columns of ``df`` with the same names are replaced.
     """
+    small_batches(df.sparkSession)
     names = [f.name for f in StructType.fromDDL(added).fields]
     own = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names])
 

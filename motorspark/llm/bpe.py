@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from motorspark.llm._io import documents
+from motorspark.llm._io import documents, small_batches
 
 #: The pattern of byte-level pre-tokenisation.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -242,6 +242,7 @@ def bpe_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     The vocabulary file is read where the tasks run. Rows are independent:
     repeated ids, extra columns and empty tables need no care.
     """
+    small_batches(docs.sparkSession)
     path = path or default_vocabulary()
 
     def run(batches):

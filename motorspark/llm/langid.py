@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorspark.llm._io import documents, with_columns
+from motorspark.llm._io import documents, kept, with_columns
 
 ORDER = 4
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -210,6 +210,8 @@ def entropies(model: Model, texts: list[str], memory: Memory | None = None) -> t
     seen: set[str] = set()
     for ws in found:
         seen.update(ws)
+    if len(memory.at) > REMEMBERED:
+        memory.at, memory.rows = {}, memory.rows[:0]
     memory.learn(model, list(seen.difference(memory.at)))
     h, letters = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts), np.int64)
     for i, ws in enumerate(found):
@@ -263,7 +265,7 @@ def detect(docs: DataFrame, model: Model | None) -> DataFrame:
             if m is None:
                 h, letters = np.zeros((len(part), 1)), np.zeros(len(part), np.int64)
             else:
-                h, letters = entropies(m, part, _memory(key, shared))
+                h, letters = entropies(m, part, kept(key, lambda: Memory(len(m.languages))))
             for row, n in zip(h, letters, strict=True):
                 if not n:
                     pred.append("und")
@@ -280,17 +282,6 @@ def detect(docs: DataFrame, model: Model | None) -> DataFrame:
     return with_columns(docs, "lang_pred string, score double, rejected boolean", add)
 
 
-_MEMORIES: dict[str, Memory] = {}
-
-
-def _memory(key: str, shared) -> Memory:
-    """One memory for each worker process and model; it starts anew beyond REMEMBERED words."""
-    if key not in _MEMORIES or len(_MEMORIES[key].at) > REMEMBERED:
-        _MEMORIES.clear()
-        _MEMORIES[key] = Memory(len(shared.value.languages))
-    return _MEMORIES[key]
-
-
 def fold(modulus: int):
     """crc32 of doc_id as text, modulo ``modulus``."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))

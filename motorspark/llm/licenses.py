@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from motorspark.llm._io import documents
+from motorspark.llm._io import documents, small_batches
 
 #: Words in lower-cased UTF-8 are runs of these bytes.
 WORD, GAP = rb"[0-9a-z\x80-\xff]", rb"[^0-9a-z\x80-\xff]"
@@ -248,6 +248,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     no care. Columns other than doc_id and text are not read. Spans are in
     characters of the text with A-Z in lower case.
     """
+    small_batches(docs.sparkSession)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("priority", pa.int64())]))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), span]
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from motorspark.llm._io import documents
+from motorspark.llm._io import documents, small_batches
 
 FRAME, SIDE, GOP, TIMESCALE, CODEC = 64, 8, 16, 25, b"md8g"
 #: Boxes that hold boxes only (ISO/IEC 14496-12).
@@ -192,6 +192,7 @@ def media_columns(df: DataFrame, column: str, key: str) -> DataFrame:
     Null or broken containers give null columns and a reason in
     ``media_error``; a container without tracks has the reason ``no track``.
     """
+    small_batches(df.sparkSession)
     source = df.select(key, column)
     kind = source.schema[key].dataType.simpleString()
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motorspark.llm import bpe
-from motorspark.llm._io import documents, with_slots, written
+from motorspark.llm._io import documents, small_batches, with_slots, written
 
 WINDOW = 1024
 #: Whole windows of one document have ids from its number shifted by this on; 2^21 windows are over 2 GB of text.
@@ -61,6 +61,7 @@ def default_ranks() -> str:
 
 def tails(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
     """Of every row: its number of ids, the checksums of its whole windows, and its tail."""
+    small_batches(docs.sparkSession)
     path = path or default_ranks()
 
     def run(batches):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorspark.llm._io import documents, written
+from motorspark.llm._io import documents, small_batches, written
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -55,6 +55,7 @@ def fingerprint(text: str | None) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and ``fp``, the fingerprint as a signed long, of every row."""
 
+    small_batches(docs.sparkSession)
     def run(batches):
         for batch in batches:
             made = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
