@@ -8,7 +8,7 @@ score is a logistic function of their largest logit, their mean and the
 logarithm of their number, calibrated on documents the network hasn't seen.
 
 Everything is trained in numpy, on a bounded sample of labelled rows
-(``MOST_DOCS`` of each class). Weights take about 2 MB and are broadcast.
+(``MOST_DOCS`` of each class, none longer than ``MOST_CHARS``). Weights take about 2 MB and are broadcast.
 """
 
 from __future__ import annotations
@@ -22,26 +22,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorspark.llm._io import documents, with_columns
+from motorspark.llm._io import documents, kept, with_columns
 from motorspark.llm.langid import fold
 
 WORD = re.compile(r"\w+")
 WINDOW, STRIDE = 24, 12
 HIDDEN, WIDTH, BUCKETS = 8, 8, 1 << 14
+PRIME, MIX = np.uint64(1_099_511_628_211), np.uint64(0x9E3779B97F4A7C15)
 #: Labelled documents of each class that the network is fitted on, at most.
 MOST_DOCS = 1000
-#: Words of a training document that are read, at most; scoring reads all.
-MOST_WORDS = 6000
+#: Longest text in characters that the training sample takes; those it takes are read whole.
+MOST_CHARS = 40_000
 THRESHOLD = 0.3
 #: Words whose inputs a worker remembers.
 REMEMBERED = 120_000
 BATCH = 2048
 
 
-def _features(word: str) -> tuple[int, list[int]]:
-    raw = f"<{word[:200]}>".encode()
-    grams = [zlib.crc32(raw[i : i + n]) % BUCKETS for n in (3, 5, 7) for i in range(len(raw) - n + 1)]
-    return zlib.crc32(word.encode()) % BUCKETS, grams or [zlib.crc32(raw) % BUCKETS]
+class Features:
+    """What is read of each word: its bucket, and the buckets of its character n-grams in one flat array."""
+
+    def __init__(self, words: list[str]):
+        self.words = np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in words), np.int64, len(words))
+        raw = [f"<{w[:200]}>".encode() for w in words]
+        data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+        owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, raw), np.int64, len(raw)))
+        owners, grams = [], []
+        for n in (3, 5, 7):
+            h = np.zeros(max(len(data) - n + 1, 0), np.uint64)
+            for k in range(n):
+                h = h * PRIME + data[k : k + len(h)]
+            h = (h ^ (h >> np.uint64(29))) * MIX >> np.uint64(64 - 14)
+            inside = owner[: len(h)] == owner[n - 1 :] if len(h) else np.zeros(0, bool)
+            owners.append(owner[: len(h)][inside])
+            grams.append(h[inside].astype(np.uint16))
+        every = np.concatenate(owners)
+        self.grams = np.concatenate(grams)[np.argsort(every, kind="stable")]
+        self.counts = np.bincount(every, minlength=len(words))
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def take(self, chosen: np.ndarray) -> Features:
+        part = Features.__new__(Features)
+        part.words, part.counts = self.words[chosen], self.counts[chosen]
+        part.starts = np.cumsum(part.counts) - part.counts
+        part.grams = self.grams[np.arange(part.counts.sum()) + np.repeat(self.starts[chosen] - part.starts, part.counts)]
+        return part
 
 
 def windows(n: int) -> list[tuple[int, int]]:
@@ -74,12 +99,10 @@ class Network:
         }
         self.calibration = np.array([1.0, 0.0, 0.0, 0.0])
 
-    def inputs(self, features: list[tuple[int, list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    def inputs(self, f: Features) -> tuple[np.ndarray, np.ndarray]:
         """What the network reads for each word, and the projection to the gates."""
-        flat = np.fromiter((g for _, gs in features for g in gs), np.int64)
-        counts = np.fromiter((len(gs) for _, gs in features), np.int64, len(features))
-        means = np.add.reduceat(self.chars[flat], np.cumsum(counts) - counts) / counts[:, None].astype(np.float32)
-        x = np.concatenate((self.words[[w for w, _ in features]], means), 1)
+        means = np.add.reduceat(self.chars[f.grams], f.starts) / f.counts[:, None].astype(np.float32)
+        x = np.concatenate((self.words[f.words], means), 1)
         return x, x @ self.dense["wx"] + self.dense["bx"]
 
     def forward(self, projected: np.ndarray, index: np.ndarray, lengths: np.ndarray, keep: bool = False):
@@ -148,7 +171,7 @@ class Network:
 class Trainer:
     """Adam for the dense weights, Adagrad for the rows of the embeddings."""
 
-    def __init__(self, net: Network, features: list[tuple[int, list[int]]], rate: float = 0.01):
+    def __init__(self, net: Network, features: Features, rate: float = 0.01):
         self.net, self.features, self.rate, self.step = net, features, rate, 0
         self.m = {k: np.zeros_like(v) for k, v in net.dense.items()}
         self.s = {k: np.zeros_like(v) for k, v in net.dense.items()}
@@ -163,7 +186,7 @@ class Trainer:
 
     def learn(self, index: np.ndarray, lengths: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
         net, used = self.net, np.unique(index[np.arange(WINDOW) < lengths[:, None]])
-        chosen = [self.features[i] for i in used]
+        chosen = self.features.take(used)
         x, projected = net.inputs(chosen)
         place = np.minimum(np.searchsorted(used, index), len(used) - 1)
         logits, cache = net.forward(projected, place, lengths, keep=True)
@@ -179,9 +202,8 @@ class Trainer:
             self.s[k] += 0.01 * (g * g - self.s[k])
             m, s = self.m[k] / (1 - 0.9**self.step), self.s[k] / (1 - 0.99**self.step)
             net.dense[k] = (net.dense[k] - self.rate * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
-        self._row_update("words", np.array([w for w, _ in chosen]), by_words[:, :WIDTH])
-        counts = np.array([len(g) for _, g in chosen])
-        self._row_update("chars", np.concatenate([g for _, g in chosen]), np.repeat(by_words[:, WIDTH:] / counts[:, None], counts, 0))
+        self._row_update("words", chosen.words, by_words[:, :WIDTH])
+        self._row_update("chars", chosen.grams.astype(np.int64), np.repeat(by_words[:, WIDTH:] / chosen.counts[:, None], chosen.counts, 0))
 
 
 def _index(words: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -204,14 +226,14 @@ def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0
     """Train on documents; ``weights`` of the classes 0 and 1 in the calibration."""
     net, r = Network(seed), np.random.default_rng(seed)
     known: dict[str, int] = {}
-    docs = [np.array([known.setdefault(w, len(known)) for w in WORD.findall(t.lower())[:MOST_WORDS]], np.int64) for t in texts]
+    docs = [np.array([known.setdefault(w, len(known)) for w in WORD.findall(t.lower())], np.int64) for t in texts]
     usable = [i for i, d in enumerate(docs) if len(d)]
     y = np.array(labels, np.float32)
     if not usable or len({labels[i] for i in usable}) < 2:
         net.dense["w"][:] = 0
         net.calibration = np.array([0.0, 0.0, 0.0, 2.0 if usable and labels[usable[0]] else -2.0])
         return net
-    features = [_features(w) for w in known]
+    features = Features(list(known))
     order = r.permutation(usable)
     held, seen = order[: len(order) // 5], order[len(order) // 5 :]
     cut = {i: _index(docs[i], windows(len(docs[i]))) for i in usable}
@@ -228,7 +250,7 @@ def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0
             part = r.permutation(seen)[:64] if a else seen[:64]
             index, lengths = np.concatenate([cut[i][0] for i in part]), np.concatenate([cut[i][1] for i in part])
             used, place = np.unique(index, return_inverse=True)
-            logits = _logits(net, net.inputs([features[i] for i in used])[1], place.reshape(index.shape), lengths)
+            logits = _logits(net, net.inputs(features.take(used))[1], place.reshape(index.shape), lengths)
             starts = np.cumsum([0, *(len(cut[i][0]) for i in part)])
             chosen = [(starts[k] + int(logits[starts[k] : starts[k + 1]].argmax()), y[i]) for k, i in enumerate(part)]
             chosen += [(int(r.integers(starts[k], starts[k + 1])), y[i]) for k, i in enumerate(part) if not y[i]]
@@ -239,7 +261,7 @@ def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0
         part = held[a : a + 64]
         index, lengths = np.concatenate([cut[i][0] for i in part]), np.concatenate([cut[i][1] for i in part])
         used, place = np.unique(index, return_inverse=True)
-        logits = _logits(net, net.inputs([features[i] for i in used])[1], place.reshape(index.shape), lengths)
+        logits = _logits(net, net.inputs(features.take(used))[1], place.reshape(index.shape), lengths)
         sums.append(summary(logits, np.cumsum([0, *(len(cut[i][0]) for i in part)])[:-1]))
     x, target = np.concatenate(sums), y[held].astype(np.float64)
     net.calibration = _logistic(x, target, np.where(target > 0, weights[1], weights[0]))
@@ -267,11 +289,13 @@ class Scorer:
     def scores(self, texts: list[str]) -> list[float]:
         if len(self.known) > REMEMBERED:
             self.known, self.projected = {}, self.projected[:0]
-        known, before = self.known, len(self.known)
-        docs = [np.array([known.setdefault(w, len(known)) for w in WORD.findall(t.lower())], np.int64) for t in texts]
-        new = [w for w, _ in zip(reversed(known), range(len(known) - before))][::-1]
-        if new:
-            self.projected = np.concatenate((self.projected, self.net.inputs([_features(w) for w in new])[1]))
+        known, found, seen = self.known, [WORD.findall(t.lower()) for t in texts], set()
+        for ws in found:
+            seen.update(ws)
+        if new := list(seen.difference(known)):
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            self.projected = np.concatenate((self.projected, self.net.inputs(Features(new))[1]))
+        docs = [np.fromiter(map(known.__getitem__, ws), np.int64, len(ws)) for ws in found]
         cut = [_index(d, windows(len(d))) for d in docs if len(d)]
         if not cut:
             return [0.0] * len(texts)
@@ -296,9 +320,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
     share = F.lit(False)
     for v, n in sizes.items():
         share = share | ((F.col("_toxic") == v) & (F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < min(1_000_000, 2_000_000 * MOST_DOCS // n + 1)))
-    some = docs.select("doc_id", "text").join(F.broadcast(known.where(share)), F.col("doc_id") == F.col("_id")).where("text IS NOT NULL")
+    some = docs.select("doc_id", "text").join(F.broadcast(known.where(share)), F.col("doc_id") == F.col("_id")).where(F.length("text") <= MOST_CHARS)
     rank = F.row_number().over(Window.partitionBy("_toxic").orderBy(F.xxhash64("text"), "text"))
-    rows = some.select("_toxic", F.substring("text", 1, 100_000).alias("text")).withColumn("r", rank).where(F.col("r") <= MOST_DOCS).toLocalIterator()
+    rows = some.select("_toxic", "text").withColumn("r", rank).where(F.col("r") <= MOST_DOCS).toLocalIterator()
     got = [(r["text"], int(r["_toxic"])) for r in rows]
     share_of = [max(1, sum(v == k for _, v in got)) for k in (0, 1)]
     weights = tuple(sizes.get(k, 0) / share_of[k] for k in (0, 1))
@@ -315,7 +339,7 @@ def toxicity(docs: DataFrame, net: Network) -> DataFrame:
     shared, key = docs.sparkSession.sparkContext.broadcast(net), uuid.uuid4().hex
 
     def add(batch):
-        scorer, scores, part, size = _scorer(key, shared), [], [], 0
+        scorer, scores, part, size = kept(key, lambda: Scorer(shared.value)), [], [], 0
         for t in batch.column("text").to_pylist():
             part.append(t or "")
             size += len(part[-1])
@@ -329,17 +353,6 @@ def toxicity(docs: DataFrame, net: Network) -> DataFrame:
     return with_columns(docs, "score double, predicted int", add)
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
-def _scorer(key: str, shared) -> Scorer:
-    """One scorer for each worker process and network, so that its memory outlives a batch."""
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(shared.value)
-    return _SCORERS[key]
-
-
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     net = train(docs.where(fold(4) != 2), spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold(4) != 2))

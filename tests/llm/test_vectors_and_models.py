@@ -156,7 +156,7 @@ def test_langid(spark):
 
 def test_toxicity_gradients():
     net = toxicity.Network(1)
-    feats = [toxicity._features(w) for w in ("some", "words", "to", "read")]
+    feats = toxicity.Features(["some", "words", "to", "read"])
     index, lengths = np.zeros((3, toxicity.WINDOW), np.int64), np.array([4, 2, toxicity.WINDOW])
     index[0, :4], index[1, :2], index[2] = [0, 1, 2, 3], [3, 1], np.arange(toxicity.WINDOW) % 4
     net.dense = {k: v.astype(np.float64) for k, v in net.dense.items()}
