@@ -31,10 +31,13 @@ from pyspark.sql import Window
 from motorspark.llm._io import written
 
 #: Pivots, taken from a sample of this many vectors by hash; vectors in a block; entries in a page; children in a node; queries in a group.
-PIVOTS, BLOCK, PAGE, FAN, GROUP = 32, 4096, 64, 16, 256
+PIVOTS, BLOCK, PAGE, FAN, GROUP = 16, 4096, 256, 16, 256
 #: Components beyond this size would not keep sums of products within a long.
 LIMIT = float(1 << 20)
+#: Room for rounding in a distance, as a share of the norm that all points have.
 SLACK = 1e-6
+#: Up to this squared norm, inner products are exact in doubles.
+EXACT = 1 << 52
 
 
 def augment(x: np.ndarray, most: int) -> np.ndarray:
@@ -69,8 +72,11 @@ class MTree:
             center, _, _, members = todo[at]
             if len(members) <= PAGE:
                 nodes[at][3:] = [len(order), len(order) + len(members), True]
+                far = distances(points[members], points[center])
+                nearest = np.argsort(far, kind="stable")
+                members = members[nearest]
+                entry_distance.append(far[nearest])
                 order.extend(members.tolist())
-                entry_distance.append(distances(points[members], points[center]))
             else:
                 n = min(FAN, -(-len(members) // PAGE))
                 seeds = [int(members[0])]
@@ -93,6 +99,8 @@ class MTree:
         self.radius, self.parent = np.array([n[1] for n in nodes]), np.array([n[2] for n in nodes])
         self.first, self.last, self.leaf = np.array([n[3] for n in nodes]), np.array([n[4] for n in nodes]), np.array([n[5] for n in nodes])
         self.x, self.entry = x[order], np.concatenate(entry_distance)
+        if most < EXACT:
+            self.x = self.x.astype(np.float64)
         self.ids = [ids[i] for i in order]
         self.computed = 0
 
@@ -100,11 +108,12 @@ class MTree:
         """The distance within which a vector scores at least ``score`` for a query of this squared norm."""
         if score == -np.inf:
             return np.inf
-        return float(np.sqrt(max(norm + self.most - 2 * score, 0.0))) * (1 + 1e-9) + SLACK
+        return float(np.sqrt(max(norm + self.most - 2 * score, 0.0))) * (1 + 1e-9) + SLACK * float(np.sqrt(self.most))
 
     def search(self, q: np.ndarray, own: int | None, k: int, beat: float = -np.inf) -> list[tuple[int, int]]:
         """The k largest (score, id) with score >= beat, ties to smaller ids, without the id ``own``."""
         norm, point = int(q @ q), np.append(q.astype(np.float64), 0.0)
+        q = q.astype(self.x.dtype)
         best: list[tuple[int, int]] = []  # (-score, id), sorted
         limit = self.reach(norm, beat)
         start = float(distances(self.centers[0], point))
@@ -116,19 +125,25 @@ class MTree:
                 break
             a, b = self.first[node], self.last[node]
             if self.leaf[node]:
-                near = a + np.flatnonzero(np.abs(self.entry[a:b] - d) <= limit)
+                # A page is one block of memory: its entries are passed over in runs, not one by one.
+                near = np.flatnonzero(np.abs(self.entry[a:b] - d) <= limit)
+                if not len(near):
+                    continue
                 self.computed += len(near)
-                scores = self.x[near] @ q
+                low = near[0]
+                scores = self.x[a + low : a + near[-1] + 1] @ q
                 floor = -best[-1][0] if len(best) == k else beat
-                for i in np.flatnonzero(scores >= floor):
-                    best += [(-int(scores[i]), v) for v in self.ids[near[i]] if v != own]
-                best = sorted(best)[:k]
-                if len(best) == k:
-                    limit = min(limit, self.reach(norm, -best[-1][0]))
+                good = np.flatnonzero(scores >= floor)
+                if len(good):
+                    best += [(-int(scores[i]), v) for i in good for v in self.ids[a + low + i] if v != own]
+                    best = sorted(best)[:k]
+                    if len(best) == k:
+                        limit = min(limit, self.reach(norm, -best[-1][0]))
             else:
                 near = a + np.flatnonzero(np.abs(self.parent[a:b] - d) - self.radius[a:b] <= limit)
                 self.computed += len(near)
-                there = distances(self.centers[near], point)
+                # All points have the same norm, so a product gives the distance.
+                there = np.sqrt(np.maximum(self.most + norm - 2 * (self.centers[near] @ point), 0.0))
                 lower = np.maximum(there - self.radius[near], 0.0)
                 for i in np.flatnonzero(lower <= limit):
                     heapq.heappush(heap, (float(lower[i]), int(near[i]), float(there[i])))
@@ -242,7 +257,7 @@ def _one_length(rows: DataFrame, k: int, every: int) -> DataFrame:
                 own = np.concatenate((x.astype(np.float64), np.zeros((len(q), 1))), 1)
                 beat = np.array([-np.inf if a["beat"] is None else a["beat"] for a in q], np.float64)
                 with np.errstate(invalid="ignore"):
-                    reach = np.where(np.isinf(beat), np.inf, np.sqrt(np.maximum((x * x).sum(1) + most - 2 * beat, 0)) * (1 + 1e-9) + SLACK)
+                    reach = np.where(np.isinf(beat), np.inf, np.sqrt(np.maximum((x * x).sum(1) + most - 2 * beat, 0)) * (1 + 1e-9) + SLACK * np.sqrt(most))
                 for c, radius in far.items():
                     live = distances(own, points[c]) - radius <= reach
                     if live.any():
