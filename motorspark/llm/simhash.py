@@ -163,8 +163,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     empty table.
     """
     prints = written(fingerprints(docs), "simhash-fingerprints")
+    return named(prints, links(prints.select("fp").distinct()))
+
+
+def named(prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """``prints`` (doc_id, fp) with the ``component_id`` that the ``edges`` (a, b) between fingerprints give."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = components(links(distinct))
+    found = components(edges)
     rooted = found.join(distinct, found["node"] == distinct["fp"]).select("node", "root", "first")
     roots = found.select("root").distinct()
     rooted = rooted.unionByName(roots.join(distinct, roots["root"] == distinct["fp"]).select(F.col("root").alias("node"), "root", "first"))
@@ -173,13 +178,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int | None = None, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one with the smallest id.
 
+    With ``shingle``, texts whose sets of so many words have a Jaccard
+    similarity of ``percent`` are linked too.
+
     Rows that repeat an id are one document and share its fate. Of documents
     without an id, those that are linked to one with an id go.
     """
-    found = near_duplicates(docs)
+    if shingle is None:
+        found = near_duplicates(docs)
+    else:
+        from motorspark.llm.jaccard import near_copies
+
+        found = near_copies(docs, shingle, percent)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"), F.lit(True).alias("_near"))
     gone = gone.distinct()
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
