@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,13 +78,29 @@ def attach_condition(trials: DataFrame, objects: DataFrame, column: str, keys: S
     return trials.join(objects.select(*keys, F.col(column).alias("condition")), list(keys), "left")
 
 
-def asof_last(left: DataFrame, right: DataFrame, value: str, left_time: str, right_time: str, keys: Sequence[str] = ()) -> DataFrame:
-    """For each row of ``left`` the last ``value`` of ``right`` with right_time <= left_time; null when there is none."""
+def asof_last(left: DataFrame, right: DataFrame, value: str, left_time: str, right_time: str, keys: Sequence[str] = (), bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+    """For each row of ``left`` the last ``value`` of ``right`` with right_time <= left_time; null when there is none.
+
+    ``bucket`` gives a time's bucket, which mustn't fall as time rises. With it
+    a key's rows are ordered within their bucket only, and each bucket takes
+    over the last value of those before it: one row for each bucket is ordered as a whole.
+    """
     sides = left.withColumns({"_t": F.col(left_time), "_v": F.lit(None).cast(right.schema[value].dataType), "_left": F.lit(True)})
     other = right.select(*keys, F.col(right_time).alias("_t"), F.col(value).alias("_v"), F.lit(False).alias("_left"))
     both = sides.unionByName(other, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_t", "_left").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_left").drop("_t", "_v", "_left")
+    if bucket is None:
+        w = Window.partitionBy(*keys).orderBy("_t", "_left").rowsBetween(Window.unboundedPreceding, 0)
+        return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_left").drop("_t", "_v", "_left")
+    both = both.withColumn("_b", bucket(F.col("_t")))
+    w = Window.partitionBy(*keys, "_b").orderBy("_t", "_left").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy(*keys, "_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct("_t"))).alias("_end"))
+    ends = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(earlier)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_c"), "_before")
+    same = F.col("_b").eqNullSafe(F.col("_c"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    found = both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_left").join(ends, same, "left")
+    return found.withColumn(value, F.coalesce(value, "_before")).drop("_t", "_v", "_left", "_b", "_c", "_before", *[f"_k{i}" for i in range(len(keys))])
 
 
 def nearest_time_join(left: DataFrame, right: DataFrame, time: str = "t", keys: Sequence[str] = (), name: str = "nearest_t") -> DataFrame:

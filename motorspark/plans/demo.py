@@ -210,9 +210,19 @@ def concat_logs(spark, d):
 @register("asof_calibration", """SELECT o_orderkey, (SELECT max(ts) FROM events e WHERE e.event_type = 'signup' AND e.ts <= o.o_orderdate + INTERVAL 8400 DAY) AS calibration FROM
 (SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderkey % 50 = 0) o""")
 def asof_calibration(spark, d):
-    o = V.table(spark, d, "orders").where("o_orderkey % 50 = 0").select("o_orderkey", (F.col("o_orderdate") + F.expr("INTERVAL 8400 DAY")).alias("at"))
+    return _calibrated(spark, d, V.table(spark, d, "orders").where("o_orderkey % 50 = 0"))
+
+
+def _calibrated(spark, d, orders):
+    o = orders.select("o_orderkey", (F.col("o_orderdate") + F.expr("INTERVAL 8400 DAY")).alias("at"))
     c = V.table(spark, d, "events").where("event_type = 'signup'").select(F.col("ts").alias("date"), F.col("ts").alias("calibration"))
-    return J.asof_last(o.withColumn("g", F.lit(0)), c.withColumn("g", F.lit(0)), "calibration", "at", "date", ["g"]).select("o_orderkey", "calibration")
+    return J.asof_last(o, c, "calibration", "at", "date", bucket=F.to_date).select("o_orderkey", "calibration")
+
+
+@register("asof_calibration_every", """SELECT o.o_orderkey, e.ts AS calibration FROM (SELECT o_orderkey, o_orderdate + INTERVAL 8400 DAY AS t FROM orders) o
+ASOF LEFT JOIN (SELECT ts FROM events WHERE event_type = 'signup') e ON o.t >= e.ts""")
+def asof_calibration_every(spark, d):
+    return _calibrated(spark, d, V.table(spark, d, "orders"))
 
 
 NEAREST = f"""WITH sp AS ({V.SPIKES}), a AS (SELECT session, t FROM sp WHERE unit_id = 'click'), b AS (SELECT DISTINCT session, t FROM sp WHERE unit_id = 'view'),
@@ -666,6 +676,13 @@ def condition_sets(spark, d):
     return K.condition_sets(a, V.table(spark, d, "supplier").select(F.col("s_nationkey").alias("condition")))
 
 
+@register("condition_sets_every", """SELECT n_nationkey AS condition, CASE WHEN c AND s THEN 'both' WHEN c THEN 'a' ELSE 'b' END AS "where" FROM (SELECT n_nationkey, n_nationkey IN (SELECT c_nationkey FROM customer) AS c,
+n_nationkey IN (SELECT s_nationkey FROM supplier) AS s FROM nation) WHERE c OR s""")
+def condition_sets_every(spark, d):
+    a = V.table(spark, d, "customer").select(F.col("c_nationkey").alias("condition"))
+    return K.condition_sets(a, V.table(spark, d, "supplier").select(F.col("s_nationkey").alias("condition")))
+
+
 @register("union_of_times", f"WITH s AS ({V.SPIKES}) SELECT DISTINCT session, t FROM s WHERE unit_id IN ('click', 'view')")
 def union_of_times(spark, d):
     s = V.spikes(spark, d)
