@@ -323,10 +323,14 @@ def compare_spaces(rows: DataFrame, methods: Sequence[str] = ("rrr", "cca", "dsa
     return per_group(rows, keys, fit, "method string, value double")
 
 
+#: Draws of one surrogate that share a copy of their key's rows.
+DRAWS = 25
+
+
 def surrogate_null(rows: DataFrame, n: int, surrogates: Sequence[str] = ("time_shuffle", "circular_shift", "phase_randomize", "trial_shuffle"), methods: Sequence[str] = ("rrr", "cca", "dsa"), keys: Sequence[str] = ("session",), seed: int = 0, headline: Callable | None = None) -> DataFrame:
-    """The headline recomputed on surrogates of x: one group for each key, surrogate and draw, seeded by these."""
+    """The headline recomputed on surrogates of x, each seeded by key, surrogate and draw; a key's draws go to groups of DRAWS."""
     spark = rows.sparkSession
-    draws = spark.range(n).select(F.col("id").cast("int").alias("draw"), F.explode(F.array(*map(F.lit, surrogates))).alias("surrogate"))
+    draws = spark.range(-(-n // DRAWS)).select(F.col("id").cast("int").alias("_block"), F.explode(F.array(*map(F.lit, surrogates))).alias("surrogate"))
     packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("trial", "bin", "x", "y"))).alias("rows"))
 
     def fit(pdf: pd.DataFrame) -> list[dict]:
@@ -334,11 +338,14 @@ def surrogate_null(rows: DataFrame, n: int, surrogates: Sequence[str] = ("time_s
         x = M.standardise(np.array([list(v["x"]) for v in r["rows"]], float))[0]
         y = M.standardise(np.array([list(v["y"]) for v in r["rows"]], float))[0]
         trial = np.array([v["trial"] for v in r["rows"]])
-        rng = np.random.default_rng(seed_of(seed, r["surrogate"], r["draw"], *[r[k] for k in keys]))
-        mixed = M.surrogate(x, r["surrogate"], rng, trial)
-        return [{"method": m, "value": float((headline or HEADLINES[m])(mixed, y))} for m in methods]
+        out = []
+        for draw in range(r["_block"] * DRAWS, min((r["_block"] + 1) * DRAWS, n)):
+            rng = np.random.default_rng(seed_of(seed, r["surrogate"], draw, *[r[k] for k in keys]))
+            mixed = M.surrogate(x, r["surrogate"], rng, trial)
+            out += [{"draw": draw, "method": m, "value": float((headline or HEADLINES[m])(mixed, y))} for m in methods]
+        return out
 
-    return per_group(packed.crossJoin(F.broadcast(draws)), [*keys, "surrogate", "draw"], fit, "method string, value double")
+    return per_group(packed.crossJoin(F.broadcast(draws)), [*keys, "surrogate", "_block"], fit, "draw int, method string, value double").drop("_block")
 
 
 def point_features(signals: DataFrame, events: DataFrame, keys: Sequence[str] = ("session", "trial")) -> DataFrame:

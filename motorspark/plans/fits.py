@@ -65,7 +65,7 @@ def trial_activity(spark, d):
 
 @register("lda_through_time")
 def lda_through_time(spark, d):
-    return M.lda_through_time(_activity(spark, d).where("bin % 5 = 0"), folds=3)
+    return M.lda_through_time(_activity(spark, d))
 
 
 def _design(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +85,7 @@ def design_matrix(spark, d):
 
 @register("poisson_glm_cv")
 def poisson_glm_cv(spark, d):
-    return M.poisson_glm_cv(_design(spark, d), folds=3)
+    return M.poisson_glm_cv(_design(spark, d))
 
 
 @register("lag_sweep", SIG + """, s AS (SELECT session, channel AS unit_id, row_number() OVER w AS bin, value AS y, lag(value, 2) OVER w AS x FROM sig WINDOW w AS (PARTITION BY session, channel ORDER BY t)),
@@ -101,12 +101,12 @@ def lag_sweep(spark, d):
 
 @register("kalman_decode_cv")
 def kalman_decode_cv(spark, d):
-    return M.kalman_decode_cv(_vectors(spark, d), folds=3)
+    return M.kalman_decode_cv(_vectors(spark, d))
 
 
 @register("wiener_decode_cv")
 def wiener_decode_cv(spark, d):
-    return M.wiener_decode_cv(_vectors(spark, d), folds=3, lags=3)
+    return M.wiener_decode_cv(_vectors(spark, d), lags=3)
 
 
 @register("shuffle_alignment")
@@ -128,7 +128,7 @@ def compare_spaces(spark, d):
 
 @register("surrogate_null")
 def surrogate_null(spark, d):
-    return M.surrogate_null(_vectors(spark, d), 3, ("time_shuffle", "circular_shift"), ("cca",))
+    return M.surrogate_null(_vectors(spark, d), 200)
 
 
 @register("spike_point_features", CTE + """, c AS (SELECT e.session, u.unit_id, e.trial, count(s.t) AS n FROM events_at e JOIN (SELECT DISTINCT session, unit_id FROM spikes) u USING (session)
