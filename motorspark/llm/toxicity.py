@@ -36,15 +36,26 @@ MOST_CHARS = 40_000
 THRESHOLD = 0.3
 #: Words whose inputs a worker remembers.
 REMEMBERED = 120_000
+#: Longest piece of a run of word characters that is one word, and the characters that two successive pieces share (as many as the longest n-gram has bytes).
+PIECE, SHARED = 200, 7
 BATCH = 2048
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case; a run longer than PIECE is cut into overlapping pieces, each a word of its own."""
+    found = WORD.findall(text.lower())
+    if max(map(len, found), default=0) <= PIECE:
+        return found
+    step = PIECE - SHARED
+    return [w[i : i + PIECE] for w in found for i in range(0, max(len(w) - SHARED, 1), step)]
+
+
 class Features:
     """What is read of each word: its bucket, and the buckets of its character n-grams in one flat array."""
 
     def __init__(self, words: list[str]):
         self.words = np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in words), np.int64, len(words))
-        raw = [f"<{w[:200]}>".encode() for w in words]
+        raw = [f"<{w}>".encode() for w in words]
         data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
         owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, raw), np.int64, len(raw)))
         owners, grams = [], []
@@ -226,7 +237,7 @@ def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0
     """Train on documents; ``weights`` of the classes 0 and 1 in the calibration."""
     net, r = Network(seed), np.random.default_rng(seed)
     known: dict[str, int] = {}
-    docs = [np.array([known.setdefault(w, len(known)) for w in WORD.findall(t.lower())], np.int64) for t in texts]
+    docs = [np.array([known.setdefault(w, len(known)) for w in words_of(t)], np.int64) for t in texts]
     usable = [i for i, d in enumerate(docs) if len(d)]
     y = np.array(labels, np.float32)
     if not usable or len({labels[i] for i in usable}) < 2:
@@ -289,7 +300,7 @@ class Scorer:
     def scores(self, texts: list[str]) -> list[float]:
         if len(self.known) > REMEMBERED:
             self.known, self.projected = {}, self.projected[:0]
-        known, found, seen = self.known, [WORD.findall(t.lower()) for t in texts], set()
+        known, found, seen = self.known, [words_of(t) for t in texts], set()
         for ws in found:
             seen.update(ws)
         if new := list(seen.difference(known)):

@@ -198,6 +198,18 @@ def test_toxicity_learns(spark):
     assert toxicity.windows(100)[-1][1] == 100 and toxicity.windows(0) == []
 
 
+def test_toxicity_reads_long_runs_whole():
+    net = toxicity.Network(3)
+    net.words[:] = 0  # only n-grams are left to tell words apart
+    a, b = toxicity.Scorer(net).scores(["x" * 300 + "vile", "x" * 300 + "good"])
+    assert a != b
+    for n in (1, 199, 200, 201, 393, 394, 400, 1000):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        pieces = toxicity.words_of(run)
+        assert max(map(len, pieces)) <= 200 and all(any(run[i : i + 7] in p for p in pieces) for i in range(n))
+    assert toxicity.words_of("A b_c, d") == ["a", "b_c", "d"]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
