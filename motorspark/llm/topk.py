@@ -18,7 +18,10 @@ triangle inequality can't rule out.
 
 from __future__ import annotations
 
+import decimal
 import heapq
+import math
+import operator
 import pickle
 
 import numpy as np
@@ -32,7 +35,7 @@ from motorspark.llm._io import written
 
 #: Pivots, taken from a sample of this many vectors by hash; vectors in a block; entries in a page; children in a node; queries in a group.
 PIVOTS, BLOCK, PAGE, FAN, GROUP = 16, 4096, 256, 16, 256
-#: Components beyond this size would not keep sums of products within a long.
+#: Components of this size or more would not keep sums of products within a long; vectors that have one go a way of their own.
 LIMIT = float(1 << 20)
 #: Room for rounding in a distance, as a share of the norm that all points have.
 SLACK = 1e-6
@@ -150,36 +153,83 @@ class MTree:
         return [(-s, v) for s, v in best]
 
 
-def _quantised(vectors: DataFrame, scale: float) -> DataFrame:
-    """vec_id and ``v`` (array<long>) of the rows that take part."""
-    x = F.transform("embedding", lambda e: e.cast("double"))
-    fine = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < LIMIT))
-    return (
-        vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
-        .select("vec_id", F.transform(x, lambda e: F.floor(e * scale)).alias("v"))
-    )
+def _finite(vectors: DataFrame) -> DataFrame:
+    """vec_id, ``x`` (array<double>) and whether it is ``large`` of the rows that take part."""
+    fine = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")))
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine).select("vec_id", F.transform("embedding", lambda e: e.cast("double")).alias("x"))
+    return rows.withColumn("large", F.exists("x", lambda e: F.abs(e) >= LIMIT))
+
+
+def _with_large(rows: DataFrame, k: int, every: int, scale: float) -> DataFrame:
+    """query_id, mark, vec_id, score (decimal) of the pairs that have a large vector: of each query the k best among them.
+
+    Products are sums of Python's integers. Large vectors come in blocks, each
+    of which is read against all queries; large queries against all vectors.
+    """
+    distinct = written(rows.dropDuplicates(["x", "vec_id"]).withColumns({"n": F.size("x"), "mark": F.xxhash64("x")}), "topk-large-rows")
+    asked = distinct.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "mark", F.col("x").alias("q"), F.col("large").alias("_ql"), "n")
+    block = lambda df, *by: df.withColumn("_g", F.pmod(F.xxhash64(*by), F.lit(max(1, -(-df.count() // GROUP)))).cast("int"))
+    large, queries = distinct.where("large"), asked.where("_ql")
+    # Every query with the large vectors, and every large query with the others.
+    sides = ((asked, large), (queries, distinct.where("NOT large")))
+    schema = "query_id long, mark long, vec_id long, score decimal(38,0)"
+
+    def products(batches):
+        whole = lambda x: [math.floor(e * scale) for e in x]
+        for batch in batches:
+            out: list[dict] = []
+            for qs, vs in zip(batch.column("qs").to_pylist(), batch.column("vs").to_pylist(), strict=True):
+                entries = [(v["vec_id"], whole(v["x"])) for v in vs]
+                for q in qs:
+                    own = whole(q["q"])
+                    scored = ((-sum(map(operator.mul, own, v)), i) for i, v in entries if i != q["query_id"])
+                    for s, i in heapq.nsmallest(k, scored):
+                        out.append({"query_id": q["query_id"], "mark": q["mark"], "vec_id": i, "score": decimal.Decimal(-s)})
+            kind = pa.schema([("query_id", pa.int64()), ("mark", pa.int64()), ("vec_id", pa.int64()), ("score", pa.decimal128(38, 0))])
+            yield pa.RecordBatch.from_pylist(out, schema=kind)
+
+    found = None
+    for left, right in sides:
+        a = block(left, "query_id", "mark").groupBy("n", "_g").agg(F.collect_list(F.struct("query_id", "mark", "q")).alias("qs")).select("n", "qs")
+        b = block(right, "vec_id", "mark").groupBy("n", "_g").agg(F.collect_list(F.struct("vec_id", "x")).alias("vs")).select("n", "vs")
+        part = a.join(b, "n").select("qs", "vs").mapInArrow(products, schema)
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best of all rows for each row whose vec_id divides by ``every``.
 
-    Vectors that are null, hold a null or a number that isn't finite (or is
-    2^20 or more in size) take no part, nor do rows without vec_id. Vectors
+    Vectors that are null, or hold a null or a number that isn't finite, take
+    no part, nor do rows without vec_id. Those with a component of 2^20 or
+    more in size are compared in integers of any length; a score that no long
+    holds is an error, as a cast in SQL is. Vectors
     of one length are compared with each other only. Repeated rows count
     once; a vec_id with several vectors is a query for each, and all rows of
     its id are its own. An empty table gives an empty table.
     """
     spark = vectors.sparkSession
-    rows = _quantised(vectors, scale)
+    every_row = _finite(vectors)
+    rows = every_row.where("NOT large").select("vec_id", F.transform("x", lambda e: F.floor(e * scale)).alias("v"))
+    if every_row.where("large").limit(1).count():
+        # A query is known by its id and vector; ``mark`` of the ordinary ones is that of the rounded vector.
+        marks = F.when(F.col("large"), F.xxhash64("x")).otherwise(F.xxhash64(F.transform("x", lambda e: F.floor(e * scale))))
+        extra = _with_large(every_row, k, every, scale)
+        named = every_row.select(F.col("vec_id").alias("query_id"), F.xxhash64("x").alias("mark"), marks.alias("_mark")).distinct()
+        extra = extra.join(named, ["query_id", "mark"]).select("query_id", F.col("_mark").alias("mark"), "vec_id", "score").distinct()
+    else:
+        extra = None
     lengths = [r[0] for r in rows.select(F.size("v").alias("n")).distinct().collect()]
     parts = [_one_length(rows.where(F.size("v") == n), k, every) for n in sorted(lengths)]
+    if extra is not None:
+        parts.append(extra)
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     best = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
 
 
 def _one_length(rows: DataFrame, k: int, every: int) -> DataFrame:
