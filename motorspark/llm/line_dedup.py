@@ -23,6 +23,15 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
 
 
+def line_hashes(key: Column) -> Column:
+    """Two hashes of a key with seeds of their own.
+
+    Spark takes the hash of one column as the seed of the next, so a constant
+    after the key would make ``b`` a function of ``a``.
+    """
+    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"))
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """``docs`` with the columns ``n_lines``, ``n_dropped`` and ``kept`` added.
 
@@ -42,7 +51,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
         "_lines",
         lambda x: F.when(F.length(line_key(x)) >= min_chars, line_key(x)),
     )
-    hashed = F.transform(keys, lambda k: F.when(k.isNotNull(), F.struct(F.xxhash64(k).alias("a"), F.xxhash64(k, F.lit(1)).alias("b"))))
+    hashed = F.transform(keys, lambda k: F.when(k.isNotNull(), line_hashes(k)))
     # A short line has no hash and can't be dropped, so it isn't exploded.
     places = F.filter(
         F.transform(hashed, lambda h, i: F.struct(i.alias("at"), h.alias("h"))),
