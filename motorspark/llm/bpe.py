@@ -18,6 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import sys
+import unicodedata
 from functools import lru_cache
 from itertools import chain
 
@@ -25,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import pre_tokenizers
 
 from motorspark.llm._io import documents, small_batches
 
@@ -42,6 +46,31 @@ def byte_letters() -> list[str]:
     return [chr(c) for _, c in sorted([(b, b) for b in plain] + [(b, 256 + i) for i, b in enumerate(rest)])]
 
 
+@lru_cache(1)
+def _unsettled() -> re.Pattern:
+    """Code points without a category in Python's tables. On these, libraries with newer tables than the tokenizers' may split otherwise."""
+    ranges: list[list[int]] = []
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c)) == "Cn":
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+
+
+@lru_cache(1)
+def _splitter() -> pre_tokenizers.ByteLevel:
+    return pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+
+
+def words_of(text: str) -> list[str]:
+    """The words that byte-level pre-tokenisation cuts a text into; the tokenizers library itself decides about unsettled code points."""
+    if text.isascii() or not _unsettled().search(text):
+        return PATTERN.findall(text)
+    return [text[a:b] for _, (a, b) in _splitter().pre_tokenize_str(text)]
+
+
 class Encoder:
     """Encodes and decodes as the file at ``path`` says (byte-level BPE, no normaliser)."""
 
@@ -185,7 +214,7 @@ class Encoder:
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, with strings of added tokens as these tokens."""
         cut = [[p for p in (self._split.split(t) if self._split else [t]) if p] for t in texts]
-        words = [[(p,) if p in self.added else PATTERN.findall(p) for p in parts] for parts in cut]
+        words = [[(p,) if p in self.added else words_of(p) for p in parts] for parts in cut]
         if len(self._words) > REMEMBERED:
             self._words, self._older = {}, self._words
         seen: set[str] = set()
