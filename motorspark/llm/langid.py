@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motorspark.llm._io import documents, kept, with_columns
@@ -25,11 +25,14 @@ from motorspark.llm._io import documents, kept, with_columns
 ORDER = 4
 LETTERS = re.compile(r"[^\W\d_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Documents and characters per language that the models are fitted on, at most.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 1_000_000
-#: Letters of a longest word that are scored at once; longer words are cut for the memory, not dropped.
-PIECE = 2000
-#: A document of fewer letters is never rejected for its cross-entropy.
+#: Languages (the most frequent ones), distinct texts of each, and characters of each text that the models are fitted on, at most.
+MOST_LANGUAGES, SAMPLE_DOCS, SAMPLE_CHARS = 200, 400, 2500
+#: A longer text gives the sample this many slices of equal length, spread evenly from its start to its end.
+SLICES = 5
+#: Places that are scored at once. Every place sees the characters before it wherever the cut is.
+PLACES = 1 << 18
+#: A document of fewer letters is never rejected for its cross-entropy. A language with fewer held-back documents than CALIBRATED takes the limit of all.
+CALIBRATED = 5
 REJECT_FROM, REJECT_QUANTILE, REJECT_MARGIN = 100, 0.999, 1.2
 #: Scores of words that a worker remembers.
 REMEMBERED = 200_000
@@ -39,7 +42,7 @@ def _flat(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Characters of all words, each word between ORDER - 1 starts and one end; and the word of each."""
     pad, end = "\x02" * (ORDER - 1), "\x03"
     joined = "".join(f"{pad}{w}{end}" for w in words)
-    codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + ORDER
     return codes, np.repeat(np.arange(len(words)), lengths)
 
@@ -77,6 +80,18 @@ class Model:
     def word_scores(self, words: list[str]) -> np.ndarray:
         """The negative log probability of each word in each language."""
         codes, owner = _flat(words)
+        out = np.zeros((len(words), len(self.languages)))
+        for a in range(0, len(codes) - ORDER + 1, PLACES):
+            part = codes[a : a + PLACES + ORDER - 1]
+            score, whose = self._places(part), owner[a + ORDER - 1 : a + ORDER - 1 + len(part) - ORDER + 1]
+            # Padding isn't scored: a place counts if it isn't a start.
+            real = part[ORDER - 1 :] != 2
+            for j in range(out.shape[1]):
+                out[:, j] += np.bincount(whose[real], -score[real, j], len(words))
+        return out
+
+    def _places(self, codes: np.ndarray) -> np.ndarray:
+        """The log probability of the character at each place from ORDER - 1 on, given those before it."""
         score = np.repeat(self.floor[None], len(codes) - ORDER + 1, 0)
         for n in range(1, ORDER + 1):
             if n > 1:
@@ -90,12 +105,7 @@ class Model:
             at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             seen = keys[at] == h
             score[seen] = logs[at[seen]]
-        # Padding isn't scored: a place counts if it isn't a start.
-        real = codes[ORDER - 1 :] != 2
-        out = np.zeros((len(words), len(self.languages)))
-        for j in range(out.shape[1]):
-            out[:, j] = np.bincount(owner[ORDER - 1 :][real], -score[real, j], len(words))
-        return out
+        return score
 
 
 def fit(texts: dict[str, list[str]]) -> Model:
@@ -107,7 +117,7 @@ def fit(texts: dict[str, list[str]]) -> Model:
     for lang in languages:
         keep = [t for i, t in enumerate(texts[lang]) if i % 10 or len(texts[lang]) < 20]
         back[lang] = texts[lang][::10]
-        words = [w[i : i + PIECE] for t in keep for w in LETTERS.findall(t.lower()) for i in range(0, len(w), PIECE)]
+        words = [w for t in keep for w in LETTERS.findall(t.lower())]
         codes, _ = _flat(words or ["a"])
         streams.append(codes)
     alphabet = len(np.unique(np.concatenate(streams))) + 1
@@ -170,9 +180,11 @@ def fit(texts: dict[str, list[str]]) -> Model:
         for h, n in (entropies(model, [t]) for t in back[lang]):
             if n[0] >= REJECT_FROM:
                 scores[lang].append(h[0].min())
+    pooled = [h for lang in languages for h in scores[lang]]
     for j, lang in enumerate(languages):
-        if len(scores[lang]) >= 5:
-            model.limit[j] = np.quantile(scores[lang], REJECT_QUANTILE) + REJECT_MARGIN
+        found = scores[lang] if len(scores[lang]) >= CALIBRATED else pooled
+        if len(found) >= CALIBRATED:
+            model.limit[j] = np.quantile(found, REJECT_QUANTILE) + REJECT_MARGIN
     return model
 
 
@@ -193,12 +205,7 @@ class Memory:
     def learn(self, model: Model, words: list[str]) -> None:
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
-            pieces = [(w[k : k + PIECE], o) for o, w in enumerate(part) for k in range(0, len(w), PIECE)]
-            scores = model.word_scores([p for p, _ in pieces])
-            if len(pieces) > len(part):
-                summed = np.zeros((len(part), scores.shape[1]))
-                np.add.at(summed, [o for _, o in pieces], scores)
-                scores = summed
+            scores = model.word_scores(part)
             self.at.update(zip(part, range(len(self.rows), len(self.rows) + len(part)), strict=True))
             self.rows = np.concatenate((self.rows, scores))
 
@@ -221,30 +228,39 @@ def entropies(model: Model, texts: list[str], memory: Memory | None = None) -> t
     return h, letters
 
 
+def _slices(text: Column) -> Column:
+    """The whole text up to SAMPLE_CHARS characters; of a longer one SLICES slices that add up to so many."""
+    each = SAMPLE_CHARS // SLICES
+    step = (F.length(text) - each) / (SLICES - 1)
+    cut = F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.substring(text, F.floor(i * step).cast("int") + 1, F.lit(each)))
+    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.array_join(cut, "\n"))
+
+
 def train(docs: DataFrame) -> Model | None:
     """Fit on ``docs`` (doc_id, text, lang): of every language with letters a bounded sample.
 
-    Documents are taken in the order of a hash of their text, up to
-    SAMPLE_DOCS for each language, and SAMPLE_CHARS characters of these. Null
+    Distinct texts are taken in the order of their hash, up to SAMPLE_DOCS of
+    each of the MOST_LANGUAGES most frequent languages, and up to SAMPLE_CHARS
+    characters of each; so at most MOST_LANGUAGES x SAMPLE_DOCS x SAMPLE_CHARS
+    characters (200 MB) reach the driver, whatever the texts' lengths. Null
     languages and texts are left out; without any, there is no model (None).
     """
     from pyspark.sql import Window
 
     usable = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text", F.lit(7)).alias("h")).where(F.length("text") > 0)
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    sizes = {r["lang"]: r["n"] for r in counted.collect()}
     if not sizes:
         return None
-    # A share by hash first, so that no window holds a language's every row.
+    # A share by hash first, so that no window holds a language's every row; copies are one row from the map side on.
     share = F.lit(False)
     for lang, n in sizes.items():
-        share = share | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1_000_000)) < min(1_000_000, 4_000_000 * SAMPLE_DOCS // n + 1)))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+        share = share | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1_000_000)) < min(1_000_000, 4_000_000 * SAMPLE_DOCS // max(n, 1) + 1)))
+    some = usable.where(share).select("lang", "h", _slices(F.col("text")).alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     got: dict[str, list[str]] = {}
-    room = dict.fromkeys(sizes, SAMPLE_CHARS)
-    for r in usable.where(share).withColumn("r", rank).where(F.col("r") <= SAMPLE_DOCS).select("lang", F.col("text")).toLocalIterator():
-        if room[r["lang"]] > 0:
-            got.setdefault(r["lang"], []).append(r["text"])
-            room[r["lang"]] -= len(r["text"])
+    for r in some.withColumn("r", rank).where(F.col("r") <= SAMPLE_DOCS).select("lang", "text").toLocalIterator():
+        got.setdefault(r["lang"], []).append(r["text"])
     return fit({lang: t for lang, t in got.items() if any(LETTERS.search(x) for x in t)} or {"und": ["a"]})
 
 
@@ -252,8 +268,10 @@ def detect(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with lang_pred, score and ``rejected``, which replace columns of these names.
 
     Null texts and texts without a letter are ``und``, with score 0, and
-    rejected. Equal texts get equal values. An empty table stays empty; with
-    no model every row is ``und``.
+    rejected. Texts are read whole, whatever the length of their words. Of
+    languages with one cross-entropy the first by name is taken. Equal texts
+    get equal values, and rows that repeat an id are scored each. An empty
+    table stays empty; with no model every row is ``und``.
     """
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
@@ -288,6 +306,12 @@ def fold(modulus: int):
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; learned from those outside the held-out fold.
+
+    A null doc_id belongs to no fold: it isn't learned from and isn't held out.
+    Null and empty texts are ``und``; repeated rows stay; other columns of
+    ``documents`` aren't read; an empty table gives an empty table.
+    """
     docs = documents(spark, sf_dir)
     model = train(docs.where(fold(5) != 0))
     return detect(docs.select("doc_id", "text"), model).withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score", "rejected")
