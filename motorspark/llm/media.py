@@ -2,9 +2,13 @@
 
 ``media_columns`` walks the nested boxes of a file held in a binary column,
 decodes the sample tables and gives codec, duration and the byte ranges that
-start at a keyframe; payloads are not decoded. ``store`` and ``read_back``
-keep bytes losslessly in such a container: 8-bit grey frames of 8 x 8, a
-keyframe every ``GOP`` frames, the others as differences from the one before.
+start at a keyframe; payloads are not decoded. ``stored`` keeps texts
+losslessly in such containers: 8-bit grey frames of 8 x 8, a keyframe every
+``GOP`` frames, the others as differences from the one before. ``payload``
+reads them back by the byte ranges.
+
+Not read: fragments (``moof``), composition offsets (``ctts``) and edit lists
+(``elst``). A fragmented file has a track without samples.
 """
 
 from __future__ import annotations
@@ -17,8 +21,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from motorspark.llm._io import documents, small_batches
+from motorspark.llm._io import documents, with_columns
 
 FRAME, SIDE, GOP, TIMESCALE, CODEC = 64, 8, 16, 25, b"md8g"
 #: Boxes that hold boxes only (ISO/IEC 14496-12).
@@ -117,6 +122,17 @@ def _numbers(data: bytes, start: int, end: int, kind: str, width: int = 1) -> np
     return np.frombuffer(data, kind, count * width, start + 4).astype(np.int64).reshape(count, width)
 
 
+def _small_sizes(data: bytes, a: int, b: int) -> np.ndarray:
+    """The sizes of a compact table: 4, 8 or 16 bits each."""
+    bits, count = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
+    if bits not in (4, 8, 16) or a + 12 + -(-count * bits // 8) > b:
+        raise ValueError("a table reaches past its box")
+    if bits == 16:
+        return np.frombuffer(data, ">u2", count, a + 12).astype(np.int64)
+    raw = np.frombuffer(data, np.uint8, -(-count * bits // 8), a + 12)
+    return (raw if bits == 8 else np.stack((raw >> 4, raw & 15), 1).ravel()[:count]).astype(np.int64)
+
+
 def tracks(data: bytes) -> list[dict]:
     """For each track: codec, handler, timescale, duration, sample offsets, sizes and keyframes (from 0)."""
     found: list[dict] = []
@@ -143,7 +159,11 @@ def tracks(data: bytes) -> list[dict]:
                 t["chunks"] = _numbers(data, a + 4, b, ">u4" if name == "stco" else ">u8")[:, 0]
             elif name == "stsz":
                 fixed, count = struct.unpack_from(">II", data, a + 4)
+                if fixed * count > len(data):
+                    raise ValueError("a track reaches past the file")
                 t["sizes"] = np.full(count, fixed, np.int64) if fixed else _numbers(data, a + 8, b, ">u4")[:, 0]
+            elif name == "stz2":
+                t["sizes"] = _small_sizes(data, a, b)
     for t in found:
         sizes, chunks, runs = t.get("sizes", np.zeros(0, np.int64)), t.get("chunks", np.zeros(0, np.int64)), t.get("runs", np.zeros((0, 3), np.int64))
         if len(chunks) and len(runs):
@@ -154,6 +174,7 @@ def tracks(data: bytes) -> list[dict]:
             raise ValueError("the sample tables disagree")
         starts = np.cumsum(sizes) - sizes
         first = np.cumsum(per) - per
+        t["sizes"] = sizes
         t["offsets"] = starts + np.repeat(chunks - (starts[first] if len(first) else 0), per)
         t["keys"] = t.get("keys", np.arange(len(sizes)))
         if len(t["keys"]) and t["keys"].max() >= len(sizes):
@@ -170,61 +191,54 @@ def keyframe_ranges(track: dict) -> np.ndarray:
     return np.stack([offsets[keys], offsets[ends] + sizes[ends] - offsets[keys]], 1)
 
 
-def read_back(data: bytes) -> tuple[bytes, dict]:
-    """The payload that ``store`` put into ``data``, read by its sample tables, and its track."""
-    track = tracks(data)[0]
+def payload(data: bytes, spans: np.ndarray) -> bytes:
+    """The bytes stored in the frames at the ranges (offset, length) of ``data``, each range from a keyframe to the next."""
     raw = np.frombuffer(data, np.uint8)
-    spans = keyframe_ranges(track)
-    coded = np.concatenate([raw[a : a + n] for a, n in spans]) if len(spans) else raw[:0]
+    coded = np.concatenate([raw[:0], *(raw[a : a + n] for a, n in spans)])
     frames = coded.reshape(-1, FRAME)
     # Frames of a group are running sums, modulo 256, from its keyframe on.
     whole = len(frames) // GOP * GOP
     parts = [np.cumsum(frames[:whole].reshape(-1, GOP, FRAME), 1, dtype=np.uint8).reshape(-1, FRAME), np.cumsum(frames[whole:], 0, dtype=np.uint8)]
-    return np.concatenate(parts).tobytes(), track
+    return np.concatenate(parts).tobytes()
 
 
-MEDIA_SCHEMA = "codec string, handler string, duration_s double, n_samples long, n_keyframes long, keyframes array<struct<offset:long,length:long>>, media_error string"
+MEDIA_SCHEMA = "codec string, handler string, n_tracks long, duration_s double, n_samples long, n_keyframes long, keyframes array<struct<offset:long,length:long>>, media_error string"
 
 
-def media_columns(df: DataFrame, column: str, key: str) -> DataFrame:
-    """``key`` and, for the first track of the container in ``column``, its media columns.
+def media_row(data: bytes | None) -> tuple:
+    """The media columns of one container: of its first video track, or its first track without one."""
+    try:
+        if data is None:
+            raise ValueError("no container")
+        if not (found := tracks(data)):
+            raise ValueError("no track")
+        t = next((t for t in found if t.get("handler") == "vide"), found[0])
+        spans = keyframe_ranges(t)
+        seconds = t["duration"] / t["timescale"] if t.get("timescale") else None
+        keyframes = [{"offset": int(a), "length": int(n)} for a, n in spans]
+        return t.get("codec"), t.get("handler"), len(found), seconds, len(t["offsets"]), len(t["keys"]), keyframes, None
+    except (ValueError, IndexError, struct.error) as e:
+        return None, None, None, None, None, None, None, str(e)
+
+
+def media_columns(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with the media columns of the container in the binary ``column``.
 
     Null or broken containers give null columns and a reason in
     ``media_error``; a container without tracks has the reason ``no track``.
+    Columns of ``df`` with the names of media columns are replaced; all others
+    stay. Rows are independent: repeated rows and empty tables need no care.
     """
-    small_batches(df.sparkSession)
-    source = df.select(key, column)
-    kind = source.schema[key].dataType.simpleString()
-
-    def scan(batches):
-        for batch in batches:
-            rows = []
-            for data in batch.column(1):
-                data = data.as_py()
-                row: dict = {"codec": None, "handler": None, "duration_s": None, "n_samples": None, "n_keyframes": None, "keyframes": None, "media_error": None}
-                try:
-                    if data is None:
-                        raise ValueError("no container")
-                    if not (found := tracks(bytes(data))):
-                        raise ValueError("no track")
-                    t = found[0]
-                    spans = keyframe_ranges(t)
-                    row |= {
-                        "codec": t.get("codec"), "handler": t.get("handler"), "n_samples": len(t["sizes"]), "n_keyframes": len(t["keys"]),
-                        "duration_s": t["duration"] / t["timescale"] if t.get("timescale") else None,
-                        "keyframes": [{"offset": int(a), "length": int(n)} for a, n in spans],
-                    }
-                except (ValueError, struct.error) as e:
-                    row["media_error"] = str(e)
-                rows.append(row)
-            made = pa.Table.from_pylist(rows, schema=out).columns if rows else [pa.array([], f.type) for f in out]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in made]], names=[key, *out.names])
-
-    out = pa.schema([
-        ("codec", pa.string()), ("handler", pa.string()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("n_keyframes", pa.int64()),
-        ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))), ("media_error", pa.string()),
-    ])
-    return source.mapInArrow(scan, f"`{key}` {kind}, {MEDIA_SCHEMA}")
+    kinds = [
+        pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(),
+        pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())])), pa.string(),
+    ]
+
+    def scan(batch: pa.RecordBatch) -> list[pa.Array]:
+        rows = [media_row(None if data is None else bytes(data)) for data in batch.column(column).to_pylist()]
+        return [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * len(kinds), kinds, strict=True)]
+
+    return with_columns(df, MEDIA_SCHEMA, scan)
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -233,33 +247,40 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + bytes(max(FRAME, -(-len(raw) // FRAME) * FRAME) - len(raw))
 
 
+def stored(docs: DataFrame, column: str = "text") -> DataFrame:
+    """``docs`` with ``n_bytes`` of the text and the container ``media`` that holds it; a null or empty text is one frame of zeros."""
+
+    def keep(batch: pa.RecordBatch) -> list[pa.Array]:
+        made = [padded(text) for text in batch.column(column).to_pylist()]
+        return [pa.array([n for n, _ in made], pa.int64()), pa.array([store(p) for _, p in made], pa.binary())]
+
+    return with_columns(docs, "n_bytes long, media binary", keep)
+
+
+DIGESTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text stored in a container, walked, and read back from the stored bytes.
+    """Each text stored in a container, the containers' media columns, and the payload read back by them.
 
-    ``feature``: codec, frames, duration, keyframes, and the ends of the
-    keyframe ranges. A null or empty text is one frame of zeros.
+    ``feature``: codec, frames, duration, keyframes, and the first and last
+    range that starts at a keyframe. A null or empty text is one frame of
+    zeros. Repeated rows and ids come back each; an empty table stays empty.
     """
 
-    def keep(batches):
-        for batch in batches:
-            out: list[tuple] = []
-            for text in batch.column(1):
-                n, payload = padded(text.as_py())
-                data = store(payload)
-                back, t = read_back(data)
-                spans = keyframe_ranges(t)
-                feature = (
-                    f"codec={t['codec']};frames={len(t['sizes'])};seconds={t['duration'] / t['timescale']:.2f};keyframes={len(t['keys'])};"
-                    f"first={spans[0][0]}+{spans[0][1]};last={spans[-1][0]}+{spans[-1][1]}"
-                )
-                out.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-FRAME:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
-
-    return documents(spark, sf_dir).select("doc_id", "text").mapInArrow(
-        keep, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    def digest(batch: pa.RecordBatch) -> list[pa.Array]:
+        out: list[tuple] = []
+        for data, ranges in zip(batch.column("media").to_pylist(), batch.column("keyframes").to_pylist(), strict=True):
+            back = payload(data, [(r["offset"], r["length"]) for r in ranges])
+            out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-FRAME:]), len(data), hashlib.sha256(data).hexdigest()))
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        return [pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 5, kinds, strict=True)]
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    read = with_columns(media_columns(stored(docs).drop("text"), "media"), DIGESTS, digest)
+    first, last = F.get("keyframes", F.lit(0)), F.get("keyframes", F.size("keyframes") - 1)
+    feature = F.format_string(
+        "codec=%s;frames=%d;seconds=%.2f;keyframes=%d;first=%d+%d;last=%d+%d", "codec", "n_samples", "duration_s", "n_keyframes",
+        first["offset"], first["length"], last["offset"], last["length"],
     )
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

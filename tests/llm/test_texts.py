@@ -1,17 +1,14 @@
 """License scans, media columns, BPE, line dedup, SimHash: against brute force on small tables."""
 
-import hashlib
 import random
 import re
-import zlib
 
 import numpy as np
-import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from motorspark.llm import bpe, licenses, line_dedup, media, simhash
+from motorspark.llm import bpe, licenses, line_dedup, simhash
 
 SCHEMA = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("kept", StringType()), StructField("fp", StringType()), StructField("ids", StringType())])
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -58,21 +55,6 @@ def test_license_suppression():
         assert licenses.resolve(found) == sorted(kept)
 
 
-def test_media(spark, docs):
-    stored = []
-    for _, t in as_rows(docs):
-        n, payload = media.padded(t)
-        data = media.store(payload)
-        back, track = media.read_back(data)
-        assert back == payload and len(payload) % 64 == 0 and payload and n == len((t or "").encode())
-        assert track["codec"] == "md8g" and len(track["keys"]) == -(-len(payload) // 1024)
-        stored.append((len(stored), bytearray(data)))
-    df = spark.createDataFrame([*stored, (900, None), (901, bytearray(b"\0\0\0\xffmoov")), (902, bytearray(b""))], "k long, f binary")
-    got = {r["k"]: r for r in media.media_columns(df, "f", "k").collect()}
-    assert all(got[k]["media_error"] is None and got[k]["keyframes"] for k, _ in stored)
-    assert got[900]["media_error"] == "no container" and "past" in got[901]["media_error"] and got[902]["media_error"] == "no track"
-
-
 def test_bpe(docs):
     tokenizers = pytest.importorskip("tokenizers")
     path = bpe.default_vocabulary()
@@ -168,10 +150,3 @@ def test_crowded_cells(spark, monkeypatch):
     for f in fps:
         brute.setdefault(comp[f], set()).add(f)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, brute.values()))
-
-
-def test_digests(docs):
-    """Equal texts have equal containers."""
-    a, b = media.store(media.padded("abc")[1]), media.store(media.padded("abc")[1])
-    assert hashlib.sha256(a).digest() == hashlib.sha256(b).digest() and zlib.crc32(a) == zlib.crc32(b)
-    assert pd.Series([len(a)]).iloc[0] > 64
