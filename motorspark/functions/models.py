@@ -99,24 +99,37 @@ def deviance(y: np.ndarray, mu: np.ndarray) -> float:
     return float((t - (y - mu)).sum())
 
 
-def poisson_cv(x: np.ndarray, y: np.ndarray, k: int = 5, seed: int = 0, alpha: float = 1e-4, select: float | None = None, fold: np.ndarray | None = None) -> tuple[float, float, list[float]]:
-    """Held-out pR2, adjusted pR2, and the pR2 of each fold."""
+def strongest(x: np.ndarray, y: np.ndarray, most: int | None, alpha: float = 0.01) -> np.ndarray:
+    """The columns with the ``most`` largest lasso weights on the root of y, in their order; all without a limit below their number."""
+    if not most or most >= x.shape[1]:
+        return np.arange(x.shape[1])
+    weight = np.abs(lasso(x, np.sqrt(np.maximum(y, 0)), alpha))
+    return np.sort(np.argsort(-weight, kind="stable")[:most])
+
+
+def poisson_pr2(y: np.ndarray, mu: np.ndarray) -> float:
+    """1 - deviance / deviance of the mean of y; NaN where y is constant."""
+    d0 = deviance(y, np.full(len(y), y.mean())) if len(y) and y.min() < y.max() else 0.0
+    return 1 - deviance(y, np.maximum(mu, 1e-9)) / d0 if d0 > 0 else math.nan
+
+
+def poisson_cv(x: np.ndarray, y: np.ndarray, k: int = 5, seed: int = 0, alpha: float = 1e-4, max_predictors: int | None = None, fold: np.ndarray | None = None) -> tuple[float, float, list[float]]:
+    """Mean held-out pR2, that adjusted for the predictors used, and the pR2 of each fold.
+
+    X is taken as it is, so that ``alpha`` penalises weights in its units.
+    """
     f = folds(len(y), k, seed) if fold is None else fold
-    mu, null, each = np.empty(len(y)), np.empty(len(y)), []
-    used = x.shape[1]
+    each, used = [], x.shape[1]
     for i in np.unique(f):
         tr, te = f != i, f == i
-        xtr, xte = standardise(x[tr], x[te])
-        if select is not None:
-            keep = lasso(x[tr], np.sqrt(y[tr]), select) != 0
-            xtr, xte = (xtr[:, keep], xte[:, keep]) if keep.any() else (xtr, xte)
-        b, w = poisson_fit(xtr, y[tr], alpha)
-        mu[te], null[te] = np.exp(np.clip(b + xte @ w, -50, 50)), max(y[tr].mean(), 1e-9)
-        d0 = deviance(y[te], null[te])
-        each.append(1 - deviance(y[te], mu[te]) / d0 if d0 > 0 else math.nan)
-    d0 = deviance(y, null)
-    pr2 = 1 - deviance(y, mu) / d0 if d0 > 0 else math.nan
-    n = len(y)
+        if not tr.any():
+            continue
+        keep = strongest(x[tr], y[tr], max_predictors)
+        used = len(keep)
+        b, w = poisson_fit(x[tr][:, keep], y[tr], alpha)
+        each.append(poisson_pr2(y[te], np.exp(np.clip(b + x[te][:, keep] @ w, -50, 50))))
+    good = [v for v in each if not math.isnan(v)]
+    pr2, n = float(np.mean(good)) if good else math.nan, len(y)
     return pr2, 1 - (1 - pr2) * (n - 1) / (n - used - 1) if n > used + 1 else math.nan, each
 
 
@@ -141,18 +154,19 @@ def lda_cv(x: np.ndarray, labels: np.ndarray, k: int = 5, seed: int = 0) -> floa
 
 
 def kalman_fit(states: list[np.ndarray], rates: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """A, W, H, Q by least squares over trials."""
+    """A, W, H, Q by least squares over trials, and the mean and covariance of the states, from which a trial starts."""
     x0, x1 = np.concatenate([s[:-1] for s in states]), np.concatenate([s[1:] for s in states])
     a = np.linalg.lstsq(x0, x1, rcond=None)[0].T
     x, z = np.concatenate(states), np.concatenate(rates)
     h = np.linalg.lstsq(x, z, rcond=None)[0].T
     w, q = x1 - x0 @ a.T, z - x @ h.T
-    return a, w.T @ w / len(w), h, q.T @ q / len(q)
+    return a, w.T @ w / max(len(w), 1), h, q.T @ q / len(q), x.mean(0), np.cov(x.T, ddof=min(1, len(x) - 1)).reshape(x.shape[1], x.shape[1])
 
 
-def kalman_filter(rates: np.ndarray, start: np.ndarray, a: np.ndarray, w: np.ndarray, h: np.ndarray, q: np.ndarray) -> np.ndarray:
-    x, p, out = start, np.zeros_like(w), [start]
-    for z in rates[1:]:
+def kalman_filter(rates: np.ndarray, a: np.ndarray, w: np.ndarray, h: np.ndarray, q: np.ndarray, x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """States of a trial from its rates alone; ``x`` and ``p`` are mean and covariance before the first bin."""
+    out = []
+    for z in rates:
         x, p = a @ x, a @ p @ a.T + w
         gain = p @ h.T @ np.linalg.pinv(h @ p @ h.T + q)
         x, p = x + gain @ (z - h @ x), p - gain @ h @ p
@@ -226,18 +240,46 @@ def dynamics(x: np.ndarray, delays: int, rank: int) -> np.ndarray:
     return np.linalg.lstsq(z[:-1], z[1:], rcond=None)[0].T
 
 
-def dsa(x: np.ndarray, y: np.ndarray, delays: int = 5, rank: int = 5, rounds: int = 50) -> float:
-    """Angle between two operators after the best orthogonal change of basis, found by alternation from the eigenbases."""
+def _rotations(a: np.ndarray, b: np.ndarray, starts: int, seed: int) -> np.ndarray:
+    """Orthogonal matrices to start from: the identity, one that aligns the eigenbases, and random ones.
+
+    Where b is a in another basis, the symmetric parts have the same
+    eigenvalues, which gives the change of basis but for the signs of its
+    columns; the antisymmetric parts give these.
+    """
+    r = len(a)
+    (_, u), (_, v) = np.linalg.eigh(a + a.T), np.linalg.eigh(b + b.T)
+    both = (u.T @ (a - a.T) @ u) * (v.T @ (b - b.T) @ v)
+    sign = np.linalg.eigh(both + both.T)[1][:, -1]
+    sign = np.where(sign < 0, -1.0, 1.0)
+    random = np.linalg.qr(np.random.default_rng(seed).normal(size=(starts, r, r)))[0]
+    return np.concatenate((np.eye(r)[None], ((u * sign) @ v.T)[None], random))
+
+
+def dsa(x: np.ndarray, y: np.ndarray, delays: int = 5, rank: int = 5, starts: int = 4, rounds: int = 200, seed: int = 0) -> float:
+    """Distance of the dynamics of two series: the least |A C - C B| over orthogonal C, over the mean norm of A and B.
+
+    Projected gradient steps of a length that never lets the distance grow,
+    from several starts at once; the best end counts. 0 means that one system
+    is the other in another basis.
+    """
     a, b = dynamics(x, delays, rank), dynamics(y, delays, rank)
     r = min(len(a), len(b))
     a, b = a[:r, :r], b[:r, :r]
-    c, best = np.eye(r), math.inf
+    scale = (np.linalg.norm(a) + np.linalg.norm(b)) / 2
+    if scale == 0:
+        return 0.0
+    c, step = _rotations(a, b, starts, seed), 0.5 / max(np.linalg.norm(a, 2) + np.linalg.norm(b, 2), 1e-300) ** 2
+    before = np.inf
     for _ in range(rounds):
-        u, _, vt = np.linalg.svd(a @ c @ b.T + a.T @ c @ b)
+        rest = a @ c - c @ b
+        now = np.linalg.norm(rest, axis=(1, 2)).min()
+        if now < 1e-10 * scale or before - now < 1e-7 * scale and _ >= 20:
+            break
+        before = now
+        u, _s, vt = np.linalg.svd(c - 2 * step * (a.T @ rest - rest @ b.T))
         c = u @ vt
-        cos = (a * (c @ b @ c.T)).sum() / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-300)
-        best = min(best, math.acos(float(np.clip(cos, -1, 1))))
-    return best
+    return float(np.linalg.norm(a @ c - c @ b, axis=(1, 2)).min() / scale)
 
 
 def whiten(x: np.ndarray, ridge_: float = 1e-6) -> np.ndarray:

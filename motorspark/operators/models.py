@@ -15,10 +15,16 @@ from motorspark.functions import models as M
 from motorspark.operators import series as W
 from motorspark.operators.predicates import crop_to_period
 
-#: Predictors, and the signals that each takes its channels from.
+#: Predictors, and the signals that each takes its channels from.
 PREDICTORS = {
-    "angle": ("angle",), "velocity": ("velocity",), "digit_force": ("digit_force",), "segment_force": ("segment_force",), "torque": ("torque",),
-    "kinematics": ("angle", "velocity"), "dynamics": ("digit_force", "torque"), "all": ("angle", "velocity", "digit_force", "torque"),
+    "joint_angles": ("joint_angles",),
+    "joint_velocity": ("joint_velocity",),
+    "digit_forces": ("digit_forces",),
+    "segment_forces": ("segment_forces",),
+    "torques": ("torques",),
+    "position_velocity": ("joint_angles", "joint_velocity"),
+    "position_torques": ("joint_angles", "torques"),
+    "position_segment_forces": ("joint_angles", "segment_forces"),
 }
 
 
@@ -27,7 +33,11 @@ def _keys_ddl(df: DataFrame, keys: Sequence[str]) -> str:
 
 
 def per_group(df: DataFrame, keys: Sequence[str], fit: Callable[[pd.DataFrame], list[dict]], schema: str) -> DataFrame:
-    """Rows that ``fit`` makes of each group, with the group's keys in front."""
+    """Rows that ``fit`` makes of each group, with the group's keys in front.
+
+    Groups are few bytes and much work, so they are dealt over as many tasks
+    as there are shuffle partitions, which adaptive execution must not join.
+    """
     names = [p.split()[0] for p in schema.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -36,7 +46,11 @@ def per_group(df: DataFrame, keys: Sequence[str], fit: Callable[[pd.DataFrame],
             made.insert(i, k, pdf[k].iloc[0])
         return made
 
-    return df.groupBy(*keys).applyInPandas(run, f"{_keys_ddl(df, keys)}, {schema}")
+    return _spread(df, keys).groupBy(*keys).applyInPandas(run, f"{_keys_ddl(df, keys)}, {schema}")
+
+
+def _spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -127,8 +141,19 @@ def demixed_pca(marginals: DataFrame, n: int, keys: Sequence[str] = ("session",)
     return per_group(rows, keys, fit, "part string, component int, decoder array<double>, encoder array<double>, explained double")
 
 
-def poisson_glm_cv(design: DataFrame, keys: Sequence[str] = ("session",), folds: int = 5, seed: int = 0, alpha: float = 1e-4, select: float | None = None) -> DataFrame:
-    """Held-out pR2 of every unit. A session's X goes to one group once and serves all its units."""
+def poisson_glm_cv(design: DataFrame, keys: Sequence[str] = ("session",), folds: int = 5, seed: int = 0, alpha: float = 1e-4, max_predictors: int | None = None, units: int = 16) -> DataFrame:
+    """Held-out pR2 of every unit, as the mean over folds of whole bins; with ``max_predictors``, of the strongest by lasso.
+
+    Units are dealt into blocks of about ``units`` by a hash, and a block is
+    a group with the session's X once: a session of hundreds of units is the
+    work of many tasks, and its X is moved once for each block. A unit that a
+    bin has no rate for counts 0 there.
+    """
+    names = design.select(*keys, F.explode(F.map_keys("y")).alias("unit_id")).distinct()
+    blocks = names.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / units).cast("int").alias("_blocks"))
+    # A key has as many blocks as its units need, each with the part of y that is its own.
+    dealt = design.join(blocks, list(keys)).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    own = F.map_filter("y", lambda u, _: F.pmod(F.xxhash64(u), F.col("_blocks")) == F.col("_block"))
 
     def fit(pdf: pd.DataFrame) -> list[dict]:
         pdf = pdf.sort_values([c for c in ("trial", "t") if c in pdf])
@@ -136,11 +161,11 @@ def poisson_glm_cv(design: DataFrame, keys: Sequence[str] = ("session",), folds:
         ys = [dict(y) for y in pdf["y"]]
         for unit in sorted({u for y in ys for u in y}):
             y = np.array([v.get(unit, 0.0) or 0.0 for v in ys])
-            pr2, adj, each = M.poisson_cv(x, y, folds, seed_of(seed, unit), alpha, select)
+            pr2, adj, each = M.poisson_cv(x, y, folds, seed_of(seed, unit), alpha, max_predictors)
             out.append({"unit_id": unit, "pr2": pr2, "adj_pr2": adj, "folds": each})
         return out
 
-    return per_group(design, keys, fit, "unit_id string, pr2 double, adj_pr2 double, folds array<double>")
+    return per_group(dealt.withColumn("y", own).drop("_blocks"), [*keys, "_block"], fit, "unit_id string, pr2 double, adj_pr2 double, folds array<double>").drop("_block")
 
 
 def lag_sweep(samples: DataFrame, lags: Sequence[int], x: Sequence[str], y: str = "y", keys: Sequence[str] = ("session",), trial: str = "trial", unit: str = "unit_id", order: str = "bin") -> DataFrame:
@@ -238,7 +263,7 @@ DECODED = "trial long, r2 double, rmse double, r array<double>"
 
 
 def kalman_decode_cv(rows: DataFrame, keys: Sequence[str] = ("session",), folds: int = 5, seed: int = 0) -> DataFrame:
-    """``rows``: keys, trial, bin, x (rates), y (states). Scores of held-out trials."""
+    """``rows``: keys, trial, bin, x (rates), y (states). Scores of held-out trials, decoded from their rates alone."""
 
     def fit(pdf: pd.DataFrame) -> list[dict]:
         tr = pdf[~pdf["held"]]
@@ -249,7 +274,7 @@ def kalman_decode_cv(rows: DataFrame, keys: Sequence[str] = ("session",), folds:
         for t, g in pdf[pdf["held"]].groupby("trial"):
             g = g.sort_values("bin")
             y = _matrix(g["y"])
-            out.append({"trial": t} | _score(y, M.kalman_filter(_matrix(g["x"]), y[0], *a)))
+            out.append({"trial": t} | _score(y, M.kalman_filter(_matrix(g["x"]), *a)))
         return out
 
     return per_group(_deal(rows, keys, folds, seed), [*keys, "fold"], fit, DECODED)
@@ -267,17 +292,16 @@ def wiener_decode_cv(rows: DataFrame, keys: Sequence[str] = ("session",), lags:
         if components is not None:
             back = M.pca(np.concatenate(xs), components)[1].T
         x = np.concatenate([M.lagged(v @ back, lags) for v in xs])
-        out = []
-        for t, g in te.groupby("trial"):
-            g = g.sort_values("bin")
-            z, zt = M.standardise(x, M.lagged(_matrix(g["x"]) @ back, lags))
-            if decoder is not None:
-                p = decoder(z, ys, zt)
-            else:
-                w, b = M.ridge(z, ys, alpha)
-                p = zt @ w + b
-            out.append({"trial": t} | _score(_matrix(g["y"]), p))
-        return out
+        held = [(t, g.sort_values("bin")) for t, g in te.groupby("trial")]
+        # Fitted once a fold; its trials are decoded together.
+        z, zt = M.standardise(x, np.concatenate([M.lagged(_matrix(g["x"]) @ back, lags) for _, g in held]))
+        if decoder is not None:
+            p = decoder(z, ys, zt)
+        else:
+            w, b = M.ridge(z, ys, alpha)
+            p = zt @ w + b
+        parts = np.split(p, np.cumsum([len(g) for _, g in held])[:-1])
+        return [{"trial": t} | _score(_matrix(g["y"]), part) for (t, g), part in zip(held, parts, strict=True)]
 
     return per_group(_deal(rows, keys, folds, seed), [*keys, "fold"], fit, DECODED)
 
@@ -323,29 +347,38 @@ def compare_spaces(rows: DataFrame, methods: Sequence[str] = ("rrr", "cca", "dsa
     return per_group(rows, keys, fit, "method string, value double")
 
 
-#: Draws of one surrogate that share a copy of their key's rows.
+#: Draws of one surrogate that one task makes one after the other.
 DRAWS = 25
 
 
 def surrogate_null(rows: DataFrame, n: int, surrogates: Sequence[str] = ("time_shuffle", "circular_shift", "phase_randomize", "trial_shuffle"), methods: Sequence[str] = ("rrr", "cca", "dsa"), keys: Sequence[str] = ("session",), seed: int = 0, headline: Callable | None = None) -> DataFrame:
-    """The headline recomputed on surrogates of x, each seeded by key, surrogate and draw; a key's draws go to groups of DRAWS."""
-    spark = rows.sparkSession
-    draws = spark.range(-(-n // DRAWS)).select(F.col("id").cast("int").alias("_block"), F.explode(F.array(*map(F.lit, surrogates))).alias("surrogate"))
-    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("trial", "bin", "x", "y"))).alias("rows"))
-
-    def fit(pdf: pd.DataFrame) -> list[dict]:
-        r = pdf.iloc[0]
-        x = M.standardise(np.array([list(v["x"]) for v in r["rows"]], float))[0]
-        y = M.standardise(np.array([list(v["y"]) for v in r["rows"]], float))[0]
-        trial = np.array([v["trial"] for v in r["rows"]])
-        out = []
-        for draw in range(r["_block"] * DRAWS, min((r["_block"] + 1) * DRAWS, n)):
-            rng = np.random.default_rng(seed_of(seed, r["surrogate"], draw, *[r[k] for k in keys]))
-            mixed = M.surrogate(x, r["surrogate"], rng, trial)
-            out += [{"draw": draw, "method": m, "value": float((headline or HEADLINES[m])(mixed, y))} for m in methods]
-        return out
+    """The headline recomputed on surrogates of x, each seeded by key, surrogate and draw.
 
-    return per_group(packed.crossJoin(F.broadcast(draws)), [*keys, "surrogate", "_block"], fit, "draw int, method string, value double").drop("_block")
+    A key is packed into one row, and this row goes to one task for each
+    surrogate: it is moved as often as there are surrogates, not draws. The
+    draws are made beside it, in blocks, and nothing but headlines leaves.
+    """
+    blocks = -(-n // DRAWS)
+    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("trial", "bin", "x", "y"))).alias("rows"))
+    lanes = _spread(packed.withColumn("surrogate", F.explode(F.array(*map(F.lit, surrogates)))), [*keys, "surrogate"])
+    dealt = lanes.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    schema = f"{_keys_ddl(rows, keys)}, surrogate string, draw int, method string, value double"
+
+    def run(batches):
+        for pdf in batches:
+            out: list[dict] = []
+            for r in pdf.to_dict("records"):
+                x = M.standardise(np.array([list(v["x"]) for v in r["rows"]], float))[0]
+                y = M.standardise(np.array([list(v["y"]) for v in r["rows"]], float))[0]
+                trial = np.array([v["trial"] for v in r["rows"]])
+                own = {k: r[k] for k in keys}
+                for draw in range(r["_block"] * DRAWS, min((r["_block"] + 1) * DRAWS, n)):
+                    rng = np.random.default_rng(seed_of(seed, r["surrogate"], draw, *own.values()))
+                    mixed = M.surrogate(x, r["surrogate"], rng, trial)
+                    out += [own | {"surrogate": r["surrogate"], "draw": draw, "method": m, "value": float((headline or HEADLINES[m])(mixed, y))} for m in methods]
+            yield pd.DataFrame(out, columns=[*keys, "surrogate", "draw", "method", "value"])
+
+    return dealt.mapInPandas(run, schema)
 
 
 def point_features(signals: DataFrame, events: DataFrame, keys: Sequence[str] = ("session", "trial")) -> DataFrame:

@@ -28,7 +28,7 @@ def test_lda_kalman_and_ridge():
     h = g.normal(size=(5, 2))
     z = [v @ h.T + 0.1 * g.normal(size=(80, 5)) for v in s]
     a = M.kalman_fit(s[:5], z[:5])
-    assert M.r2(s[5], M.kalman_filter(z[5], s[5][0], *a)) > 0.9
+    assert M.r2(s[5], M.kalman_filter(z[5], *a)) > 0.9
     w, b = M.ridge(x, x @ np.eye(3)[:, :1] + 2, 1e-9)
     assert np.allclose(w[:, 0], [1, 0, 0], atol=1e-6) and np.isclose(b[0], 2)
 
@@ -43,6 +43,39 @@ def test_spaces():
     assert np.allclose(w.T @ w / len(w), np.eye(3), atol=1e-2)
 
 
+def test_dsa_of_rotated_copies_is_zero():
+    g = rng()
+    for _ in range(10):
+        q = np.linalg.qr(g.normal(size=(4, 4)))[0]
+        a = np.linalg.qr(g.normal(size=(4, 4)))[0] * g.uniform(0.8, 0.99)
+        x = [g.normal(size=4)]
+        for _ in range(299):
+            x.append(a @ x[-1] + 0.3 * g.normal(size=4))
+        x = np.array(x)
+        other = np.cumsum(g.normal(size=(300, 4)), 0)
+        assert M.dsa(x, x @ q) < 1e-3 < 0.02 < M.dsa(x, other)
+        assert M.dsa(x, x @ q, starts=0) < 1e-3
+
+
+def test_glm_averages_folds_and_counts_what_it_used():
+    g = rng()
+    x = g.normal(size=(400, 6))
+    y = g.poisson(np.exp(0.3 + x[:, 2] * 0.8 - x[:, 4] * 0.5)).astype(float)
+    fold = np.arange(400) % 4
+    pr2, adj, each = M.poisson_cv(x, y, fold=fold)
+    want = []
+    for i in range(4):
+        b, w = M.poisson_fit(x[fold != i], y[fold != i])
+        mu, t = np.exp(b + x[fold == i] @ w), y[fold == i]
+        dev = lambda m: float(np.where(t > 0, t * np.log(np.where(t > 0, t, 1) / m), 0).sum() - (t - m).sum())
+        want.append(1 - dev(mu) / dev(np.full(len(t), t.mean())))
+    assert np.allclose(each, want) and np.isclose(pr2, np.mean(want)) and np.isclose(adj, 1 - (1 - pr2) * 399 / 393)
+    assert M.strongest(x, y, 2).tolist() == [2, 4] and M.strongest(x, y, None).tolist() == list(range(6))
+    pr2, adj, _ = M.poisson_cv(x, y, fold=fold, max_predictors=2)
+    assert np.isclose(adj, 1 - (1 - pr2) * 399 / 397) and pr2 > 0.2
+    assert np.isnan(M.poisson_pr2(np.full(5, 2.0), np.ones(5)))
+
+
 def test_surrogates_keep_what_they_should():
     g = rng()
     x = g.normal(size=(64, 2))
@@ -61,22 +94,88 @@ def test_distributed_pca_matches_svd(spark):
     assert np.allclose([r["weights"] for r in got], comp, atol=1e-6) and np.allclose([r["explained"] for r in got], share)
 
 
-def test_decoders_and_glm_run(spark):
+XY = "session string, trial long, bin long, x array<double>, y array<double>"
+
+
+def trials_of(g, n, rates):
+    """Trials with levels of their own: the states drift, the rates are made of them by ``rates``."""
+    out, states = [], {}
+    for t in range(n):
+        y = g.normal(0, 5, 2) + np.cumsum(g.normal(0, 0.1, size=(40, 2)), 0)
+        states[t] = (y, rates(y))
+        out += [("s", t, b, states[t][1][b].tolist(), y[b].tolist()) for b in range(40)]
+    return out, states
+
+
+def test_noise_decodes_nothing(spark):
+    g = rng()
+    out, _ = trials_of(g, 20, lambda y: g.normal(size=(40, 4)))
+    d = spark.createDataFrame(out, XY)
+    for got in (O.kalman_decode_cv(d), O.wiener_decode_cv(d, lags=2)):
+        rows = got.collect()
+        assert sorted(r["trial"] for r in rows) == list(range(20)) and np.median([r["r2"] for r in rows]) < 0.05
+
+
+def test_decoders_equal_numpy(spark):
+    g = rng()
+    h = np.array([[1.0, -1, 0.5, 2], [0.3, 1, -1, 0.2]])
+    out, states = trials_of(g, 9, lambda y: y @ h + 0.3 * g.normal(size=(40, 4)))
+    d = spark.createDataFrame(out, XY)
+    kalman = {r["trial"]: r for r in O.kalman_decode_cv(d, folds=3).collect()}
+    wiener = {r["trial"]: r for r in O.wiener_decode_cv(d, folds=3, lags=2).collect()}
+    assert len(kalman) == len(wiener) == 9
+    for fold in {r["fold"] for r in kalman.values()}:
+        held = sorted(t for t, r in kalman.items() if r["fold"] == fold)
+        assert held == sorted(t for t, r in wiener.items() if r["fold"] == fold)
+        train = [t for t in states if t not in held]
+        ys, xs = np.concatenate([states[t][0] for t in train]), np.concatenate([states[t][1] for t in train])
+        y0, y1 = np.concatenate([states[t][0][:-1] for t in train]), np.concatenate([states[t][0][1:] for t in train])
+        a = np.linalg.lstsq(y0, y1, rcond=None)[0]
+        w = (y1 - y0 @ a).T @ (y1 - y0 @ a) / len(y0)
+        c = np.linalg.lstsq(ys, xs, rcond=None)[0]
+        q = (xs - ys @ c).T @ (xs - ys @ c) / len(ys)
+        lag = lambda x: np.concatenate([np.concatenate((np.repeat(x[:1], i, 0), x[: len(x) - i])) for i in range(3)], 1)
+        big = np.concatenate([lag(states[t][1]) for t in train])
+        m, s = big.mean(0), big.std(0)
+        z = (big - m) / s
+        beta = np.linalg.solve(z.T @ z + np.eye(z.shape[1]), z.T @ (ys - ys.mean(0)))
+        for t in held:
+            x, p, made = ys.mean(0), np.cov(ys.T), []
+            for obs in states[t][1]:
+                x, p = x @ a, a.T @ p @ a + w
+                k = p @ c @ np.linalg.inv(c.T @ p @ c + q)
+                x, p = x + k @ (obs - x @ c), p - k @ c.T @ p
+                made.append(x)
+            assert kalman[t]["r2"] == pytest.approx(M.r2(states[t][0], np.array(made)), abs=1e-6) and kalman[t]["r2"] > 0
+            line = (lag(states[t][1]) - m) / s @ beta + ys.mean(0)
+            assert wiener[t]["r2"] == pytest.approx(M.r2(states[t][0], line), abs=1e-6)
+
+
+def test_glm_blocks_and_nulls(spark):
+    g = rng()
+    x = g.normal(size=(120, 3))
+    rate = {f"u{k}": g.poisson(np.exp(0.5 + 0.7 * x[:, k % 3])).astype(float) for k in range(7)}
+    rows = [("s", 0, float(i), x[i].tolist(), {u: float(v[i]) for u, v in rate.items()}) for i in range(120)]
+    d = spark.createDataFrame(rows, "session string, trial int, t double, x array<double>, y map<string,double>")
+    got = {r["unit_id"]: r for r in O.poisson_glm_cv(d, units=2).collect()}
+    assert set(got) == set(rate)
+    for u, r in got.items():
+        assert r["pr2"] == pytest.approx(M.poisson_cv(x, rate[u], 5, O.seed_of(0, u))[0]) and r["pr2"] > 0
+
+
+def test_nulls_and_comparisons_by_key(spark):
     g = rng()
-    out = []
-    for t in range(6):
-        y = np.cumsum(g.normal(size=(40, 2)), 0)
-        x = np.maximum(y @ g.normal(size=(2, 4)) * 0 + y @ np.ones((2, 4)) * [1, -1, 0.5, 2] + 0.1 * g.normal(size=(40, 4)), -1e9)
-        out += [("s", t, b, x[b].tolist(), y[b].tolist()) for b in range(40)]
-    d = spark.createDataFrame(out, "session string, trial long, bin long, x array<double>, y array<double>")
-    k = O.kalman_decode_cv(d, folds=3)
-    assert sorted(r["trial"] for r in k.collect()) == list(range(6))
-    w = O.wiener_decode_cv(d, folds=3, lags=2)
-    assert w.count() == 6 and "r2" in w.columns
-    n = O.surrogate_null(d, 2, ("circular_shift",), ("cca",))
-    assert n.count() == 2
-    c = O.compare_spaces(d, ("rrr", "cca"))
-    assert {r["method"] for r in c.collect()} == {"rrr", "cca"}
+    out, states = trials_of(g, 6, lambda y: y @ np.ones((2, 4)) * [1, -1, 0.5, 2] + 0.1 * g.normal(size=(40, 4)))
+    d = spark.createDataFrame(out + [("r", *row[1:]) for row in out], XY)
+    c = {(r["session"], r["method"]): r["value"] for r in O.compare_spaces(d, ("rrr", "cca")).collect()}
+    assert set(c) == {(s, m) for s in "rs" for m in ("rrr", "cca")} and c["s", "cca"] > 0.9
+    n = O.surrogate_null(d, 60, ("circular_shift", "time_shuffle"), ("cca",)).collect()
+    keys = {(r["session"], r["surrogate"], r["draw"]) for r in n}
+    assert len(n) == len(keys) == 240
+    x, y = (M.standardise(np.concatenate([states[t][i] for t in range(6)]))[0] for i in (1, 0))
+    one = next(r for r in n if (r["session"], r["surrogate"], r["draw"]) == ("s", "time_shuffle", 41))
+    mixed = M.surrogate(x, "time_shuffle", np.random.default_rng(O.seed_of(0, "time_shuffle", 41, "s")), np.repeat(np.arange(6), 40))
+    assert one["value"] == pytest.approx(M.cca_cv(mixed, y, 1)[0]) and one["value"] < 0.6
 
 
 def test_lag_sweep_finds_the_lag(spark):
