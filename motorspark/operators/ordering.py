@@ -32,6 +32,19 @@ def natural_sort(df: DataFrame, column: str) -> DataFrame:
     return df.orderBy(natural_key(column), column)
 
 
+def positions(df: DataFrame, key: str, prefix: int = 2) -> DataFrame:
+    """``df`` with ``position`` from 1 in the order of the text ``key``.
+
+    Rows are ordered within what begins alike, and each such part starts where
+    those before it end, so no task orders everything.
+    """
+    part = F.substring(F.col(key), 1, prefix)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return df.withColumn("_part", part).withColumn("_in", inside).join(starts, "_part").withColumn("position", F.col("_start") + F.col("_in")).drop("_part", "_in", "_start")
+
+
 def modulated_units(rates: DataFrame, alpha: float, keys: Sequence[str] = ("session", "unit_id"), group: str = "condition", value: str = "rate") -> DataFrame:
     """Units whose rate differs between conditions (Kruskal-Wallis, p < alpha), in order of p."""
     from motorspark.functions.stats import kruskal

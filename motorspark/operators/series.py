@@ -137,22 +137,25 @@ def interpolate(grid: DataFrame, samples: DataFrame, keys: Sequence[str], value:
     """``value`` of ``samples`` at the times of ``grid``: linear; beyond the ends held, or (``clamp`` off) extended.
 
     Grid and samples are merged by time; the samples on both sides come from
-    windows within the series.
+    windows within the series. Beyond an end the line goes through its two
+    outermost samples.
     """
     s = samples.where(F.col(value).isNotNull()).select(*keys, F.col(time).alias("_t"), F.struct(F.col(time).alias("x"), F.col(value).alias("y")).alias("_p"), F.lit(0).alias("_grid"))
+    if not clamp:
+        of = Window.partitionBy(*keys)
+        s = s.withColumns({"_up": F.row_number().over(of.orderBy("_p")), "_down": F.row_number().over(of.orderBy(F.desc("_p")))})
     g = grid.select("*", F.col(time).alias("_t"), F.lit(1).alias("_grid"))
     both = g.unionByName(s, allowMissingColumns=True)
     past = Window.partitionBy(*keys).orderBy("_t", "_grid").rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*keys).orderBy("_t", F.desc("_grid")).rowsBetween(0, Window.unboundedFollowing)
     both = both.withColumns({"_a": F.last("_p", ignorenulls=True).over(past), "_b": F.first("_p", ignorenulls=True).over(ahead)})
     if not clamp:
-        whole = Window.partitionBy(*keys)
-        pts = F.array_sort(F.filter(F.collect_list("_p").over(whole), lambda p: p.isNotNull()))
-        both = both.withColumn("_all", F.when(F.col("_a").isNull() | F.col("_b").isNull(), pts))
+        outer = lambda place, k: F.max(F.when(F.col(place) == k, F.col("_p"))).over(Window.partitionBy(*keys))
+        both = both.withColumns({"_u1": outer("_up", 1), "_u2": outer("_up", 2), "_d1": outer("_down", 1), "_d2": outer("_down", 2)})
         both = both.withColumns({
-            "_a": F.when(F.col("_a").isNull(), F.get("_all", F.lit(0))).when(F.col("_b").isNull(), F.get("_all", F.size("_all") - 2)).otherwise(F.col("_a")),
-            "_b": F.when(F.col("_a").isNull(), F.get("_all", F.lit(1))).when(F.col("_b").isNull(), F.get("_all", F.size("_all") - 1)).otherwise(F.col("_b")),
-        }).drop("_all")
+            "_a": F.when(F.col("_a").isNull(), F.col("_u1")).when(F.col("_b").isNull(), F.col("_d2")).otherwise(F.col("_a")),
+            "_b": F.when(F.col("_a").isNull(), F.col("_u2")).when(F.col("_b").isNull(), F.col("_d1")).otherwise(F.col("_b")),
+        }).drop("_up", "_down", "_u1", "_u2", "_d1", "_d2")
     a, b = F.col("_a"), F.col("_b")
     line = a["y"] + F.try_divide((F.col("_t") - a["x"]) * (b["y"] - a["y"]), b["x"] - a["x"])
     made = F.when(a.isNull(), b["y"]).when(b.isNull(), a["y"]).when(a["x"] == b["x"], a["y"]).otherwise(line)
@@ -230,7 +233,7 @@ def align_trial(joints: DataFrame, frames: DataFrame, keys: Sequence[str] = ("se
     return interpolate(channels, j, [*keys, "channel"]).join(force, [*keys, "t"])
 
 
-def threshold_crossings(df: DataFrame, threshold: float, keys: Sequence[str] = KEYS, value: str = "value", time: str = "t") -> DataFrame:
+def threshold_crossings(df: DataFrame, threshold: float | Column, keys: Sequence[str] = KEYS, value: str = "value", time: str = "t") -> DataFrame:
     """Changes of value > threshold, with ``direction`` and ``crossing``.
 
     Up: interpolated. Down: the sample after, or the one before where the
@@ -244,25 +247,53 @@ def threshold_crossings(df: DataFrame, threshold: float, keys: Sequence[str] = K
     return f.where(was != over).select(*keys, F.when(over, "up").otherwise("down").alias("direction"), F.when(over, up).otherwise(down).alias("crossing"))
 
 
-def grasp_events(crossings: DataFrame, keys: Sequence[str] = KEYS, merge_gap: float = 0.0, min_time: float = 0.0) -> DataFrame:
-    """Pairs (start, stop) of an up and the next down crossing, near ones merged, short ones dropped."""
-    w = _w(keys, "crossing")
-    c = crossings.withColumns({"_next": F.lead("crossing").over(w), "_dir": F.lead("direction").over(w)})
+def two_level_crossings(df: DataFrame, onset: float, offset: float, keys: Sequence[str] = KEYS, value: str = "value", time: str = "t") -> DataFrame:
+    """Ups of the onset level and downs of the offset level."""
+    if onset == offset:
+        return threshold_crossings(df, onset, keys, value, time)
+    both = df.withColumn("_level", F.explode(F.array(F.lit(onset), F.lit(offset))))
+    c = threshold_crossings(both, F.col("_level"), [*keys, "_level"], value, time)
+    return c.where((F.col("direction") == "up") == (F.col("_level") == onset)).drop("_level")
+
+
+def grasp_events(crossings: DataFrame, keys: Sequence[str] = KEYS, merge_gap: float | None = None, min_time: float = 0.0) -> DataFrame:
+    """Pairs (start, stop) of an up and the next down crossing, near ones merged, short ones dropped.
+
+    The crossings may be of two levels. A further up before the down, and a
+    further down before the next up, don't count. Nothing is merged where
+    ``merge_gap`` is null.
+    """
+    w = Window.partitionBy(*keys).orderBy("crossing", F.desc("direction"))
+    c = crossings.withColumn("_was", F.lag("direction").over(w)).where("_was IS NULL OR _was <> direction")
+    c = c.withColumns({"_next": F.lead("crossing").over(w), "_dir": F.lead("direction").over(w)})
     p = c.where("direction = 'up' AND _dir = 'down'").select(*keys, F.col("crossing").alias("start"), F.col("_next").alias("stop"))
-    v = _w(keys, "start")
-    gap = F.col("start") - F.lag("stop").over(v)
-    p = p.withColumn("_new", F.when(gap.isNull() | (gap > merge_gap), 1).otherwise(0)).withColumn("_g", F.sum("_new").over(v))
-    return p.groupBy(*keys, "_g").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).where(F.col("stop") - F.col("start") >= min_time).drop("_g")
+    if merge_gap is not None:
+        v = _w(keys, "start")
+        gap = F.col("start") - F.lag("stop").over(v)
+        p = p.withColumn("_new", F.when(gap.isNull() | (gap > merge_gap), 1).otherwise(0)).withColumn("_g", F.sum("_new").over(v))
+        p = p.groupBy(*keys, "_g").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_g")
+    return p.where(F.col("stop") - F.col("start") >= min_time)
+
 
+def normalised_velocity(df: DataFrame, keys: Sequence[str] = ("session",), channel: str = "channel", value: str = "value", time: str = "t", between: bool = False, scaled: bool = True) -> DataFrame:
+    """Absolute steps of each channel scaled to [0, 1], summed over channels, over the maximum.
 
-def normalised_velocity(df: DataFrame, keys: Sequence[str] = ("session",), channel: str = "channel", value: str = "value", time: str = "t") -> DataFrame:
-    """Absolute steps of each channel scaled to [0, 1], summed over channels, over the maximum."""
+    A step has the time of its second sample or, with ``between``, of its
+    first plus half the median step of time. Not ``scaled``, steps are summed
+    as they are and the sum is brought to [0, 1].
+    """
     w = _w([*keys, channel], time)
-    d = df.withColumn("_d", F.abs(F.col(value) - F.lag(value).over(w))).where("_d IS NOT NULL")
+    d = df.withColumns({"_d": F.abs(F.col(value) - F.lag(value).over(w)), "_before": F.lag(time).over(w)}).where("_d IS NOT NULL")
     ch = Window.partitionBy(*keys, channel)
     lo, hi = F.min("_d").over(ch), F.max("_d").over(ch)
-    s = d.withColumn("_d", F.coalesce(F.try_divide(F.col("_d") - lo, hi - lo), F.lit(0.0))).groupBy(*keys, time).agg(F.sum("_d").alias("_s"))
-    return s.withColumn("speed", F.coalesce(F.try_divide(F.col("_s"), F.max("_s").over(Window.partitionBy(*keys))), F.lit(0.0))).drop("_s")
+    steps = d.withColumn("_d", F.coalesce(F.try_divide(F.col("_d") - lo, hi - lo), F.lit(0.0))) if scaled else d
+    if between:
+        half = d.groupBy(*keys).agg((F.median(F.col(time) - F.col("_before")) / 2).alias("_half"))
+        steps = steps.join(half, list(keys)).withColumn(time, F.col("_before") + F.col("_half"))
+    s = steps.groupBy(*keys, time).agg(F.sum("_d").alias("_s"))
+    whole = Window.partitionBy(*keys)
+    least = F.lit(0.0) if scaled else F.min("_s").over(whole)
+    return s.withColumn("speed", F.coalesce(F.try_divide(F.col("_s") - least, F.max("_s").over(whole) - least), F.lit(0.0))).drop("_s")
 
 
 def movement_onset(speed: DataFrame, threshold: float = 0.2, keys: Sequence[str] = ("session",), time: str = "t") -> DataFrame:
@@ -288,12 +319,16 @@ def max_aperture_time(aperture: DataFrame, grasp: DataFrame, keys: Sequence[str]
 
 
 def fingers_static(speed: DataFrame, grasp: DataFrame, keys: Sequence[str] = ("session",), within: float = 0.5, level: float = 0.4, value: str = "speed", time: str = "t") -> DataFrame:
-    """First down crossing within ``within`` after grasp start, and last up crossing within it before release, at ``level`` of the max."""
+    """First down crossing among the samples ``within`` after grasp start, and last up crossing among those within it before release, at ``level`` of the max."""
     s = speed.withColumn(value, F.try_divide(F.col(value), F.max(value).over(Window.partitionBy(*keys))))
-    c = threshold_crossings(s, level, keys, value, time).join(grasp.select(*keys, "start", "stop"), list(keys))
-    still = F.min(F.when((F.col("direction") == "down") & F.col("crossing").between(F.col("start"), F.col("start") + within), F.col("crossing")))
-    move = F.max(F.when((F.col("direction") == "up") & F.col("crossing").between(F.col("stop") - within, F.col("stop")), F.col("crossing")))
-    return c.groupBy(*keys).agg(still.alias("fingers_static"), move.alias("release_start"))
+    s = s.select(*keys, time, value).join(grasp.select(*keys, "start", "stop"), list(keys))
+    parts = (("down", F.col("start"), F.col("start") + within, F.min), ("up", F.col("stop") - within, F.col("stop"), F.max))
+    still, move = (
+        threshold_crossings(s.where(F.col(time).between(a, b)), level, keys, value, time).where(F.col("direction") == way).groupBy(*keys).agg(pick("crossing").alias(f"_{way}"))
+        for way, a, b, pick in parts
+    )
+    found = still.join(move, list(keys), "full_outer")
+    return found.withColumnsRenamed({"_down": "fingers_static", "_up": "release_start"})
 
 
 def hand_retreat(distance: DataFrame, grasp: DataFrame, keys: Sequence[str] = ("session",), within: float = 3.0, value: str = "value", time: str = "t") -> DataFrame:
@@ -303,15 +338,65 @@ def hand_retreat(distance: DataFrame, grasp: DataFrame, keys: Sequence[str] = ("
     return local_extrema(near, keys, value, time).where("kind = 'min'").groupBy(*keys).agg(F.min_by(time, F.struct(F.col(value), F.col(time))).alias("hand_retreat_time"))
 
 
-def trial_timepoints(force: DataFrame, speed: DataFrame, trials: DataFrame, keys: Sequence[str] = ("session", "trial"), level: float = 0.05, merge_gap: float = 0.1, min_time: float = 0.1) -> DataFrame:
-    """Times of each trial from its summed force and its hand speed; null where they can't be found."""
-    top = force.withColumn("value", F.try_divide(F.col("force"), F.max("force").over(Window.partitionBy(*keys))))
-    grasps = grasp_events(threshold_crossings(top, level, keys), keys, merge_gap, min_time)
-    g = grasps.groupBy(*keys).agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n_grasps"), F.min_by("stop", "start").alias("first_release"))
-    onset = movement_onset(speed, keys=keys)
-    static = fingers_static(speed, g, keys)
-    out = trials.join(g, list(keys), "left").join(onset, list(keys), "left").join(static, list(keys), "left")
-    return out.withColumnsRenamed({"start": "first_grasp_start", "stop": "release", "onset": "movement_onset"}).withColumn("regrasp", F.coalesce(F.col("n_grasps") > 1, F.lit(False)))
+#: The joint angles whose motion gives each onset; those of the resting pose; those of the aperture.
+SHOULDER = ("ra_sh_elv_angle", "ra_sh_elv", "ra_sh_rot")
+ELBOW = ("ra_el_e_f",)
+WRIST = ("ra_wr_sup_pro", "ra_wr_rd_ud", "ra_wr_e_f")
+FINGERS = (
+    "ra_cmc1_f_e", "ra_cmc1_opp", "ra_cmc1_ad_ab", "ra_mcp1_e_f", "ra_ip1_e_f", "ra_mcp2_e_f", "ra_mcp2_ad_ab", "ra_pip2_e_f", "ra_dip2_e_f", "ra_mcp3_e_f", "ra_mcp3_rd_ud",
+    "ra_pip3_e_f", "ra_dip3_e_f", "ra_mcp4_e_f", "ra_mcp4_ad_ab", "ra_pip4_e_f", "ra_dip4_e_f", "ra_mcp5_e_f", "ra_mcp5_ad_ab", "ra_pip5_e_f", "ra_dip5_e_f",
+)
+THUMB_AND_INDEX = ("ra_mcp1_e_f", "ra_mcp2_e_f")
+#: Newtons that a trial must exceed; levels of the normalised force; least seconds of a grasp; levels of motion.
+LEAST_FORCE, ONSET_LEVEL, OFFSET_LEVEL, LEAST_GRASP = 1.0, 0.05, 0.05, 0.2
+ONSET_SPEED, STATIC_SPEED = 0.25, 0.4
+
+
+def trial_timepoints(
+    force: DataFrame, angles: DataFrame, trials: DataFrame, keys: Sequence[str] = ("session", "trial"), joints: dict[str, Sequence[str]] | None = None,
+    aperture: tuple[str, str] = THUMB_AND_INDEX, before: float = 1.0, after: float = 3.0, least: float = LEAST_FORCE, levels: tuple[float, float] = (ONSET_LEVEL, OFFSET_LEVEL), min_time: float = LEAST_GRASP,
+) -> DataFrame:
+    """The time points of each trial, null where they can't be found; other columns of ``trials`` stay.
+
+    ``force``: keys, t, force; ``angles``: keys, channel, t, value; ``trials``
+    may have ``ttl_to_success_grasp``. ``joints`` gives the channels of
+    shoulder, elbow, wrist, finger and pose. Onsets lie within ``before``
+    seconds of the first grasp, the retreat within ``after`` of the last; the
+    fingers rest and release around the first grasp. A trial with no force
+    over ``least`` newtons has no time points.
+    """
+    joints = {"shoulder": SHOULDER, "elbow": ELBOW, "wrist": WRIST, "finger": FINGERS, "pose": SHOULDER} | (joints or {})
+    by, whole = list(keys), Window.partitionBy(*keys)
+    strong = force.withColumns({"_top": F.max("force").over(whole), "_low": F.min("force").over(whole)}).where(F.col("_top") > least)
+    normed = strong.select(*keys, "t", F.coalesce(F.try_divide(F.col("force") - F.col("_low"), F.col("_top") - F.col("_low")), F.lit(0.0)).alias("value"))
+    grasps = grasp_events(two_level_crossings(normed, *levels, keys), keys, None, min_time)
+    goal = F.col("ttl_to_success_grasp") if "ttl_to_success_grasp" in trials.columns else F.lit(None).cast("double")
+    held = F.when(F.col("_goal").between(F.col("start"), F.col("stop")), F.struct("start", "stop"))
+    g = grasps.join(trials.select(*keys, goal.alias("_goal")), by).groupBy(*keys).agg(
+        F.min("start").alias("first_grasp_start"), F.min_by("stop", "start").alias("_first_stop"), F.max("stop").alias("release"), (F.count(F.lit(1)) > 1).alias("regrasp_bool"), F.min(held).alias("_held"),
+    )
+    g = g.withColumns({"success_grasp_start": F.col("_held.start"), "success_grasp_end": F.col("_held.stop")}).drop("_held")
+    out = trials.join(g, by, "left").withColumn("regrasp_bool", F.coalesce("regrasp_bool", F.lit(False)))
+    near = angles.join(g.select(*keys, F.col("first_grasp_start").alias("_start"), "release"), by)
+    reach = near.where((F.col("t") < F.col("_start")) & (F.col("t") > F.col("_start") - before))
+    for joint in ("shoulder", "elbow", "wrist", "finger"):
+        own = reach.where(F.col("channel").isin(list(joints[joint]))).select(*keys, "channel", "t", "value")
+        onset = movement_onset(normalised_velocity(own, keys, between=True), ONSET_SPEED, keys)
+        out = out.join(onset.withColumnRenamed("onset", f"{joint}_onset"), by, "left")
+    # The hand is back where its pose is nearest to that before the reach.
+    pose = angles.where(F.col("channel").isin(list(joints["pose"])))
+    rest = interpolate(g.select(*keys, (F.col("first_grasp_start") - before).alias("t")).join(pose.select(*keys, "channel").distinct(), by), pose.select(*keys, "channel", "t", "value"), [*keys, "channel"])
+    away = pose.join(g.select(*keys, F.col("release").alias("stop")), by).where((F.col("t") > F.col("stop")) & (F.col("t") < F.col("stop") + after))
+    away = away.join(rest.select(*keys, "channel", F.col("value").alias("_rest")), [*by, "channel"]).groupBy(*keys, "t").agg(F.sqrt(F.sum((F.col("value") - F.col("_rest")) ** 2)).alias("value"))
+    out = out.join(hand_retreat(away, g.select(*keys, F.col("release").alias("stop")), keys, after), by, "left")
+    # The aperture is widest where thumb and index, which bend towards each other, differ least.
+    thumb, index = (F.max(F.when(F.col("channel") == c, F.col("value"))) for c in aperture)
+    spread = angles.where(F.col("channel").isin(list(aperture))).groupBy(*keys, "t").agg((-F.abs(thumb + index)).alias("value")).where("value IS NOT NULL")
+    mga = max_aperture_time(spread, g.select(*keys, F.col("first_grasp_start").alias("start")), keys)
+    out = out.join(mga.withColumnRenamed("mga_time", "MGA_time"), by, "left")
+    speed = normalised_velocity(angles.where(F.col("channel").isin(list(joints["finger"]))).select(*keys, "channel", "t", "value"), keys, between=True, scaled=False)
+    static = fingers_static(speed, g.select(*keys, F.col("first_grasp_start").alias("start"), F.col("_first_stop").alias("stop")), keys, level=STATIC_SPEED)
+    return out.join(static, by, "left").drop("_first_stop")
 
 
 def lag_pairs(df: DataFrame, lag_bins: int, keys: Sequence[str], x: str = "x", y: str = "y", order: str = "bin") -> DataFrame:

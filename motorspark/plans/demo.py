@@ -207,10 +207,13 @@ def concat_logs(spark, d):
 
 # Joins in time
 
-@register("asof_calibration", """SELECT o_orderkey, (SELECT max(ts) FROM events e WHERE e.event_type = 'signup' AND e.ts <= o.o_orderdate + INTERVAL 8400 DAY) AS calibration FROM
-(SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderkey % 50 = 0) o""")
+ASOF = """SELECT o.o_orderkey, e.ts AS calibration FROM (SELECT o_orderkey, o_orderdate + INTERVAL 8400 DAY AS t FROM orders) o
+ASOF LEFT JOIN (SELECT ts FROM events WHERE event_type = 'signup') e ON o.t >= e.ts"""
+
+
+@register("asof_calibration", ASOF)
 def asof_calibration(spark, d):
-    return _calibrated(spark, d, V.table(spark, d, "orders").where("o_orderkey % 50 = 0"))
+    return _calibrated(spark, d, V.table(spark, d, "orders"))
 
 
 def _calibrated(spark, d, orders):
@@ -219,8 +222,7 @@ def _calibrated(spark, d, orders):
     return J.asof_last(o, c, "calibration", "at", "date", bucket=F.to_date).select("o_orderkey", "calibration")
 
 
-@register("asof_calibration_every", """SELECT o.o_orderkey, e.ts AS calibration FROM (SELECT o_orderkey, o_orderdate + INTERVAL 8400 DAY AS t FROM orders) o
-ASOF LEFT JOIN (SELECT ts FROM events WHERE event_type = 'signup') e ON o.t >= e.ts""")
+@register("asof_calibration_every", ASOF)
 def asof_calibration_every(spark, d):
     return _calibrated(spark, d, V.table(spark, d, "orders"))
 
@@ -658,9 +660,9 @@ def compare_traces(spark, d):
     return A.compare_traces(li, ["l_suppkey"]).withColumns(r("mad", "rms", places=4) | r("integrated", places=2) | r("mad_of_max", "rms_normalised", places=9) | r("r")).drop("r2")
 
 
-@register("histogram", "SELECT l_returnflag, least(floor((l_discount - 0.05 + 0.1) / 0.02), 9)::INTEGER AS bin, count(*) AS n FROM lineitem WHERE abs(l_discount - 0.05) <= 0.1 AND l_discount * 100 <> round(l_discount * 100) GROUP BY ALL")
+@register("histogram", "SELECT l_returnflag, least(floor((l_discount - 0.053 + 0.1) / 0.02), 9)::INTEGER AS bin, count(*) AS n FROM lineitem WHERE abs(l_discount - 0.053) <= 0.1 GROUP BY ALL")
 def histogram(spark, d):
-    li = V.table(spark, d, "lineitem").where("l_discount * 100 <> round(l_discount * 100)").withColumn("x", F.col("l_discount") - 0.05)
+    li = V.table(spark, d, "lineitem").withColumn("x", F.col("l_discount") - 0.053)
     return X.histogram(li, ["l_returnflag"], "x", 0.1, 10)
 
 
@@ -669,15 +671,16 @@ def natural_sort_key(spark, d):
     return V.table(spark, d, "part").select("p_brand").distinct().withColumn("key", K.natural_key("p_brand"))
 
 
-@register("condition_sets", """SELECT n_nationkey AS condition, CASE WHEN c AND s THEN 'both' WHEN c THEN 'a' ELSE 'b' END AS "where" FROM (SELECT n_nationkey, n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey % 40 = 0) AS c,
-n_nationkey IN (SELECT s_nationkey FROM supplier) AS s FROM nation) WHERE c OR s""")
+SETS = """SELECT n_nationkey AS condition, CASE WHEN c AND s THEN 'both' WHEN c THEN 'a' ELSE 'b' END AS "where" FROM (SELECT n_nationkey, n_nationkey IN (SELECT c_nationkey FROM customer) AS c,
+n_nationkey IN (SELECT s_nationkey FROM supplier) AS s FROM nation) WHERE c OR s"""
+
+
+@register("condition_sets", SETS)
 def condition_sets(spark, d):
-    a = V.table(spark, d, "customer").where("c_custkey % 40 = 0").select(F.col("c_nationkey").alias("condition"))
-    return K.condition_sets(a, V.table(spark, d, "supplier").select(F.col("s_nationkey").alias("condition")))
+    return condition_sets_every(spark, d)
 
 
-@register("condition_sets_every", """SELECT n_nationkey AS condition, CASE WHEN c AND s THEN 'both' WHEN c THEN 'a' ELSE 'b' END AS "where" FROM (SELECT n_nationkey, n_nationkey IN (SELECT c_nationkey FROM customer) AS c,
-n_nationkey IN (SELECT s_nationkey FROM supplier) AS s FROM nation) WHERE c OR s""")
+@register("condition_sets_every", SETS)
 def condition_sets_every(spark, d):
     a = V.table(spark, d, "customer").select(F.col("c_nationkey").alias("condition"))
     return K.condition_sets(a, V.table(spark, d, "supplier").select(F.col("s_nationkey").alias("condition")))

@@ -69,13 +69,11 @@ def lda_through_time(spark, d):
 
 
 def _design(spark: SparkSession, d: str) -> DataFrame:
-    rates = _rates(spark, d).select("session", "trial", "unit_id", (F.col("trial") * 3600.0 + 1500.0 + F.col("bin") * WIDTH - BEFORE).alias("t"), F.col("rate"))
-    e = V.spikes(spark, d).join(V.table(spark, d, "events").select(F.to_date("ts").alias("session")).distinct(), "session")
-    signal = e.groupBy("session", F.floor(F.col("t") / 3600).cast("int").alias("trial"), F.col("unit_id").alias("channel"), "t").agg(F.max(F.col("t") % 100).alias("value")).withColumn("signal", F.lit("angle"))
-    common = signal.where("channel IN ('click', 'view', 'error')")
-    design = M.design_matrix(rates, common, "angle")
-    full = F.max(F.size("x")).over(Window.partitionBy("session"))
-    return design.withColumn("_w", full).where("size(x) = _w").drop("_w")
+    """All event types as channels of a day, at the bins of every trial in the range that the channels share."""
+    rates = _rates(spark, d).select("session", "unit_id", (F.col("trial") * 3600.0 + 1500.0 + F.col("bin") * WIDTH - BEFORE).alias("t"), F.col("rate"))
+    signal = V.spikes(spark, d).groupBy("session", F.col("unit_id").alias("channel"), "t").agg((F.max(F.col("t") % 100) / 100).alias("value")).withColumn("signal", F.lit("joint_angles"))
+    design = M.design_matrix(rates, signal, "joint_angles", ("session",))
+    return design.withColumn("trial", F.floor(F.col("t") / 3600).cast("int"))
 
 
 @register("design_matrix")
@@ -261,10 +259,26 @@ def session_timeline(spark, d):
     return W.session_timeline({"spike": s, "pulse": p}, 600.0)
 
 
+def _reaches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every session's signals as two trials of half a month each, two days of which stand for a second: force, angles, trials."""
+    s = V.signals(spark, d).withColumns({"trial": F.floor(F.col("t") / 1_296_000).cast("int"), "t": F.col("t") / 172_800})
+    force = s.groupBy("session", "trial", "t").agg(F.sum("value").alias("force"))
+    trials = s.groupBy("session", "trial").agg(F.percentile("t", F.lit(0.5)).alias("ttl_to_success_grasp"))
+    return force, s.select("session", "trial", "channel", "t", "value"), trials
+
+
+JOINTS = {"shoulder": ["click"], "elbow": ["view"], "wrist": ["error", "signup"], "finger": ["signup", "purchase"], "pose": ["click", "view"]}
+
+
+def _timepoints(spark: SparkSession, d: str) -> DataFrame:
+    return W.trial_timepoints(*_reaches(spark, d), joints=JOINTS, aperture=("click", "click"), levels=(0.3, 0.1))
+
+
 @register("trial_timepoints")
 def trial_timepoints(spark, d):
-    c = _counts(spark, d).groupBy("session", "trial", "bin").agg(F.sum("n").cast("double").alias("force")).withColumn("t", F.col("bin") * WIDTH)
-    speed = W.normalised_velocity(c.select("session", "trial", F.lit("a").alias("channel"), "t", F.col("force").alias("value")), ["session", "trial"])
-    return W.trial_timepoints(c.select("session", "trial", "t", "force"), speed, V.trials(spark, d).select("session", "trial"), level=0.3)
+    return _timepoints(spark, d)
 
 
+@register("crop_to_active_movement")
+def crop_to_active_movement(spark, d):
+    return P.crop_to_period(_reaches(spark, d)[1], _timepoints(spark, d), "active_movement")

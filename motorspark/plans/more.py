@@ -107,14 +107,14 @@ def trial_log_lookup(spark, d):
     return J.trial_log_lookup(V.table(spark, d, "lineitem"), log, ["o_totalprice"], ("l_orderkey",)).select("l_orderkey", "l_linenumber", "o_totalprice")
 
 
-@register("sensor_time_align", SIG + """, s AS (SELECT session, channel, t, value FROM sig WHERE channel IN ('click', 'view')),
+@register("sensor_time_align", SIG + """, s AS (SELECT session, channel, t, value FROM sig),
 m AS (SELECT session, max(a) AS a, min(b) AS b FROM (SELECT session, channel, min(t) AS a, max(t) AS b FROM s GROUP BY ALL) GROUP BY 1),
 g AS (SELECT DISTINCT c.session, c.channel, u.t FROM (SELECT DISTINCT session, t FROM s) u JOIN m ON u.session = m.session AND u.t BETWEEN a AND b JOIN (SELECT DISTINCT session, channel FROM s) c ON c.session = u.session),
 x0 AS (SELECT g.*, p.t AS x0, p.value AS y0 FROM g ASOF JOIN s p ON p.session = g.session AND p.channel = g.channel AND p.t <= g.t),
 x1 AS (SELECT x0.*, q.t AS x1, q.value AS y1 FROM x0 ASOF JOIN s q ON q.session = x0.session AND q.channel = x0.channel AND q.t >= x0.t)
 SELECT session, t, round(sum(CASE WHEN x0 = x1 THEN y0 ELSE y0 + (t - x0) * (y1 - y0) / (x1 - x0) END), 5) AS force FROM x1 GROUP BY ALL""")
 def sensor_time_align(spark, d):
-    s = V.signals(spark, d).where("channel IN ('click', 'view')").select("session", F.col("channel").alias("sensor"), "t", F.col("value").alias("force"))
+    s = V.signals(spark, d).select("session", F.col("channel").alias("sensor"), "t", F.col("value").alias("force"))
     return J.sensor_time_align(s, ("session",)).withColumns(r("force", places=5))
 
 
@@ -128,7 +128,7 @@ def pool_behavior(spark, d):
 
 @register("force_traces_by_target")
 def force_traces_by_target(spark, d):
-    s = V.signals(spark, d).where("channel = 'click'").select("session", F.lit(0).alias("trial"), "t", F.col("value").alias("force"))
+    s = V.signals(spark, d).select("session", F.col("channel").alias("trial"), "t", F.col("value").alias("force"))
     events = s.groupBy("session", "trial").agg(F.percentile("t", F.lit(0.5)).alias("tp")).withColumn("target", F.col("session") % 3)
     return W.force_traces_by_target(s, events, 86400.0, 8640.0)
 
@@ -144,22 +144,22 @@ def movement_onset(spark, d):
     return W.movement_onset(W.normalised_velocity(V.signals(spark, d)))
 
 
-@register("max_aperture_time", SIG + """, s AS (SELECT * FROM sig WHERE channel = 'click'), g AS (SELECT session, quantile_cont(t, 0.5) AS m FROM s GROUP BY 1),
-n AS (SELECT s.session, t, value, lag(value) OVER w AS a, lead(value) OVER w AS b FROM s JOIN g USING (session) WHERE t BETWEEN m - 200000 AND m WINDOW w AS (PARTITION BY s.session ORDER BY t))
-SELECT session, arg_max(t, (value, -t)) AS mga_time FROM n WHERE value > a AND value > b GROUP BY session""")
+@register("max_aperture_time", SIG + """, g AS (SELECT session, channel, quantile_cont(t, 0.5) AS m FROM sig GROUP BY ALL),
+n AS (SELECT sig.session, sig.channel, t, value, lag(value) OVER w AS a, lead(value) OVER w AS b FROM sig JOIN g USING (session, channel) WHERE t BETWEEN m - 200000 AND m WINDOW w AS (PARTITION BY sig.session, sig.channel ORDER BY t))
+SELECT session, channel, arg_max(t, (value, -t)) AS mga_time FROM n WHERE value > a AND value > b GROUP BY ALL""")
 def max_aperture_time(spark, d):
-    s = V.signals(spark, d).where("channel = 'click'")
-    grasp = s.groupBy("session").agg(F.percentile("t", F.lit(0.5)).alias("start"))
-    return W.max_aperture_time(s, grasp, before=200_000.0)
+    s = V.signals(spark, d)
+    grasp = s.groupBy("session", "channel").agg(F.percentile("t", F.lit(0.5)).alias("start"))
+    return W.max_aperture_time(s, grasp, ("session", "channel"), before=200_000.0)
 
 
-@register("hand_retreat", SIG + """, s AS (SELECT * FROM sig WHERE channel = 'click'), g AS (SELECT session, quantile_cont(t, 0.5) AS m FROM s GROUP BY 1),
-n AS (SELECT s.session, t, value, lag(value) OVER w AS a, lead(value) OVER w AS b FROM s JOIN g USING (session) WHERE t BETWEEN m AND m + 200000 WINDOW w AS (PARTITION BY s.session ORDER BY t))
-SELECT session, arg_min(t, (value, t)) AS hand_retreat_time FROM n WHERE value < a AND value < b GROUP BY session""")
+@register("hand_retreat", SIG + """, g AS (SELECT session, channel, quantile_cont(t, 0.5) AS m FROM sig GROUP BY ALL),
+n AS (SELECT sig.session, sig.channel, t, value, lag(value) OVER w AS a, lead(value) OVER w AS b FROM sig JOIN g USING (session, channel) WHERE t BETWEEN m AND m + 200000 WINDOW w AS (PARTITION BY sig.session, sig.channel ORDER BY t))
+SELECT session, channel, arg_min(t, (value, t)) AS hand_retreat_time FROM n WHERE value < a AND value < b GROUP BY ALL""")
 def hand_retreat(spark, d):
-    s = V.signals(spark, d).where("channel = 'click'")
-    grasp = s.groupBy("session").agg(F.percentile("t", F.lit(0.5)).alias("stop"))
-    return W.hand_retreat(s, grasp, within=200_000.0)
+    s = V.signals(spark, d)
+    grasp = s.groupBy("session", "channel").agg(F.percentile("t", F.lit(0.5)).alias("stop"))
+    return W.hand_retreat(s, grasp, ("session", "channel"), within=200_000.0)
 
 
 @register("stable_period")
@@ -256,8 +256,8 @@ def cumulative_success_matrix(spark, d):
 
 @register("align_trial")
 def align_trial(spark, d):
-    joints = V.signals(spark, d).where("channel IN ('click', 'view')").select("session", F.floor(F.col("t") / 500_000).alias("trial"), "channel", F.col("t").alias("t"), "value")
-    frames = V.signals(spark, d).where("channel = 'error'").select("session", F.floor(F.col("t") / 500_000).alias("trial"), "t", F.array("value", "value").alias("sensels"))
+    joints = V.signals(spark, d).select("session", F.floor(F.col("t") / 500_000).alias("trial"), "channel", "t", "value")
+    frames = joints.groupBy("session", "trial", "t").agg(F.sum("value").alias("v")).select("session", "trial", "t", F.array("v", "v").alias("sensels"))
     return W.align_trial(joints, frames)
 
 
@@ -284,4 +284,4 @@ def unit_depths(spark, d):
 @register("natural_order", "SELECT p_brand, row_number() OVER (ORDER BY regexp_extract(p_brand, '^[^0-9]*'), regexp_extract(p_brand, '[0-9]+')::INTEGER) AS position FROM (SELECT DISTINCT p_brand FROM part)")
 def natural_order(spark, d):
     b = V.table(spark, d, "part").select("p_brand").distinct()
-    return b.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(K.natural_key("p_brand"))).cast("long"))
+    return K.positions(b.withColumn("_key", K.natural_key("p_brand")), "_key").drop("_key")
