@@ -21,6 +21,11 @@ def _day_us(ts: str) -> Column:
     return (F.hour(ts) * 3600 + F.minute(ts) * 60).cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
 
 
+def month_seconds(ts: str) -> Column:
+    """Seconds since the start of 2024, whatever the session's time zone."""
+    return (F.date_diff(F.to_date(ts), F.lit("2024-01-01").cast("date")) * F.lit(86_400_000_000) + _day_us(ts)) / 1e6
+
+
 def spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session, unit_id, t."""
     e = table(spark, sf_dir, "events")
@@ -52,7 +57,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.groupBy(
         F.pmod("user_id", F.lit(20)).alias("session"), F.col("event_type").alias("channel"),
-        ((F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) * F.lit(86_400_000_000) + _day_us("ts")) / 1e6).alias("t"),
+        month_seconds("ts").alias("t"),
     ).agg(F.max("value").alias("value"))
 
 
@@ -101,13 +106,13 @@ CASE WHEN o_orderstatus <> 'F' THEN 1.0 ELSE 0.0 END::DOUBLE AS reward, (o_order
 
 
 def sensor_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """session, seq, trial_num: line items with quantities over 40."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity > 40")
+    """session, seq, trial_num: line items; half of their trial numbers are beyond those of the protocol."""
+    li = table(spark, sf_dir, "lineitem")
     return li.select(
-        F.pmod("l_suppkey", F.lit(50)).alias("session"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.pmod("l_partkey", F.lit(97)).alias("trial_num"),
+        F.pmod("l_suppkey", F.lit(50)).alias("session"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.pmod("l_partkey", F.lit(197)).alias("trial_num"),
         F.col("l_extendedprice").alias("started_ms"),
     )
 
 
-SENSOR = """SELECT l_suppkey % 50 AS session, l_orderkey * 8 + l_linenumber AS seq, l_partkey % 97 AS trial_num, l_extendedprice AS started_ms
-FROM lineitem WHERE l_quantity > 40"""
+SENSOR = """SELECT l_suppkey % 50 AS session, l_orderkey * 8 + l_linenumber AS seq, l_partkey % 197 AS trial_num, l_extendedprice AS started_ms
+FROM lineitem"""
