@@ -150,16 +150,15 @@ def mann_whitney_p(u: float, n1: int, n2: int, ties: float, alternative: str = "
     if not n1 or not n2:
         return math.nan
     if ties == 0 and min(n1, n2) <= 8:
+        few, many = min(n1, n2), max(n1, n2)
         counts = np.zeros(n1 * n2 + 1)
         counts[0] = 1
-        for i in range(1, n1 + 1):  # Gaussian binomial coefficient, factor by factor
-            up = np.zeros_like(counts)
-            up[:] = counts
-            for k in range(n2 + i, len(counts)):
-                up[k] -= counts[k - n2 - i]
-            for k in range(i, len(counts)):
-                up[k] += up[k - i]
-            counts = up
+        for i in range(1, few + 1):  # Gaussian binomial coefficient, factor by factor
+            up = counts.copy()
+            up[many + i :] -= counts[: len(counts) - many - i]
+            # Dividing by 1 - q^i is a running sum in steps of i.
+            padded = np.pad(up, (0, -len(up) % i)).reshape(-1, i)
+            counts = padded.cumsum(0).ravel()[: len(up)]
         share = counts / counts.sum()
         greater, less = share[int(u) :].sum(), share[: int(u) + 1].sum()
     else:

@@ -50,7 +50,8 @@ def modulated_units(rates: DataFrame, alpha: float, keys: Sequence[str] = ("sess
     from motorspark.functions.stats import kruskal
 
     p = kruskal(rates, keys, group, value).where(F.col("p") < alpha)
-    return p.withColumn("position", F.row_number().over(Window.partitionBy(*keys[:-1]).orderBy("p", keys[-1])) - 1)
+    # What rounding tells apart is a tie.
+    return p.withColumn("position", F.row_number().over(Window.partitionBy(*keys[:-1]).orderBy(F.round("p", 9), keys[-1])) - 1)
 
 
 def unique_unit_ids(units: DataFrame, keys: Sequence[str] = ("session",), label: str = "unit_label", order: str = "seq") -> DataFrame:

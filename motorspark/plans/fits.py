@@ -136,11 +136,15 @@ def spike_point_features(spark, d):
     return M.spike_point_features(V.spikes(spark, d), _events(spark, d).select("session", "trial", F.col("tp").alias("t")), 600.0).select("session", "unit_id", "trial", "n", F.round("z", 6).alias("z"))
 
 
-@register("point_features")
+@register("point_features", SIG + """, s AS (SELECT *, floor(t / 86400) AS trial FROM sig), g AS (SELECT DISTINCT session, trial, channel, trial * 86400 + 43200 AS t FROM s),
+a AS (SELECT g.*, s.t AS x0, s.value AS y0 FROM g ASOF LEFT JOIN s ON s.session = g.session AND s.trial = g.trial AND s.channel = g.channel AND s.t <= g.t),
+b AS (SELECT a.*, s.t AS x1, s.value AS y1 FROM a ASOF LEFT JOIN s ON s.session = a.session AND s.trial = a.trial AND s.channel = a.channel AND s.t >= a.t),
+v AS (SELECT session, trial::BIGINT AS trial, channel, t, CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x0 = x1 THEN y0 ELSE y0 + (t - x0) * (y1 - y0) / (x1 - x0) END AS value FROM b)
+SELECT session, trial, channel, t, round(value, 6) AS value, round(coalesce((value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0), 0), 5) + 0 AS z FROM v WINDOW w AS (PARTITION BY session, channel)""")
 def point_features(spark, d):
     s = V.signals(spark, d).withColumn("trial", F.floor(F.col("t") / 86400.0))
     events = s.select("session", "trial").distinct().withColumn("t", F.col("trial") * 86400.0 + 43200.0)
-    return M.point_features(s, events)
+    return M.point_features(s, events).select("session", "trial", "channel", "t", F.round("value", 6).alias("value"), (F.round("z", 5) + 0.0).alias("z"))
 
 
 @register("depth_activity", CTE + """, a AS (SELECT session, unit_id, bin, avg(rate) AS rate FROM rates GROUP BY ALL),
@@ -153,10 +157,14 @@ def depth_activity(spark, d):
     return M.depth_activity(rates, units, 5).withColumns(r("rate", places=9) | r("normalised"))
 
 
-@register("modulated_units", None)
+@register("modulated_units", TRIAL_COUNTS + """, v AS (SELECT session, unit_id, condition, n AS x FROM tc),
+k AS (SELECT *, count(*) OVER (PARTITION BY session, unit_id, x) AS t, rank() OVER (PARTITION BY session, unit_id ORDER BY x) + (count(*) OVER (PARTITION BY session, unit_id, x) - 1) / 2.0 AS rk FROM v),
+s AS (SELECT session, unit_id, condition, sum(rk) AS r, count(*) AS c, sum(t * t - 1.0) AS ties FROM k GROUP BY ALL), a AS (SELECT session, unit_id, sum(r * r / c) AS q, sum(c)::DOUBLE AS n, sum(ties) AS ties, count(*) AS groups FROM s GROUP BY ALL),
+h AS (SELECT session, unit_id, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / nullif(1 - ties / (n * n * n - n), 0) AS h, groups, n::BIGINT AS n FROM a), p AS (SELECT *, exp(-h / 2) AS p FROM h)
+SELECT session, unit_id, round(h, 6) AS h, round(p, 6) AS p, groups, n, (row_number() OVER (PARTITION BY session ORDER BY round(p, 9), unit_id) - 1)::INTEGER AS position FROM p WHERE p < 0.2""")
 def modulated_units(spark, d):
     rates = A.trial_counts(V.spikes(spark, d), V.trials(spark, d)).select("session", "unit_id", "trial", "condition", "rate")
-    return K.modulated_units(rates, 0.2)
+    return K.modulated_units(rates, 0.2).withColumns(r("h", "p"))
 
 
 @register("encoding_pair_tests")

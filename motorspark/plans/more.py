@@ -12,7 +12,7 @@ from motorspark.operators import pairing as J
 from motorspark.operators import predicates as P
 from motorspark.operators import series as W
 from motorspark.plans import views as V
-from motorspark.plans.demo import INTERP, SIG, r
+from motorspark.plans.demo import BY, INTERP, SIG, r
 from motorspark.plans.registry import register
 
 
@@ -126,11 +126,20 @@ def pool_behavior(spark, d):
     return W.pool_behavior(s, events, 15 * 86400.0, 15 * 86400.0, 86400.0).withColumns(r("rate_avg"))
 
 
-@register("force_traces_by_target")
+@register("force_traces_by_target", SIG + f""", e AS (SELECT session, channel, quantile_cont(t, 0.5) AS tp, session % 3 AS target FROM sig GROUP BY ALL),
+g AS (SELECT session, channel, target, k AS bin, tp + (k * 8640.0::DOUBLE - 86400) AS t FROM e, (SELECT unnest(range(21)) AS k)),
+n AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY session, channel) AS n FROM sig WINDOW w AS {BY}),
+f AS (SELECT session, channel, max(t) FILTER (WHERE i = 1) AS t1, max(value) FILTER (WHERE i = 1) AS v1, max(t) FILTER (WHERE i = 2) AS t2, max(value) FILTER (WHERE i = 2) AS v2,
+max(t) FILTER (WHERE i = n - 1) AS t3, max(value) FILTER (WHERE i = n - 1) AS v3, max(t) FILTER (WHERE i = n) AS t4, max(value) FILTER (WHERE i = n) AS v4 FROM n GROUP BY ALL),
+a AS (SELECT g.*, s.t AS x0, s.value AS y0 FROM g ASOF LEFT JOIN sig s ON s.session = g.session AND s.channel = g.channel AND s.t <= g.t),
+b AS (SELECT a.*, s.t AS x1, s.value AS y1 FROM a ASOF LEFT JOIN sig s ON s.session = a.session AND s.channel = a.channel AND s.t >= a.t),
+l AS (SELECT session, target, bin, t, CASE WHEN x0 IS NULL THEN t1 WHEN x1 IS NULL THEN t3 ELSE x0 END AS x0, CASE WHEN x0 IS NULL THEN v1 WHEN x1 IS NULL THEN v3 ELSE y0 END AS y0,
+CASE WHEN x0 IS NULL THEN t2 WHEN x1 IS NULL THEN t4 ELSE x1 END AS x1, CASE WHEN x0 IS NULL THEN v2 WHEN x1 IS NULL THEN v4 ELSE y1 END AS y1 FROM b JOIN f USING (session, channel))
+SELECT session, target, bin::INTEGER AS bin, round(avg(greatest(CASE WHEN x0 = x1 THEN y0 ELSE y0 + (t - x0) * (y1 - y0) / (x1 - x0) END, 0)), 5) AS force, count(*) AS n FROM l GROUP BY ALL""")
 def force_traces_by_target(spark, d):
     s = V.signals(spark, d).select("session", F.col("channel").alias("trial"), "t", F.col("value").alias("force"))
     events = s.groupBy("session", "trial").agg(F.percentile("t", F.lit(0.5)).alias("tp")).withColumn("target", F.col("session") % 3)
-    return W.force_traces_by_target(s, events, 86400.0, 8640.0)
+    return W.force_traces_by_target(s, events, 86400.0, 8640.0).withColumns(r("force", places=5))
 
 
 @register("impulse", SIG + """, l AS (SELECT *, coalesce(lead(t) OVER w - t, t - lag(t) OVER w, 0) AS dt FROM sig WINDOW w AS (PARTITION BY session, channel ORDER BY t))
@@ -139,9 +148,16 @@ def impulse(spark, d):
     return A.impulse(V.signals(spark, d), ["session", "channel"], "value").withColumns(r("impulse", places=2) | r("sum"))
 
 
-@register("movement_onset")
+SPEED = SIG + f""", v AS (SELECT session, channel, t, abs(value - lag(value) OVER w) AS s FROM sig WINDOW w AS {BY}), u AS (SELECT * FROM v WHERE s IS NOT NULL),
+z AS (SELECT session, t, coalesce((s - min(s) OVER c) / nullif(max(s) OVER c - min(s) OVER c, 0), 0) AS s FROM u WINDOW c AS (PARTITION BY session, channel)),
+q AS (SELECT session, t, sum(s) AS s FROM z GROUP BY ALL), sp AS (SELECT session, t, s / max(s) OVER (PARTITION BY session) AS y FROM q)"""
+
+
+@register("movement_onset", SPEED + """, l AS (SELECT *, lag(y) OVER w AS y0, lag(t) OVER w AS x0, lead(y) OVER w AS y1 FROM sp WINDOW w AS (PARTITION BY session ORDER BY t)),
+m AS (SELECT session, max(t) AS since FROM l WHERE y < y0 AND y < y1 AND y < 0.2 GROUP BY 1), c AS (SELECT session, x0 + (0.2 - y0) / (y - y0) * (t - x0) AS c FROM l WHERE y > 0.2 AND y0 <= 0.2)
+SELECT session, round(min(c), 4) AS onset FROM c LEFT JOIN m USING (session) WHERE since IS NULL OR c >= since GROUP BY 1""")
 def movement_onset(spark, d):
-    return W.movement_onset(W.normalised_velocity(V.signals(spark, d)))
+    return W.movement_onset(W.normalised_velocity(V.signals(spark, d))).withColumns(r("onset", places=4))
 
 
 @register("max_aperture_time", SIG + """, g AS (SELECT session, channel, quantile_cont(t, 0.5) AS m FROM sig GROUP BY ALL),
@@ -261,11 +277,16 @@ def align_trial(spark, d):
     return W.align_trial(joints, frames)
 
 
-@register("fingers_static")
+@register("fingers_static", SPEED + """, g AS (SELECT session, quantile_cont(t, 0.2) AS a, quantile_cont(t, 0.8) AS b FROM sp GROUP BY 1),
+l AS (SELECT session, t, y, lag(y) OVER w AS y0, lag(t) OVER w AS x0 FROM sp JOIN g USING (session) WHERE t BETWEEN a AND a + 200000 WINDOW w AS (PARTITION BY session ORDER BY t)),
+m AS (SELECT session, t, y, lag(y) OVER w AS y0, lag(t) OVER w AS x0 FROM sp JOIN g USING (session) WHERE t BETWEEN b - 200000 AND b WINDOW w AS (PARTITION BY session ORDER BY t)),
+still AS (SELECT session, min(CASE WHEN y = 0.4 THEN x0 ELSE t END) AS fingers_static FROM l WHERE y0 > 0.4 AND y <= 0.4 GROUP BY 1),
+move AS (SELECT session, max(x0 + (0.4 - y0) / (y - y0) * (t - x0)) AS release_start FROM m WHERE y0 <= 0.4 AND y > 0.4 GROUP BY 1)
+SELECT session, round(fingers_static, 4) AS fingers_static, round(release_start, 4) AS release_start FROM still FULL JOIN move USING (session)""")
 def fingers_static(spark, d):
     speed = W.normalised_velocity(V.signals(spark, d))
     grasp = speed.groupBy("session").agg(F.percentile("t", F.lit(0.2)).alias("start"), F.percentile("t", F.lit(0.8)).alias("stop"))
-    return W.fingers_static(speed, grasp, within=200_000.0)
+    return W.fingers_static(speed, grasp, within=200_000.0).withColumns(r("fingers_static", "release_start", places=4))
 
 
 @register("causal_histories", SIG + """, l AS (SELECT session, channel, t, value, lag(value, 1, 0) OVER w AS a, lag(value, 2, 0) OVER w AS b, lag(value, 3, 0) OVER w AS c, lag(value, 4, 0) OVER w AS d FROM sig WINDOW w AS (PARTITION BY session, channel ORDER BY t))
