@@ -256,7 +256,7 @@ def _rotations(a: np.ndarray, b: np.ndarray, starts: int, seed: int) -> np.ndarr
     return np.concatenate((np.eye(r)[None], ((u * sign) @ v.T)[None], random))
 
 
-def dsa(x: np.ndarray, y: np.ndarray, delays: int = 5, rank: int = 5, starts: int = 4, rounds: int = 200, seed: int = 0) -> float:
+def dsa(x: np.ndarray, y: np.ndarray, delays: int = 5, rank: int = 5, starts: int = 2, rounds: int = 200, seed: int = 0) -> float:
     """Distance of the dynamics of two series: the least |A C - C B| over orthogonal C, over the mean norm of A and B.
 
     Projected gradient steps of a length that never lets the distance grow,
@@ -271,13 +271,13 @@ def dsa(x: np.ndarray, y: np.ndarray, delays: int = 5, rank: int = 5, starts: in
         return 0.0
     c, step = _rotations(a, b, starts, seed), 0.5 / max(np.linalg.norm(a, 2) + np.linalg.norm(b, 2), 1e-300) ** 2
     before = np.inf
-    for _ in range(rounds):
+    for k in range(rounds):
         rest = a @ c - c @ b
         now = np.linalg.norm(rest, axis=(1, 2)).min()
-        if now < 1e-10 * scale or before - now < 1e-7 * scale and _ >= 20:
+        if now < 1e-10 * scale or (k >= 10 and before - now < 1e-5 * scale):
             break
         before = now
-        u, _s, vt = np.linalg.svd(c - 2 * step * (a.T @ rest - rest @ b.T))
+        u, _, vt = np.linalg.svd(c - 2 * step * (a.T @ rest - rest @ b.T))
         c = u @ vt
     return float(np.linalg.norm(a @ c - c @ b, axis=(1, 2)).min() / scale)
 

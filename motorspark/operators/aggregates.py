@@ -75,11 +75,12 @@ def session_sensor_mask(frames: DataFrame, keys: Sequence[str] = ("sensor",)) ->
 def force_by_group(frames: DataFrame, contacts: DataFrame, groups: DataFrame, keys: Sequence[str] = ("sensor", "frame")) -> DataFrame:
     """Force per frame and group: sensels whose contact segment matches the group's regex, each once.
 
-    ``groups`` (group_name, pattern) is a handful of rows; ``contacts`` has the
-    keys, sensel and segment.
+    ``groups`` has group_name and pattern, ``contacts`` the keys, sensel and
+    segment. Patterns are tried on the distinct segments only.
     """
     cells = frames.select(*keys, F.posexplode("sensels").alias("sensel", "x"))
-    named = contacts.join(F.broadcast(groups), F.expr("segment rlike pattern")).select(*keys, "sensel", "group_name").distinct()
+    members = contacts.select("segment").distinct().join(groups, F.expr("segment rlike pattern")).select("segment", "group_name")
+    named = contacts.join(members, "segment").select(*keys, "sensel", "group_name").distinct()
     return cells.join(named, [*keys, "sensel"]).groupBy(*keys, "group_name").agg(F.sum("x").alias("force"))
 
 

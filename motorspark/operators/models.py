@@ -114,9 +114,11 @@ def pca(rows: DataFrame, columns: Sequence[str], n: int, keys: Sequence[str] = (
 
 def pca_scores(rows: DataFrame, columns: Sequence[str], components: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Long scores: own columns, component, score. ``components`` has at most as many rows a key as columns."""
-    w = Window.partitionBy(*keys)
-    z = [F.coalesce(F.try_divide(F.col(c) - F.avg(c).over(w), F.stddev_pop(c).over(w)), F.lit(0.0)) for c in columns]
-    f = rows.withColumn("_z", F.array(*z))
+    # Means and deviations are one row a key; no task holds a key's rows.
+    stats = rows.groupBy(*keys).agg(*[e for c in columns for e in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))])
+    f = rows.join(stats, list(keys)) if keys else rows.crossJoin(F.broadcast(stats))
+    z = [F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")), F.lit(0.0)) for c in columns]
+    f = f.select(*rows.columns, F.array(*z).alias("_z"))
     f = f.join(components, list(keys)) if keys else f.crossJoin(F.broadcast(components))
     score = F.aggregate(F.zip_with("_z", "weights", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     return f.withColumn("score", score).drop("_z", "weights", "explained")

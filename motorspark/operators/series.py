@@ -120,6 +120,20 @@ def lowpass_butter(df: DataFrame, order: int, cutoff: float, rate: float, keys:
     return per_series(df, keys, lambda _, v: kernels.lowpass(v, order, cutoff, rate), **names)
 
 
+def filter_by_channel(df: DataFrame, filters: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]], keys: Sequence[str] = KEYS, channel: str = "channel", value: str = "value", out: str = "smoothed", time: str = "t") -> DataFrame:
+    """Each channel by its own function of (times, values); a channel without one keeps its values."""
+    named = df.where(F.col(channel).isin(list(filters)))
+    schema = StructType([*df.schema.fields, StructField(out, DoubleType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(time, kind="stable")
+        made = np.asarray(filters[pdf[channel].iloc[0]](pdf[time].to_numpy(float), pdf[value].to_numpy(float)), float)
+        return pdf.assign(**{out: pd.Series(made, index=pdf.index).astype(object).where(np.isfinite(made), None)})
+
+    rest = df.where(~F.coalesce(F.col(channel).isin(list(filters)), F.lit(False))).withColumn(out, F.col(value).cast("double"))
+    return named.groupBy(*keys).applyInPandas(run, schema).unionByName(rest)
+
+
 def median_filter(df: DataFrame, keys: Sequence[str], size: int = 3, value: str = "value", out: str = "smoothed", time: str = "t") -> DataFrame:
     """Sliding median; beyond the ends are zeros. Built in."""
     h = size // 2
@@ -379,10 +393,14 @@ def trial_timepoints(
     out = trials.join(g, by, "left").withColumn("regrasp_bool", F.coalesce("regrasp_bool", F.lit(False)))
     near = angles.join(g.select(*keys, F.col("first_grasp_start").alias("_start"), "release"), by)
     reach = near.where((F.col("t") < F.col("_start")) & (F.col("t") > F.col("_start") - before))
-    for joint in ("shoulder", "elbow", "wrist", "finger"):
-        own = reach.where(F.col("channel").isin(list(joints[joint]))).select(*keys, "channel", "t", "value")
-        onset = movement_onset(normalised_velocity(own, keys, between=True), ONSET_SPEED, keys)
-        out = out.join(onset.withColumnRenamed("onset", f"{joint}_onset"), by, "left")
+    # All joints at once: a channel goes to every joint that has it.
+    moving = ("shoulder", "elbow", "wrist", "finger")
+    of = {c: [j for j in moving if c in joints[j]] for c in sorted({c for j in moving for c in joints[j]})}
+    joint = F.create_map(*[e for c, own in of.items() for e in (F.lit(c), F.array(*map(F.lit, own)))])
+    own = reach.select(*keys, "channel", "t", "value", F.explode(F.try_element_at(joint, F.col("channel"))).alias("_joint"))
+    onset = movement_onset(normalised_velocity(own, [*keys, "_joint"], between=True), ONSET_SPEED, [*keys, "_joint"])
+    onset = onset.groupBy(*keys).agg(*[F.max(F.when(F.col("_joint") == j, F.col("onset"))).alias(f"{j}_onset") for j in moving])
+    out = out.join(onset, by, "left")
     # The hand is back where its pose is nearest to that before the reach.
     pose = angles.where(F.col("channel").isin(list(joints["pose"])))
     rest = interpolate(g.select(*keys, (F.col("first_grasp_start") - before).alias("t")).join(pose.select(*keys, "channel").distinct(), by), pose.select(*keys, "channel", "t", "value"), [*keys, "channel"])

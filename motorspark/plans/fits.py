@@ -86,6 +86,13 @@ def poisson_glm_cv(spark, d):
     return M.poisson_glm_cv(_design(spark, d))
 
 
+@register("encode_at_mode_lag")
+def encode_at_mode_lag(spark, d):
+    design = _design(spark, d)
+    modes = design.select("session").distinct().withColumn("mode_lag", F.day("session") % 3 - 1)
+    return M.encode_at_mode_lag(design, modes)
+
+
 @register("lag_sweep", SIG + """, s AS (SELECT session, channel AS unit_id, row_number() OVER w AS bin, value AS y, lag(value, 2) OVER w AS x FROM sig WINDOW w AS (PARTITION BY session, channel ORDER BY t)),
 f AS (SELECT * FROM s WHERE x IS NOT NULL), j AS (SELECT a.session, a.unit_id, k AS lag, sqrt(a.y) AS y, b.x FROM f a, (SELECT unnest(range(-4, 5)) AS k) o JOIN f b ON b.session = a.session AND b.unit_id = a.unit_id AND b.bin = a.bin + o.k),
 q AS (SELECT session, unit_id, lag, regr_r2(y, x) AS r2 FROM j GROUP BY ALL)

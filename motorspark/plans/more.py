@@ -217,6 +217,21 @@ def lowpass_butter(spark, d):
     return W.lowpass_butter(V.signals(spark, d), 2, 5.0, 50.0)
 
 
+@register("filter_by_channel", SIG + f""" SELECT session, channel, t, round(CASE channel WHEN 'click' THEN value - min(value) OVER (PARTITION BY session, channel) WHEN 'view' THEN sum(value) OVER w ELSE value END, 5) AS smoothed FROM sig WINDOW w AS {BY}""")
+def filter_by_channel(spark, d):
+    filters = {"click": lambda _, v: v - v.min(), "view": lambda _, v: v.cumsum()}
+    return W.filter_by_channel(V.signals(spark, d), filters).select("session", "channel", "t", F.round("smoothed", 5).alias("smoothed"))
+
+
+@register("trial_event_time", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN least(a, b, c) WHEN 1 THEN a ELSE (a + b) / 2 END AS event_time FROM (
+SELECT o_orderkey, o_totalprice AS a, (o_orderkey % 1000 * 100)::DOUBLE AS b, CASE WHEN o_orderkey % 2 = 0 THEN (o_custkey * 10)::DOUBLE END AS c FROM orders)""")
+def trial_event_time(spark, d):
+    a, b, c = F.col("o_totalprice"), (F.col("o_orderkey") % 1000 * 100).cast("double"), F.when(F.col("o_orderkey") % 2 == 0, (F.col("o_custkey") * 10).cast("double"))
+    o = V.table(spark, d, "orders").withColumns({"shoulder_onset": a, "elbow_onset": b, "wrist_onset": c, "finger_onset": b, "first_grasp_start": a, "release": b})
+    kind = F.col("o_orderkey") % 3
+    return o.select("o_orderkey", F.when(kind == 0, C.trial_event_time("movement_onset")).when(kind == 1, C.trial_event_time("initial_grasp")).otherwise(C.trial_event_time("mid_grasp")).alias("event_time"))
+
+
 @register("nan_median_filter")
 def nan_median_filter(spark, d):
     return W.nan_median_filter(V.signals(spark, d), ["session", "channel"], 5)
