@@ -34,8 +34,10 @@ from pyspark.sql import Window
 from motorspark.llm._io import written
 
 #: Pivots, taken from a sample of this many vectors by hash; vectors in a block; entries in a page; children in a node; queries in a group.
-PIVOTS, BLOCK, PAGE, FAN, GROUP = 16, 4096, 256, 16, 256
-#: Components of this size or more would not keep sums of products within a long; vectors that have one go a way of their own.
+PIVOTS, BLOCK, PAGE, FAN, GROUP = 16, 8192, 128, 8, 256
+#: Lengths of vectors that have trees: the most frequent ones. Vectors of other lengths go the way of the large ones.
+LENGTHS = 16
+#: Norms of this size or more would not keep sums of products within a long; vectors that have one go a way of their own.
 LIMIT = float(1 << 20)
 #: Room for rounding in a distance, as a share of the norm that all points have.
 SLACK = 1e-6
@@ -128,17 +130,17 @@ class MTree:
                 break
             a, b = self.first[node], self.last[node]
             if self.leaf[node]:
-                # A page is one block of memory: its entries are passed over in runs, not one by one.
-                near = np.flatnonzero(np.abs(self.entry[a:b] - d) <= limit)
-                if not len(near):
+                # Entries lie in the order of their distance to the page's object, so those that the bound leaves are one run.
+                low, high = a + np.searchsorted(self.entry[a:b], (d - limit, d + limit))
+                high = min(b, high + 1)
+                if low >= high:
                     continue
-                self.computed += len(near)
-                low = near[0]
-                scores = self.x[a + low : a + near[-1] + 1] @ q
+                self.computed += high - low
+                scores = self.x[low:high] @ q
                 floor = -best[-1][0] if len(best) == k else beat
                 good = np.flatnonzero(scores >= floor)
                 if len(good):
-                    best += [(-int(scores[i]), v) for i in good for v in self.ids[a + low + i] if v != own]
+                    best += [(-int(scores[i]), v) for i in good for v in self.ids[low + i] if v != own]
                     best = sorted(best)[:k]
                     if len(best) == k:
                         limit = min(limit, self.reach(norm, -best[-1][0]))
@@ -157,7 +159,8 @@ def _finite(vectors: DataFrame) -> DataFrame:
     """vec_id, ``x`` (array<double>) and whether it is ``large`` of the rows that take part."""
     fine = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine).select("vec_id", F.transform("embedding", lambda e: e.cast("double")).alias("x"))
-    return rows.withColumn("large", F.exists("x", lambda e: F.abs(e) >= LIMIT))
+    square = F.aggregate("x", F.lit(0.0), lambda a, e: a + e * e)
+    return rows.withColumn("large", F.exists("x", lambda e: F.abs(e) >= LIMIT) | (square >= LIMIT * LIMIT))
 
 
 def _with_large(rows: DataFrame, k: int, every: int, scale: float) -> DataFrame:
@@ -201,15 +204,23 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
     """query_id, rank, vec_id, score: the ``k`` best of all rows for each row whose vec_id divides by ``every``.
 
     Vectors that are null, or hold a null or a number that isn't finite, take
-    no part, nor do rows without vec_id. Those with a component of 2^20 or
-    more in size are compared in integers of any length; a score that no long
-    holds is an error, as a cast in SQL is. Vectors
-    of one length are compared with each other only. Repeated rows count
-    once; a vec_id with several vectors is a query for each, and all rows of
-    its id are its own. An empty table gives an empty table.
+    no part, nor do rows without vec_id. Those with a norm of 2^20 or more
+    are compared in integers of any length; a score that no long holds is an
+    error, as a cast in SQL is. Vectors of one length are compared with each
+    other only; beyond the LENGTHS most frequent lengths, without trees.
+    Repeated rows count once; a vec_id with several vectors is a query for
+    each, and all rows of its id are its own. Other columns are not read. An
+    empty table gives an empty table.
+
+    Cost: every group of GROUP queries meets every block of its length whose
+    cell the triangle inequality leaves, so where vectors have little
+    structure it grows with queries times vectors, as brute force does.
     """
     spark = vectors.sparkSession
     every_row = _finite(vectors)
+    counted = every_row.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").limit(LENGTHS)
+    lengths = sorted(r["n"] for r in counted.collect())
+    every_row = every_row.withColumn("large", F.col("large") | ~F.size("x").isin(lengths))
     rows = every_row.where("NOT large").select("vec_id", F.transform("x", lambda e: F.floor(e * scale)).alias("v"))
     if every_row.where("large").limit(1).count():
         # A query is known by its id and vector; ``mark`` of the ordinary ones is that of the rounded vector.
@@ -219,8 +230,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
         extra = extra.join(named, ["query_id", "mark"]).select("query_id", F.col("_mark").alias("mark"), "vec_id", "score").distinct()
     else:
         extra = None
-    lengths = [r[0] for r in rows.select(F.size("v").alias("n")).distinct().collect()]
-    parts = [_one_length(rows.where(F.size("v") == n), k, every) for n in sorted(lengths)]
+    parts = [_one_length(rows.where(F.size("v") == n), k, every) for n in lengths]
+    parts = [p for p in parts if p is not None]
     if extra is not None:
         parts.append(extra)
     if not parts:
@@ -232,7 +243,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
 
 
-def _one_length(rows: DataFrame, k: int, every: int) -> DataFrame:
+def _one_length(rows: DataFrame, k: int, every: int) -> DataFrame | None:
+    """The results among vectors of one length; none without vectors."""
     spark = rows.sparkSession
     # Of equal vectors only the k + 1 smallest ids can be among anyone's k best.
     rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
@@ -240,6 +252,8 @@ def _one_length(rows: DataFrame, k: int, every: int) -> DataFrame:
     squares = F.aggregate("v", F.lit(0).cast("long"), lambda a, e: a + e * e)
     distinct = written(kept.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("square", squares), "topk-distinct")
     most = distinct.agg(F.max("square")).first()[0]
+    if most is None:
+        return None
     pivots = np.array([r[0] for r in distinct.orderBy(F.xxhash64("v"), "v").limit(PIVOTS).select("v").collect()], np.int64)
     shared = spark.sparkContext.broadcast((augment(pivots, most), pivots, most))
 
@@ -325,6 +339,7 @@ def _one_length(rows: DataFrame, k: int, every: int) -> DataFrame:
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all vectors for every vector whose id divides by 50; odd rows as in ``top_k``."""
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
 
 

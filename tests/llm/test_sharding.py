@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from motorspark.llm import sharding
+from motorspark.llm._io import with_slots
 
 SCHEMA = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType()), StructField("source", StringType()), StructField("size", IntegerType()), StructField("shard", IntegerType())])
 
@@ -57,6 +58,13 @@ def test_tree_equals_plain_recursion(docs):
     assert len(sums) == 24 and max(sums.values()) - min(sums.values()) <= max(r["size"] for r in rows)
 
 
+def test_slots(docs):
+    by = {}
+    for x in with_slots(sharding.shard_by_bytes(docs, 24), "shard", ["doc_id", "text_crc32", "size"], "slot").collect():
+        by.setdefault(x["shard"], []).append(x["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
 def test_cells_follow_the_values(docs):
     rows = sharding.points(docs, 24).collect()
     assert sum(r["doc_id"] is None for r in rows) == 1

@@ -21,3 +21,20 @@ def test_large_vectors_are_queries_and_candidates(spark):
     d = spark.createDataFrame([*rows, (900, [math.inf, 0.0, 0.0, 0.0]), (901, None)], "vec_id long, embedding array<double>")
     got = topk.top_k(d, 5, 10).collect()
     assert len(got) == 60 and {(g["query_id"], g["rank"], g["vec_id"], g["score"]) for g in got} == want
+
+
+def test_lengths_without_trees_and_other_columns(spark, monkeypatch):
+    monkeypatch.setattr(topk, "LENGTHS", 2)
+    r = random.Random(5)
+    rows = [(i, [r.uniform(-1, 1) for _ in range((4, 3, 5, 2)[i % 7 % 4])], "x") for i in range(200)]
+    rows[40] = (40, [2.0**21] * len(rows[40][1]), "x")
+    whole = {i: [math.floor(256 * e) for e in x] for i, x, _ in rows}
+    want = set()
+    for q in whole:
+        if q % 10 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:5]
+            want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)}
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    got = topk.top_k(d, 5, 10).collect()
+    assert {(g["query_id"], g["rank"], g["vec_id"], g["score"]) for g in got} == want and len(got) == len(want)
+    assert topk.top_k(d.where("vec_id = 40"), 5, 10).count() == 0
