@@ -60,7 +60,7 @@ def default_ranks() -> str:
 
 
 def tails(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
-    """Of every row: its number of ids, the checksums of its whole windows, and its tail."""
+    """Of every row: its number of ids, the checksums of its whole windows, and its tail; a null text is its closing id alone."""
     small_batches(docs.sparkSession)
     path = path or default_ranks()
 
@@ -228,4 +228,5 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 1024 ids; odd rows as in ``pack``."""
     return pack(documents(spark, sf_dir))

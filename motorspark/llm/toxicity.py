@@ -365,6 +365,12 @@ def toxicity(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document; learned from labels outside the held-out fold.
+
+    A null doc_id belongs to no fold: it isn't learned from and isn't held
+    out. Null and empty texts have score 0; repeated rows stay; an empty table
+    gives an empty table. Of several labels of a document the larger counts.
+    """
     docs = documents(spark, sf_dir)
     net = train(docs.where(fold(4) != 2), spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold(4) != 2))
     return toxicity(docs.select("doc_id", "text"), net).select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
