@@ -76,9 +76,20 @@ def _design(spark: SparkSession, d: str) -> DataFrame:
     return design.withColumn("trial", F.floor(F.col("t") / 3600).cast("int"))
 
 
-@register("design_matrix")
+@register("design_matrix", CTE + """, s AS (SELECT session, unit_id AS channel, t, max(t % 100) / 100 AS value FROM spikes GROUP BY ALL),
+r AS (SELECT max(a) AS a, min(b) AS b, session FROM (SELECT session, channel, min(t) AS a, max(t) AS b FROM s GROUP BY ALL) GROUP BY session),
+g AS (SELECT session, trial, trial * 3600.0 + 1500.0 + bin * 60.0 - 900.0 AS t, count(DISTINCT unit_id) AS units FROM rates GROUP BY ALL),
+k AS (SELECT g.session, g.trial, g.t, units, channel FROM g JOIN r ON r.session = g.session AND g.t BETWEEN a AND b JOIN (SELECT DISTINCT session, channel FROM s) c ON c.session = g.session),
+p AS (SELECT k.*, s.t AS x0, s.value AS y0 FROM k ASOF LEFT JOIN s ON s.session = k.session AND s.channel = k.channel AND s.t <= k.t),
+q AS (SELECT p.*, s.t AS x1, s.value AS y1 FROM p ASOF LEFT JOIN s ON s.session = p.session AND s.channel = p.channel AND s.t >= p.t),
+v AS (SELECT session, trial, t, units, channel, CASE WHEN x0 = x1 THEN y0 ELSE y0 + (t - x0) * (y1 - y0) / (x1 - x0) END AS value FROM q)
+SELECT session, trial::INTEGER AS trial, t::DOUBLE AS t, count(*)::INTEGER AS channels, round(arg_min(value, channel), 6) AS first, round(arg_max(value, channel), 6) AS last, round(sum(value), 6) AS total, units::INTEGER AS units FROM v GROUP BY ALL""")
 def design_matrix(spark, d):
-    return _design(spark, d).select("session", "trial", "t", "x", F.size("y").alias("units"))
+    x = F.col("x")
+    total = F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    return _design(spark, d).select(
+        "session", "trial", "t", F.size(x).alias("channels"), F.round(x[0], 6).alias("first"), F.round(F.element_at(x, -1), 6).alias("last"), F.round(total, 6).alias("total"), F.size("y").alias("units")
+    )
 
 
 @register("poisson_glm_cv")

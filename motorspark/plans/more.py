@@ -178,10 +178,14 @@ def hand_retreat(spark, d):
     return W.hand_retreat(s, grasp, ("session", "channel"), within=200_000.0)
 
 
-@register("stable_period")
+@register("stable_period", """WITH e AS (SELECT label AS session, vec_id / 50 AS t, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
+s AS (SELECT session, t, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2 + (z - lag(z) OVER w) ** 2) / (t - lag(t) OVER w) AS s FROM e WINDOW w AS (PARTITION BY session ORDER BY t)),
+m AS (SELECT session, t, least(coalesce(s / nullif(quantile_cont(s, 0.95) OVER (PARTITION BY session), 0), 0), 1) AS v FROM s WHERE s IS NOT NULL),
+f AS (SELECT session, t, list_sort([coalesce(lag(v) OVER w, 0), v, coalesce(lead(v) OVER w, 0)])[2] AS v FROM m WINDOW w AS (PARTITION BY session ORDER BY t))
+SELECT session, round(arg_min(t, (v, t)) - 0.15, 6) AS start, round(arg_min(t, (v, t)) + 0.15, 6) AS stop FROM f GROUP BY 1""")
 def stable_period(spark, d):
     e = V.table(spark, d, "embeddings").select(F.col("label").alias("session"), F.lit("m").alias("marker"), (F.col("vec_id") / 50).alias("t"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")])
-    return W.stable_period(e)
+    return W.stable_period(e).withColumns(r("start", "stop"))
 
 
 @register("edge_times_on_spike_clock", """WITH e AS (SELECT user_id AS session, event_id, CASE WHEN event_id % 4 > 0 THEN (event_id * 30 - 100) / 30000 END AS s, event_id / 1000 AS timestamp FROM events)
@@ -207,9 +211,14 @@ def resync_frames(spark, d):
     return W.resync_frames(f, log, ("trial_num",)).select("trial_num", "vec_id", F.round("t", 9).alias("t"))
 
 
-@register("decimate")
+ROWS = SIG + f""", n AS (SELECT session, channel, t, value, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY session, channel) AS n FROM sig WINDOW w AS {BY})"""
+
+
+@register("decimate", ROWS + """, p AS (SELECT session, channel, i, value FROM n UNION ALL SELECT session, channel, n, value FROM n WHERE i = n - 1 AND n % 5 > 0),
+h AS (SELECT j, CASE WHEN j = 0 THEN 1 ELSE sin(pi() * j / 5) / (pi() * j / 5) END * (0.54 + 0.46 * cos(pi() * j / 50)) AS h FROM (SELECT unnest(range(-50, 51)) AS j))
+SELECT n.session, n.channel, n.t, round(sum(p.value * h) / (SELECT sum(h) FROM h), 6) AS value FROM n, h JOIN p ON p.session = n.session AND p.channel = n.channel AND p.i = n.i - h.j WHERE n.i % 5 = 0 GROUP BY ALL""")
 def decimate(spark, d):
-    return W.decimate(V.signals(spark, d), 5)
+    return W.decimate(V.signals(spark, d), 5).withColumns(r("value"))
 
 
 @register("lowpass_butter")
@@ -232,15 +241,18 @@ def trial_event_time(spark, d):
     return o.select("o_orderkey", F.when(kind == 0, C.trial_event_time("movement_onset")).when(kind == 1, C.trial_event_time("initial_grasp")).otherwise(C.trial_event_time("mid_grasp")).alias("event_time"))
 
 
-@register("nan_median_filter")
+@register("nan_median_filter", ROWS + """ SELECT session, channel, t, value, CASE WHEN i < 2 OR i >= n - 2 THEN value ELSE median(value) OVER (PARTITION BY session, channel ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) END AS smoothed FROM n""")
 def nan_median_filter(spark, d):
     return W.nan_median_filter(V.signals(spark, d), ["session", "channel"], 5)
 
 
-@register("marker_cleanup")
+@register("marker_cleanup", ROWS + """, v AS (SELECT session, channel, i, n, CASE WHEN value / 500 >= 0.2 THEN value END AS x FROM n),
+m AS (SELECT session, channel, i, n, CASE WHEN i < 2 OR i >= n - 2 THEN x WHEN count(x) OVER w >= 3 THEN median(x) OVER w END AS y FROM v WINDOW w AS (PARTITION BY session, channel ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+g AS (SELECT a.session, a.channel, a.i, sum(b.y * exp(-j * j / 8.0)) AS total, sum(CASE WHEN b.y IS NOT NULL THEN exp(-j * j / 8.0) END) AS weight FROM m a, (SELECT unnest(range(-8, 9)) AS j) o JOIN m b ON b.session = a.session AND b.channel = a.channel AND b.i = least(greatest(a.i + o.j, 0), a.n - 1) GROUP BY ALL)
+SELECT session, channel, (i + 1)::INTEGER AS frame, round(total / weight, 6) AS cleaned FROM g""")
 def marker_cleanup(spark, d):
     s = V.signals(spark, d).withColumns({"confidence": F.col("value") / 500, "frame": F.row_number().over(Window.partitionBy("session", "channel").orderBy("t"))})
-    return W.marker_cleanup(s, ["session", "channel"], 0.2, 5, 2.0)
+    return W.marker_cleanup(s, ["session", "channel"], 0.2, 5, 2.0).select("session", "channel", "frame", F.round("cleaned", 6).alias("cleaned"))
 
 
 @register("cumulative_unit_positions", "SELECT s_suppkey, (s_suppkey % 2) * 16::DOUBLE AS x, (s_suppkey // 2) * 20::DOUBLE AS y FROM supplier")
@@ -285,11 +297,19 @@ def cumulative_success_matrix(spark, d):
     return A.cumulative_success_matrix(o, ["o_orderpriority"]).withColumns(r("success_rate", places=9))
 
 
-@register("align_trial")
+@register("align_trial", SIG + """, j AS (SELECT session, floor(t / 500000)::BIGINT AS trial, channel, t, value FROM sig), f AS (SELECT session, trial, t, sum(value) * 2 AS force FROM j GROUP BY ALL),
+d AS (SELECT session, trial, median(dt) AS dt, min(t) AS a, max(t) AS b FROM (SELECT *, t - lag(t) OVER (PARTITION BY session, trial, channel ORDER BY t) AS dt FROM j) GROUP BY ALL),
+g AS (SELECT session, trial, dt, a + k * dt AS t, k, floor((b - a) / dt)::INTEGER AS last FROM (SELECT *, unnest(range(floor((b - a) / dt)::INTEGER + 1)) AS k FROM d WHERE dt > 0)),
+e AS (SELECT *, CASE WHEN k = 0 AND last = 0 THEN t WHEN k = 0 THEN t - (lead(t) OVER w - t) / 2 ELSE (t + lag(t) OVER w) / 2 END AS lo, CASE WHEN last = 0 THEN t WHEN k = last THEN t + (t - lag(t) OVER w) / 2 ELSE (t + lead(t) OVER w) / 2 END AS hi FROM g WINDOW w AS (PARTITION BY session, trial ORDER BY k)),
+m AS (SELECT e.session, e.trial, e.t, median(f.force) AS force FROM e JOIN f ON f.session = e.session AND f.trial = e.trial AND f.t >= e.lo AND f.t < e.hi GROUP BY ALL),
+c AS (SELECT g.session, g.trial, g.t, channel FROM g JOIN (SELECT DISTINCT session, trial, channel FROM j) USING (session, trial)),
+p AS (SELECT c.*, j.t AS x0, j.value AS y0 FROM c ASOF LEFT JOIN j ON j.session = c.session AND j.trial = c.trial AND j.channel = c.channel AND j.t <= c.t),
+q AS (SELECT p.*, j.t AS x1, j.value AS y1 FROM p ASOF LEFT JOIN j ON j.session = p.session AND j.trial = p.trial AND j.channel = p.channel AND j.t >= p.t)
+SELECT session, trial, round(t, 4) AS t, channel, round(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x0 = x1 THEN y0 ELSE y0 + (t - x0) * (y1 - y0) / (x1 - x0) END, 4) AS value, round(coalesce(force, 0), 4) AS force FROM q LEFT JOIN m USING (session, trial, t)""")
 def align_trial(spark, d):
     joints = V.signals(spark, d).select("session", F.floor(F.col("t") / 500_000).alias("trial"), "channel", "t", "value")
     frames = joints.groupBy("session", "trial", "t").agg(F.sum("value").alias("v")).select("session", "trial", "t", F.array("v", "v").alias("sensels"))
-    return W.align_trial(joints, frames)
+    return W.align_trial(joints, frames).withColumns(r("t", "value", "force", places=4))
 
 
 @register("fingers_static", SPEED + """, g AS (SELECT session, quantile_cont(t, 0.2) AS a, quantile_cont(t, 0.8) AS b FROM sp GROUP BY 1),
