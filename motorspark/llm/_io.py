@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from typing import TypeVar
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,24 +18,34 @@ from pyspark.sql.types import StructType
 T = TypeVar("T")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` where the session names one. Only a session
-    without it gets a folder of our own: a temporary one with a local master
-    (tests), else one under the warehouse, which a cluster shares too.
+    ``spark.checkpoint.dir`` where the session names one. A session without
+    it gets a folder of our own, which its settings don't learn of: with a
+    local master (tests) a temporary one that goes at exit, on a cluster one
+    under a warehouse that lies in a shared store. A cluster with neither is
+    an error: executors would write where nobody else can read. Tables in the
+    folder stay until it is cleaned; their names begin with their operator's.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        made = tempfile.mkdtemp(prefix="motorspark-")
-        atexit.register(shutil.rmtree, made, True)
-        named = f"file://{made}"
-    else:
-        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_motorspark"
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    application = spark.sparkContext.applicationId
+    if application not in _OWN:
+        if spark.sparkContext.master.split("[")[0] == "local":
+            made = tempfile.mkdtemp(prefix="motorspark-")
+            atexit.register(shutil.rmtree, made, True)
+            _OWN[application] = f"file://{made}"
+        else:
+            warehouse = spark.conf.get("spark.sql.warehouse.dir")
+            if urlsplit(warehouse).scheme in ("", "file"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            _OWN[application] = f"{warehouse.rstrip('/')}/_motorspark"
+    return _OWN[application]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -53,7 +64,9 @@ def small_batches(spark: SparkSession) -> None:
     """Bound what a task hands to Python at once: 512 rows, and 8 MB where rows are long.
 
     The session's default (10,000 rows) would hold a gigabyte of very long
-    texts, in the executor and in the worker. Smaller settings stay.
+    texts, in the executor and in the worker. Smaller settings stay. Spark
+    reads these settings from the session when a plan runs, so they stay
+    changed after the call; nothing but the size of batches hangs on them.
     """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 512), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
         now = spark.conf.get(key, None)
@@ -70,6 +83,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: A key with more than this part of all rows is hot.
+HOT = 1000
+
+
+def join_counted(rows: DataFrame, right: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` joined with ``right``, which has one row a key and in ``n`` the number of ``rows`` with that key.
+
+    A key with over a thousandth of all rows would be one task's: there are
+    fewer than HOT such keys, so they are broadcast. The others are shuffled.
+    Both sides are read twice.
+    """
+    added = [c for c in right.columns if c not in (*keys, n)]
+    hot = F.broadcast(right.where(F.col(n) * HOT > rows.count()).drop(n).withColumn("_hot", F.lit(True)))
+    met = rows.join(hot, keys, "left")
+    rest = met.where("_hot IS NULL").drop("_hot", *added).join(right.drop(n), keys)
+    return met.where("_hot").drop("_hot").unionByName(rest)
+
+
 _KEPT: dict[str, object] = {}
 
 

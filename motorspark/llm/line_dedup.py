@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorspark.llm._io import documents
+from motorspark.llm._io import documents, join_counted, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\f\r"
@@ -60,17 +60,19 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     lines = base.select("_doc", "_mark", split).select("_doc", "_mark", F.explode(places).alias("p")).select(
         "_doc", "_mark", F.col("p.at").alias("at"), F.col("p.h.a").alias("a"), F.col("p.h.b").alias("b")
     )
-    # Hash a | b stands for the key: 128 bits, so chance equality is out of reach.
+    # Lines are parsed and hashed once. Hash a | b stands for the key: 128 bits, so chance equality is out of reach.
+    lines = written(lines, "line-keys")
     if min_docs == 2:
-        common = lines.groupBy("a", "b").agg(F.min("_doc").alias("_first"), F.max("_doc").alias("_last")).where("_last > _first")
+        common = lines.groupBy("a", "b").agg(F.min("_doc").alias("_first"), F.max("_doc").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_last > _first")
     else:
         common = (
-            lines.groupBy("a", "b", "_doc").agg(F.lit(1).alias("_one")).groupBy("a", "b")
-            .agg(F.min("_doc").alias("_first"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs)
+            lines.groupBy("a", "b", "_doc").agg(F.count(F.lit(1)).alias("_m")).groupBy("a", "b")
+            .agg(F.min("_doc").alias("_first"), F.count(F.lit(1)).alias("_docs"), F.sum("_m").alias("_n")).where(F.col("_docs") >= min_docs)
         )
+    common = written(common.select("a", "b", "_first", "_n"), "line-common")
+    met = join_counted(lines, common, ["a", "b"], "_n")
     drops = (
-        lines.join(common.select("a", "b", "_first"), ["a", "b"])
-        .where(F.col("_doc") > F.col("_first"))
+        met.where(F.col("_doc") > F.col("_first"))
         .groupBy("_doc", "_mark").agg(F.collect_set("at").alias("_drop"))
     )
     every = F.sequence(F.lit(0), F.size("_lines") - 1)
@@ -86,6 +88,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line counts and the digest of what is kept of every document; odd rows as in ``dedup_lines``."""
     found = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
