@@ -3,6 +3,9 @@
 import random
 import re
 
+import numpy as np
+import pytest
+
 from motorspark.llm import jaccard, simhash
 
 
@@ -31,7 +34,10 @@ def roots(rows):
     return {i: find(i) for i in root}, similar
 
 
-def test_near_copies_match_all_pairs(spark):
+@pytest.mark.parametrize(("small", "block"), [(64, 256), (2, 4)])
+def test_near_copies_match_all_pairs(spark, monkeypatch, small, block):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     r = random.Random(8)
     words = [f"w{i}" for i in range(300)]
     rows = []
@@ -64,3 +70,18 @@ def test_the_pipelines_stage_drops_a_copy_beyond_two_bits(spark):
     docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other)), (3, "quite another text with more than five words")], "doc_id long, text string")
     assert (simhash.fingerprint(" ".join(base)) ^ simhash.fingerprint(" ".join(other))).bit_count() > 2
     assert {x["doc_id"] for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {1, 3}
+
+
+def test_parities_bound_the_difference():
+    g = np.random.default_rng(2)
+    for n in (1, 100, 127, 128, 129, 300, 5000):
+        a = np.unique(g.integers(-(2**63), 2**63 - 1, n))
+        for m in (1, n // 10 + 1, n):
+            b = np.unique(np.concatenate((a[m:], g.integers(-(2**63), 2**63 - 1, m + n // 8))))
+            if not len(b):
+                continue
+            x, y = (np.array([jaccard.parities(v)], np.int64).view(np.uint64) for v in (a, b))
+            apart, true = int(jaccard._apart(x, y)[0, 0]), len(np.setxor1d(a, b))
+            assert apart <= true and (apart - true) % 2 == 0
+            if true * 4 < n:
+                assert apart > 0.8 * true - 4
