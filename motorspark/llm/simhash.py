@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorspark.llm._io import documents, small_batches, written
+from motorspark.llm._io import documents, join_counted, small_batches, written
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -53,9 +53,9 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and ``fp``, the fingerprint as a signed long, of every row."""
-
+    """doc_id and ``fp``, the fingerprint as a signed long, of every row; 0 for a null text and one without words."""
     small_batches(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             made = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
@@ -168,14 +168,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def named(prints: DataFrame, edges: DataFrame) -> DataFrame:
     """``prints`` (doc_id, fp) with the ``component_id`` that the ``edges`` (a, b) between fingerprints give."""
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     found = components(edges)
     rooted = found.join(distinct, found["node"] == distinct["fp"]).select("node", "root", "first")
     roots = found.select("root").distinct()
     rooted = rooted.unionByName(roots.join(distinct, roots["root"] == distinct["fp"]).select(F.col("root").alias("node"), "root", "first"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("linked")), "root").select(F.col("node").alias("fp"), "linked")
-    whole = distinct.join(named, "fp", "left").select("fp", F.coalesce("linked", "first").alias("component_id"))
-    return prints.join(whole, "fp").select("doc_id", "fp", "component_id")
+    rooted = written(rooted, "simhash-rooted")
+    least = written(rooted.groupBy("root").agg(F.min("first").alias("linked"), F.count(F.lit(1)).alias("n")), "simhash-roots")
+    named = join_counted(rooted, least, ["root"], "n").select(F.col("node").alias("fp"), "linked")
+    whole = written(distinct.join(named, "fp", "left").select("fp", F.coalesce("linked", "first").alias("component_id"), "n"), "simhash-components")
+    return join_counted(prints, whole, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int | None = None, percent: int = 80) -> DataFrame:
@@ -199,5 +201,6 @@ def keep_one(docs: DataFrame, shingle: int | None = None, percent: int = 80) ->
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and component of every document; odd rows as in ``near_duplicates``."""
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
