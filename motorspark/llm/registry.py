@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motorspark.llm import bpe, conversations, langid, licenses, line_dedup, media, packing, resampling, sharding, simhash, topk, toxicity
+from motorspark.llm import bpe, conversations, langid, licenses, line_dedup, media, packing, privacy, resampling, sharding, simhash, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8_sharding,
         "op9_langid": langid.op9_langid,
         "op10_simhash": simhash.op10_simhash,
+        "op11_pii": privacy.op11_pii,
         "op12_importance_resampling": resampling.op12_importance_resampling,
         "op13_conversation_repair": conversations.op13_conversation_repair,
     }
