@@ -193,53 +193,6 @@ def r2(y: np.ndarray, p: np.ndarray) -> float:
     return float(1 - ((y - p) ** 2).sum() / d) if d > 0 else math.nan
 
 
-def rrr_cv(x: np.ndarray, y: np.ndarray, ranks: int, alpha: float = 1.0, k: int = 5, seed: int = 0) -> list[float]:
-    """Held-out R2 of reduced-rank ridge for each rank from 1."""
-    f, most = folds(len(x), k, seed), min(ranks, x.shape[1], y.shape[1])
-    pred = np.empty((most, *y.shape))
-    for i in np.unique(f):
-        tr, te = f != i, f == i
-        w, b = ridge(x[tr], y[tr], alpha)
-        _, _, vt = np.linalg.svd(x[tr] @ w + b - y[tr].mean(0), full_matrices=False)
-        for r in range(1, most + 1):
-            proj = vt[:r].T @ vt[:r]
-            pred[r - 1, te] = (x[te] - x[tr].mean(0)) @ w @ proj + y[tr].mean(0)
-    return [r2(y, p) for p in pred]
-
-
-def cca(x: np.ndarray, y: np.ndarray, n: int, alpha: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of ridge CCA for both sides."""
-    x, y = x - x.mean(0), y - y.mean(0)
-
-    def root(c: np.ndarray) -> np.ndarray:
-        v, u = np.linalg.eigh(c)
-        return u @ np.diag(1 / np.sqrt(np.maximum(v, 1e-12))) @ u.T
-
-    a = root(x.T @ x / len(x) + alpha * np.eye(x.shape[1]))
-    b = root(y.T @ y / len(y) + alpha * np.eye(y.shape[1]))
-    u, _, vt = np.linalg.svd(a @ (x.T @ y / len(x)) @ b, full_matrices=False)
-    return a @ u[:, :n], b @ vt[:n].T
-
-
-def cca_cv(x: np.ndarray, y: np.ndarray, n: int, alpha: float = 1e-3, k: int = 5, seed: int = 0) -> list[float]:
-    """Mean held-out correlation of each canonical pair."""
-    f, out = folds(len(x), k, seed), []
-    n = min(n, x.shape[1], y.shape[1])
-    for i in np.unique(f):
-        a, b = cca(x[f != i], y[f != i], n, alpha)
-        u, v = x[f == i] @ a, y[f == i] @ b
-        out.append([np.corrcoef(u[:, j], v[:, j])[0, 1] if u[:, j].std() > 0 and v[:, j].std() > 0 else math.nan for j in range(n)])
-    return np.nanmean(np.array(out), 0).tolist()
-
-
-def dynamics(x: np.ndarray, delays: int, rank: int) -> np.ndarray:
-    """The reduced linear operator of the delay-embedded series."""
-    e = np.concatenate([x[i : len(x) - delays + i + 1] for i in range(delays)], 1)
-    u, s, vt = np.linalg.svd(e - e.mean(0), full_matrices=False)
-    z = u[:, :rank] * s[:rank]
-    return np.linalg.lstsq(z[:-1], z[1:], rcond=None)[0].T
-
-
 def _rotations(a: np.ndarray, b: np.ndarray, starts: int, seed: int) -> np.ndarray:
     """Orthogonal matrices to start from: the identity, one that aligns the eigenbases, and random ones.
 
@@ -256,54 +209,8 @@ def _rotations(a: np.ndarray, b: np.ndarray, starts: int, seed: int) -> np.ndarr
     return np.concatenate((np.eye(r)[None], ((u * sign) @ v.T)[None], random))
 
 
-def dsa(x: np.ndarray, y: np.ndarray, delays: int = 5, rank: int = 5, starts: int = 2, rounds: int = 200, seed: int = 0) -> float:
-    """Distance of the dynamics of two series: the least |A C - C B| over orthogonal C, over the mean norm of A and B.
-
-    Projected gradient steps of a length that never lets the distance grow,
-    from several starts at once; the best end counts. 0 means that one system
-    is the other in another basis.
-    """
-    a, b = dynamics(x, delays, rank), dynamics(y, delays, rank)
-    r = min(len(a), len(b))
-    a, b = a[:r, :r], b[:r, :r]
-    scale = (np.linalg.norm(a) + np.linalg.norm(b)) / 2
-    if scale == 0:
-        return 0.0
-    c, step = _rotations(a, b, starts, seed), 0.5 / max(np.linalg.norm(a, 2) + np.linalg.norm(b, 2), 1e-300) ** 2
-    before = np.inf
-    for k in range(rounds):
-        rest = a @ c - c @ b
-        now = np.linalg.norm(rest, axis=(1, 2)).min()
-        if now < 1e-10 * scale or (k >= 10 and before - now < 1e-5 * scale):
-            break
-        before = now
-        u, _, vt = np.linalg.svd(c - 2 * step * (a.T @ rest - rest @ b.T))
-        c = u @ vt
-    return float(np.linalg.norm(a @ c - c @ b, axis=(1, 2)).min() / scale)
-
-
 def whiten(x: np.ndarray, ridge_: float = 1e-6) -> np.ndarray:
     """ZCA of the columns."""
     c = x - x.mean(0)
     v, u = np.linalg.eigh(c.T @ c / len(c) + ridge_ * np.eye(c.shape[1]))
     return c @ u @ np.diag(1 / np.sqrt(np.maximum(v, 1e-12))) @ u.T
-
-
-def surrogate(x: np.ndarray, kind: str, rng: np.random.Generator, trials: np.ndarray | None = None) -> np.ndarray:
-    """A surrogate of the rows: time_shuffle, circular_shift, phase_randomize or trial_shuffle."""
-    n = len(x)
-    if kind == "time_shuffle":
-        return x[rng.permutation(n)]
-    if kind == "circular_shift":
-        return np.roll(x, int(rng.integers(1, max(n, 2))), 0)
-    if kind == "phase_randomize":
-        f = np.fft.rfft(x, axis=0)
-        phase = np.exp(1j * rng.uniform(0, 2 * np.pi, (len(f), 1)))
-        phase[0] = 1
-        if n % 2 == 0:
-            phase[-1] = 1
-        return np.fft.irfft(f * phase, n, 0)
-    if kind == "trial_shuffle":
-        parts = [x[trials == t] for t in np.unique(trials)]
-        return np.concatenate([parts[i] for i in rng.permutation(len(parts))])
-    raise ValueError(f"no such surrogate: {kind}")

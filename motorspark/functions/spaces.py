@@ -160,9 +160,17 @@ def cca_fit(t: np.ndarray, p: int, alpha_x: float = 1.0, alpha_y: float = 1.0, n
 
 
 def cca_folds(g: np.ndarray, p: int, alpha_x: float = 1.0, alpha_y: float = 1.0, n: int | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each fold the weights of both sides from its training rows, and their correlations on the fold (NaN for a constant)."""
+    """For each fold the weights of both sides from its training rows, and their correlations on the fold.
+
+    A constant has NaN, as have folds of fewer than two rows, or with fewer outside.
+    """
     total, out = g.sum(0), []
+    q = g.shape[1] - 1 - p
+    k = min(n or p, p, q)
     for te in g:
+        if min(te[0, 0], total[0, 0] - te[0, 0]) < 1.5:
+            out.append((np.zeros((p, k)), np.zeros((q, k)), np.full(k, np.nan)))
+            continue
         _, a, b = cca_fit(total - te, p, alpha_x, alpha_y, n)
         c = _covariances(te)
         u, v = np.einsum("ij,ik,kj->j", a, c[:p, :p], a), np.einsum("ij,ik,kj->j", b, c[p:, p:], b)
@@ -216,22 +224,42 @@ def operator_from_sums(now: np.ndarray, after: np.ndarray, rank: int) -> np.ndar
     return u.T @ after @ u @ np.linalg.pinv(u.T @ now @ u)
 
 
-def field_distance(a: np.ndarray, b: np.ndarray, starts: int = 2, rounds: int = 200, seed: int = 0) -> float:
-    """The least ``|A C - C B|`` over orthogonal C, over the mean norm of A and B; 0: the same system in another basis."""
-    scale = (np.linalg.norm(a) + np.linalg.norm(b)) / 2
-    if scale == 0:
-        return 0.0
-    c, step = _rotations(a, b, starts, seed), 0.5 / max(np.linalg.norm(a, 2) + np.linalg.norm(b, 2), 1e-300) ** 2
-    before = np.inf
-    for k in range(rounds):
-        rest = a @ c - c @ b
-        now = np.linalg.norm(rest, axis=(1, 2)).min()
-        if now < 1e-10 * scale or (k >= 10 and before - now < 1e-5 * scale):
+def field_distances(a: np.ndarray, bs: np.ndarray, starts: int = 2, rounds: int = 200, seed: int = 0) -> np.ndarray:
+    """The least ``|A C - C B|`` over orthogonal C for each B of ``bs``, over the mean norm of A and B; 0: the same system in another basis.
+
+    Steps along the gradient's tangent, of a length that never lets the
+    distance grow, from several starts for all B at once. C goes back to the
+    orthogonal matrices by Newton-Schulz steps: a tangent step leaves its
+    singular values between 1 and the root of 2, where these converge.
+    """
+    scale = (np.linalg.norm(a) + np.linalg.norm(bs, axis=(1, 2))) / 2
+    out, eye = np.zeros(len(bs)), np.eye(len(a))
+    c = np.stack([_rotations(a, b, starts, seed) for b in bs]) if len(bs) else np.zeros((0, 1, *a.shape))
+    step = 1.0 / np.maximum(np.linalg.norm(a, 2) + np.linalg.norm(bs, 2, axis=(1, 2)), 1e-300) ** 2
+    todo, before = np.flatnonzero(scale > 0), np.full(len(bs), np.inf)
+    for k in range(rounds + 1):
+        b, own = bs[todo][:, None], c[todo]
+        rest = a @ own - own @ b
+        now = np.linalg.norm(rest, axis=(2, 3)).min(1)
+        out[todo] = now / scale[todo]
+        go = (now >= 1e-10 * scale[todo]) & ((k < 10) | (before[todo] - now >= 1e-5 * scale[todo]))
+        before[todo] = now
+        todo, own, rest, b = todo[go], own[go], rest[go], b[go]
+        if not len(todo) or k == rounds:
             break
-        before = now
-        u, _, vt = np.linalg.svd(c - 2 * step * (a.T @ rest - rest @ b.T))
-        c = u @ vt
-    return float(np.linalg.norm(a @ c - c @ b, axis=(1, 2)).min() / scale)
+        turn = own.swapaxes(2, 3) @ (a.T @ rest - rest @ b.swapaxes(2, 3))
+        own = own @ (eye - (step[todo][:, None, None, None] / 2) * (turn - turn.swapaxes(2, 3)))
+        for _ in range(8):
+            square_ = own.swapaxes(2, 3) @ own
+            if np.abs(square_ - eye).max() < 1e-12:
+                break
+            own = own @ (1.5 * eye - 0.5 * square_)
+        c[todo] = own
+    return out
+
+
+def field_distance(a: np.ndarray, b: np.ndarray, starts: int = 2, rounds: int = 200, seed: int = 0) -> float:
+    return float(field_distances(a, b[None], starts, rounds, seed)[0])
 
 
 def surrogate(y: np.ndarray, kind: str, rng: np.random.Generator, trial: np.ndarray) -> np.ndarray:

@@ -15,13 +15,14 @@ each piece of its rates gives the sums of the draws.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from motorspark.functions import models as M
 from motorspark.functions import spaces as S
 from motorspark.operators import series as W
 from motorspark.operators.models import _keys_ddl, _spread, per_group, seed_of
@@ -390,15 +391,16 @@ def compare_behaviour(
                 own, by, p = slice(start, start + r["n"]), np.frombuffer(r["by"]).reshape(-1, r["d"]), r["pp"]
                 x, y = _applied(by, p, np.frombuffer(r["x"]).reshape(r["n"], r["p"]), y)
                 x = np.concatenate((np.ones((len(x), 1)), x), 1)
-                todo, parts, dsa = by_surrogate[r["surrogate"]], [], []
+                alone = "dsa" in by_surrogate[r["surrogate"]] and r["piece"] == 0 and r["a_x"] is not None and len(y) > (delays - 1) * delay + 1
+                parts, fields = [], []
                 for i in range(r["lane"] * DRAWS, min((r["lane"] + 1) * DRAWS, n_null)):
                     rng = np.random.default_rng(seed_of(seed, r["surrogate"], i, *(r[k] for k in keys)))
                     mixed = S.surrogate(y, r["surrogate"], rng, trial)
                     part = np.concatenate((x, mixed[own]), 1)
                     parts.append(np.stack([part[fold[own] == f].T @ mixed[own][fold[own] == f] for f in r["numbers"]]))
-                    alone = "dsa" in todo and r["piece"] == 0 and r["a_x"] is not None and len(mixed) > (delays - 1) * delay + 1
-                    a = S.operator_from_sums(*S.transition_sums(mixed, delays, delay), int(r["r"])) if alone else None
-                    dsa.append(S.field_distance(np.frombuffer(r["a_x"]).reshape(len(a), -1), a) if alone else np.nan)
+                    if alone:
+                        fields.append(S.operator_from_sums(*S.transition_sums(mixed, delays, delay), int(r["r"])))
+                dsa = S.field_distances(np.frombuffer(r["a_x"]).reshape(fields[0].shape), np.stack(fields)) if alone else np.full(len(parts), np.nan)
                 yield pd.DataFrame([{k: r[k] for k in (*keys, "surrogate", "lane", "piece")} | {"parts": np.stack(parts).tobytes(), "dsa": dsa}])
 
     drawn = lanes.mapInPandas(draw, f"{_keys_ddl(packed, keys)}, surrogate string, lane int, piece long, parts binary, dsa array<double>")
@@ -437,3 +439,33 @@ def effect_sizes(found: DataFrame, nulls: DataFrame, keys: Sequence[str]) -> Dat
     robust = F.try_divide(F.col("_o") - F.col("_med"), F.col("_mad") * 1.4826) * sign
     out = out.select(*keys, "surrogate", "null_mean", "null_std", z.alias("z"), robust.alias("robust_z"), "percentile", "p", "n")
     return found.join(out, list(keys), "left")
+
+
+def headline_null(designs: DataFrame, headline: Callable[[np.ndarray, np.ndarray], float], n: int, surrogates: Sequence[str] = SURROGATES, keys: Sequence[str] = KEYS, seed: int = 0, piece: int = PIECE) -> DataFrame:
+    """A headline of one's own, ``headline(x, y)`` on standardised columns: observed (surrogate null, draw null) and on surrogates of y.
+
+    Such a function needs the samples, so a task holds a design; its draws are
+    dealt in blocks of DRAWS.
+    """
+    packed = pieces(designs, keys, 5, seed, False, piece)
+    whole = packed.groupBy(*keys).agg(F.first("p").alias("p"), F.first("q").alias("q"), F.array_sort(F.collect_list(F.struct("piece", "n", "x", "y", "trials"))).alias("all"))
+    kinds = F.array(F.lit(None).cast("string"), *map(F.lit, surrogates))
+    lanes = whole.withColumn("surrogate", F.explode(kinds)).withColumn("lane", F.explode(F.when(F.col("surrogate").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(-(-n // DRAWS) - 1)))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                x, y = (np.concatenate([np.frombuffer(v[c]).reshape(v["n"], r[k]) for v in r["all"]]) for c, k in (("x", "p"), ("y", "q")))
+                trial = np.concatenate([np.frombuffer(v["trials"], np.int32) for v in r["all"]])
+                (x,), (y,) = M.standardise(x), M.standardise(y)
+                own = {k: r[k] for k in keys} | {"surrogate": r["surrogate"]}
+                if r["surrogate"] is None:
+                    out = [own | {"draw": None, "value": _null(headline(x, y))}]
+                else:
+                    out = []
+                    for i in range(r["lane"] * DRAWS, min((r["lane"] + 1) * DRAWS, n)):
+                        rng = np.random.default_rng(seed_of(seed, r["surrogate"], i, *(r[k] for k in keys)))
+                        out.append(own | {"draw": i, "value": _null(headline(x, S.surrogate(y, r["surrogate"], rng, trial)))})
+                yield pd.DataFrame(out, columns=[*keys, "surrogate", "draw", "value"])
+
+    return _spread(lanes, [*keys, "surrogate", "lane"]).mapInPandas(run, f"{_keys_ddl(designs, keys)}, surrogate string, draw int, value double")

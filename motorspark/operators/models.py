@@ -332,57 +332,6 @@ def whiten_block(rows: DataFrame, keys: Sequence[str] = ("session",), column: st
     return per_group(rows, keys, fit, f"{order} long, white array<double>")
 
 
-#: The headline number of each method of comparing two spaces, a larger one meaning more alike.
-HEADLINES: dict[str, Callable[[np.ndarray, np.ndarray], float]] = {
-    "rrr": lambda x, y: max(M.rrr_cv(x, y, 5)), "cca": lambda x, y: M.cca_cv(x, y, 1)[0], "dsa": lambda x, y: -M.dsa(x, y),
-}
-
-
-def compare_spaces(rows: DataFrame, methods: Sequence[str] = ("rrr", "cca", "dsa"), keys: Sequence[str] = ("session",), order: Sequence[str] = ("trial", "bin"), headline: Callable | None = None) -> DataFrame:
-    """``rows``: keys, trial, bin, x, y. The headline of each method for each key."""
-
-    def fit(pdf: pd.DataFrame) -> list[dict]:
-        pdf = pdf.sort_values(list(order))
-        x, y = M.standardise(_matrix(pdf["x"]))[0], M.standardise(_matrix(pdf["y"]))[0]
-        return [{"method": m, "value": float((headline or HEADLINES[m])(x, y))} for m in methods]
-
-    return per_group(rows, keys, fit, "method string, value double")
-
-
-#: Draws of one surrogate that one task makes one after the other.
-DRAWS = 25
-
-
-def surrogate_null(rows: DataFrame, n: int, surrogates: Sequence[str] = ("time_shuffle", "circular_shift", "phase_randomize", "trial_shuffle"), methods: Sequence[str] = ("rrr", "cca", "dsa"), keys: Sequence[str] = ("session",), seed: int = 0, headline: Callable | None = None) -> DataFrame:
-    """The headline recomputed on surrogates of x, each seeded by key, surrogate and draw.
-
-    A key is packed into one row, and this row goes to one task for each
-    surrogate: it is moved as often as there are surrogates, not draws. The
-    draws are made beside it, in blocks, and nothing but headlines leaves.
-    """
-    blocks = -(-n // DRAWS)
-    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("trial", "bin", "x", "y"))).alias("rows"))
-    lanes = _spread(packed.withColumn("surrogate", F.explode(F.array(*map(F.lit, surrogates)))), [*keys, "surrogate"])
-    dealt = lanes.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    schema = f"{_keys_ddl(rows, keys)}, surrogate string, draw int, method string, value double"
-
-    def run(batches):
-        for pdf in batches:
-            out: list[dict] = []
-            for r in pdf.to_dict("records"):
-                x = M.standardise(np.array([list(v["x"]) for v in r["rows"]], float))[0]
-                y = M.standardise(np.array([list(v["y"]) for v in r["rows"]], float))[0]
-                trial = np.array([v["trial"] for v in r["rows"]])
-                own = {k: r[k] for k in keys}
-                for draw in range(r["_block"] * DRAWS, min((r["_block"] + 1) * DRAWS, n)):
-                    rng = np.random.default_rng(seed_of(seed, r["surrogate"], draw, *own.values()))
-                    mixed = M.surrogate(x, r["surrogate"], rng, trial)
-                    out += [own | {"surrogate": r["surrogate"], "draw": draw, "method": m, "value": float((headline or HEADLINES[m])(mixed, y))} for m in methods]
-            yield pd.DataFrame(out, columns=[*keys, "surrogate", "draw", "method", "value"])
-
-    return dealt.mapInPandas(run, schema)
-
-
 def point_features(signals: DataFrame, events: DataFrame, keys: Sequence[str] = ("session", "trial")) -> DataFrame:
     """Channels of each trial at its event time ``t``, z-scored over the trials of a session."""
     grid = events.select(*keys, "t").join(signals.select(*keys, "channel").distinct(), list(keys))

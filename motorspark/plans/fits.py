@@ -137,16 +137,6 @@ def standardize_blocks(spark, d):
     return M.standardize_blocks(li, {"a": ["l_quantity", "l_discount"]}, ["l_suppkey"]).drop("l_suppkey").withColumns(r("l_quantity", "l_discount"))
 
 
-@register("compare_spaces")
-def compare_spaces(spark, d):
-    return M.compare_spaces(_vectors(spark, d), ("rrr", "cca", "dsa"))
-
-
-@register("surrogate_null")
-def surrogate_null(spark, d):
-    return M.surrogate_null(_vectors(spark, d), 200)
-
-
 @register("spike_point_features", CTE + """, c AS (SELECT e.session, u.unit_id, e.trial, count(s.t) AS n FROM events_at e JOIN (SELECT DISTINCT session, unit_id FROM spikes) u USING (session)
 LEFT JOIN spikes s ON s.session = e.session AND s.unit_id = u.unit_id AND s.t >= tp - 300 AND s.t < tp + 300 GROUP BY ALL)
 SELECT session, unit_id, trial, n, round(coalesce((n - avg(n) OVER w) / nullif(stddev_pop(n) OVER w, 0), 0), 6) + 0 AS z FROM c WINDOW w AS (PARTITION BY session, unit_id)""")

@@ -25,7 +25,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from motorspark.plans import demo, files, fits, more  # noqa: F401  they register on import
+    from motorspark.plans import alignment, demo, files, fits, more  # noqa: F401  they register on import
 
 
 def queries() -> dict[str, Query]:

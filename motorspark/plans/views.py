@@ -16,14 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _day_us(ts: str) -> Column:
+def day_us(ts: str) -> Column:
     """Microseconds since midnight, whatever the session's time zone."""
     return (F.hour(ts) * 3600 + F.minute(ts) * 60).cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
 
 
 def month_seconds(ts: str) -> Column:
     """Seconds since the start of 2024, whatever the session's time zone."""
-    return (F.date_diff(F.to_date(ts), F.lit("2024-01-01").cast("date")) * F.lit(86_400_000_000) + _day_us(ts)) / 1e6
+    return (F.date_diff(F.to_date(ts), F.lit("2024-01-01").cast("date")) * F.lit(86_400_000_000) + day_us(ts)) / 1e6
 
 
 def spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
         F.to_date("ts").alias("session"), F.col("event_type").alias("unit_id"),
-        (_day_us("ts") / 1e6).alias("t"),
+        (day_us("ts") / 1e6).alias("t"),
     )
 
 

@@ -3,6 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from motorspark.functions import models as M
+from motorspark.functions import spaces as S
+from motorspark.operators import alignment as L
 from motorspark.operators import models as O
 
 
@@ -33,17 +35,14 @@ def test_lda_kalman_and_ridge():
     assert np.allclose(w[:, 0], [1, 0, 0], atol=1e-6) and np.isclose(b[0], 2)
 
 
-def test_spaces():
+def test_whitening():
     g = rng()
-    x = g.normal(size=(300, 4))
-    y = x[:, :2] @ g.normal(size=(2, 3)) + 0.05 * g.normal(size=(300, 3))
-    assert max(M.rrr_cv(x, y, 3)) > 0.9 and M.cca_cv(x, y, 1)[0] > 0.9
-    assert M.dsa(x, x) < 1e-3
+    y = g.normal(size=(300, 3)) @ g.normal(size=(3, 3))
     w = M.whiten(y)
     assert np.allclose(w.T @ w / len(w), np.eye(3), atol=1e-2)
 
 
-def test_dsa_of_rotated_copies_is_zero():
+def test_field_distance_of_rotated_copies_is_zero():
     g = rng()
     for _ in range(10):
         q = np.linalg.qr(g.normal(size=(4, 4)))[0]
@@ -52,9 +51,9 @@ def test_dsa_of_rotated_copies_is_zero():
         for _ in range(299):
             x.append(a @ x[-1] + 0.3 * g.normal(size=4))
         x = np.array(x)
-        other = np.cumsum(g.normal(size=(300, 4)), 0)
-        assert M.dsa(x, x @ q) < 1e-3 < 0.02 < M.dsa(x, other)
-        assert M.dsa(x, x @ q, starts=0) < 1e-3
+        a, b, c = (S.operator_from_sums(*S.transition_sums(v, 5), 5) for v in (x, x @ q, np.cumsum(g.normal(size=(300, 4)), 0)))
+        assert S.field_distance(a, b) < 1e-3 < 0.02 < S.field_distance(a, c)
+        assert S.field_distance(a, b, starts=0) < 1e-3
 
 
 def test_glm_averages_folds_and_counts_what_it_used():
@@ -76,16 +75,6 @@ def test_glm_averages_folds_and_counts_what_it_used():
     assert np.isnan(M.poisson_pr2(np.full(5, 2.0), np.ones(5)))
 
 
-def test_surrogates_keep_what_they_should():
-    g = rng()
-    x = g.normal(size=(64, 2))
-    for kind in ("time_shuffle", "circular_shift", "trial_shuffle"):
-        s = M.surrogate(x, kind, g, np.repeat(np.arange(8), 8))
-        assert np.allclose(np.sort(s, 0), np.sort(x, 0))
-    s = M.surrogate(x, "phase_randomize", g)
-    assert np.allclose(np.abs(np.fft.rfft(s, axis=0)), np.abs(np.fft.rfft(x, axis=0)))
-
-
 def test_distributed_pca_matches_svd(spark):
     x = rng().normal(size=(200, 3)) @ np.array([[2, 0, 0], [1, 1, 0], [0, 0, 0.1]])
     d = spark.createDataFrame([tuple(map(float, v)) for v in x], "a double, b double, c double")
@@ -163,19 +152,18 @@ def test_glm_blocks_and_nulls(spark):
         assert r["pr2"] == pytest.approx(M.poisson_cv(x, rate[u], 5, O.seed_of(0, u))[0]) and r["pr2"] > 0
 
 
-def test_nulls_and_comparisons_by_key(spark):
+def test_own_headline_on_surrogates(spark):
     g = rng()
     out, states = trials_of(g, 6, lambda y: y @ np.ones((2, 4)) * [1, -1, 0.5, 2] + 0.1 * g.normal(size=(40, 4)))
-    d = spark.createDataFrame(out + [("r", *row[1:]) for row in out], XY)
-    c = {(r["session"], r["method"]): r["value"] for r in O.compare_spaces(d, ("rrr", "cca")).collect()}
-    assert set(c) == {(s, m) for s in "rs" for m in ("rrr", "cca")} and c["s", "cca"] > 0.9
-    n = O.surrogate_null(d, 60, ("circular_shift", "time_shuffle"), ("cca",)).collect()
-    keys = {(r["session"], r["surrogate"], r["draw"]) for r in n}
-    assert len(n) == len(keys) == 240
+    d = spark.createDataFrame(out + [("r", *row[1:]) for row in out], XY).withColumns({"comparison": F.lit("c"), "blocks": F.array(F.lit(2))})
+    headline = lambda x, y: float(np.corrcoef(x.sum(1), y.sum(1))[0, 1])
+    n = L.headline_null(d, headline, 60, ("circular_shift", "time_shuffle"), piece=50).collect()
+    assert len(n) == len({(r["session"], r["surrogate"], r["draw"]) for r in n}) == 2 * (1 + 120)
     x, y = (M.standardise(np.concatenate([states[t][i] for t in range(6)]))[0] for i in (1, 0))
-    one = next(r for r in n if (r["session"], r["surrogate"], r["draw"]) == ("s", "time_shuffle", 41))
-    mixed = M.surrogate(x, "time_shuffle", np.random.default_rng(O.seed_of(0, "time_shuffle", 41, "s")), np.repeat(np.arange(6), 40))
-    assert one["value"] == pytest.approx(M.cca_cv(mixed, y, 1)[0]) and one["value"] < 0.6
+    got = {(r["session"], r["surrogate"], r["draw"]): r["value"] for r in n}
+    assert got["s", None, None] == pytest.approx(headline(x, y))
+    mixed = S.surrogate(y, "circular_shift", np.random.default_rng(O.seed_of(0, "circular_shift", 41, "s", "c")), np.repeat(np.arange(6), 40))
+    assert got["s", "circular_shift", 41] == pytest.approx(headline(x, mixed))
 
 
 def test_lag_sweep_finds_the_lag(spark):

@@ -37,18 +37,17 @@ def test_every_order_has_its_calibration(spark):
 
 def test_fits_take_every_bin_fold_and_draw(spark, monkeypatch):
     q, given = registry.queries(), {}
-    for name in ("lda_through_time", "poisson_glm_cv", "kalman_decode_cv", "wiener_decode_cv", "surrogate_null"):
+    for name in ("lda_through_time", "poisson_glm_cv", "kalman_decode_cv", "wiener_decode_cv"):
         monkeypatch.setattr(O, name, lambda rows, *a, _n=name, **k: given.__setitem__(_n, (rows, a, k)))
         q[name](spark, D)
     bins = {r["bin"] for r in given["lda_through_time"][0].select("bin").distinct().collect()}
     assert bins == set(range(max(bins) + 1)) and len(bins) > 6
     assert all("folds" not in k or k["folds"] == 5 for _, _, k in given.values())
-    assert given["surrogate_null"][1] == (200,) and not given["surrogate_null"][2]
 
 
-def test_surrogates_of_all_blocks(spark):
-    r = random.Random(1)
-    rows = [("s", t, b, [r.random() for _ in range(3)], [r.random(), r.random()]) for t in range(4) for b in range(20)]
-    d = spark.createDataFrame(rows, "session string, trial long, bin long, x array<double>, y array<double>")
-    got = O.surrogate_null(d, 30, ("time_shuffle", "phase_randomize"), ("cca",)).collect()
-    assert sorted((g["surrogate"], g["draw"]) for g in got) == [(s, i) for s in ("phase_randomize", "time_shuffle") for i in range(30)]
+
+def test_nulls_have_every_draw_of_every_surrogate_and_method(spark):
+    n = registry.queries()["surrogate_null"](spark, D)
+    counts = {(r["surrogate"], r["method"], r["direction"]): (r["n"], r["draws"]) for r in n.groupBy("surrogate", "method", "direction").agg(F.count_distinct("session").alias("n"), F.count_distinct("draw").alias("draws")).collect()}
+    sessions = n.select("session").distinct().count()
+    assert len(counts) == 4 * 5 and set(counts.values()) == {(sessions, 200)}
