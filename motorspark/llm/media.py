@@ -27,6 +27,8 @@ from motorspark.llm._io import documents, with_columns
 
 FRAME, SIDE, GOP, TIMESCALE, CODEC = 64, 8, 16, 25, b"md8g"
 #: Boxes that hold boxes only (ISO/IEC 14496-12).
+#: Boxes that hold boxes, and how many may be open at once.
+DEEPEST = 32
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"dinf", b"stbl", b"edts", b"udta", b"mvex"}
 MATRIX = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
@@ -90,10 +92,13 @@ def store(payload: bytes) -> bytes:
     return b"".join((ftyp, moov(base, wide), mdat_head, coded.tobytes()))
 
 
-def boxes(data: bytes, start: int = 0, end: int | None = None, path: str = "") -> Iterator[tuple[str, int, int]]:
-    """(path, start, end) of the body of every box, parents first; broken sizes raise ValueError."""
-    end = len(data) if end is None else end
-    while start < end:
+def boxes(data: bytes) -> Iterator[tuple[str, int, int]]:
+    """(path, start, end) of the body of every box, parents first; broken sizes and boxes nested deeper than DEEPEST raise ValueError."""
+    open_ = [(0, len(data), "")]  # what is left of the boxes that are open
+    while open_:
+        start, end, path = open_.pop()
+        if start == end:
+            continue
         if end - start < 8:
             raise ValueError("a box is cut short")
         length, kind = struct.unpack_from(">I4s", data, start)
@@ -108,9 +113,11 @@ def boxes(data: bytes, start: int = 0, end: int | None = None, path: str = "") -
             raise ValueError("a box reaches past its parent")
         here = f"{path}/{kind.decode('latin-1')}"
         yield here, start + head, start + length
+        open_.append((start + length, end, path))
         if kind in NESTED:
-            yield from boxes(data, start + head, start + length, here)
-        start += length
+            if len(open_) >= DEEPEST:
+                raise ValueError("boxes are nested too deep")
+            open_.append((start + head, start + length, here))
 
 
 def _numbers(data: bytes, start: int, end: int, kind: str, width: int = 1) -> np.ndarray:
@@ -166,29 +173,37 @@ def tracks(data: bytes) -> list[dict]:
                 t["sizes"] = _small_sizes(data, a, b)
     for t in found:
         sizes, chunks, runs = t.get("sizes", np.zeros(0, np.int64)), t.get("chunks", np.zeros(0, np.int64)), t.get("runs", np.zeros((0, 3), np.int64))
+        per = np.zeros(0, np.int64)
         if len(chunks) and len(runs):
-            per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0] - 1, len(chunks))))
-        else:
-            per = np.zeros(0, np.int64)
+            lengths = np.diff(np.append(runs[:, 0] - 1, len(chunks)))
+            if runs[0, 0] != 1 or (lengths <= 0).any():
+                raise ValueError("the runs of chunks aren't ascending")
+            per = np.repeat(runs[:, 1], lengths)
         if per.sum() != len(sizes):
             raise ValueError("the sample tables disagree")
         starts = np.cumsum(sizes) - sizes
-        first = np.cumsum(per) - per
+        first = np.minimum(np.cumsum(per) - per, max(len(sizes) - 1, 0))
         t["sizes"] = sizes
-        t["offsets"] = starts + np.repeat(chunks - (starts[first] if len(first) else 0), per)
+        t["offsets"] = starts + np.repeat(chunks - (starts[first] if len(sizes) else 0), per)
+        if len(sizes) and (t["offsets"].min() < 0 or (t["offsets"] > len(data) - sizes).any()):
+            raise ValueError("a sample lies outside the file")
         t["keys"] = t.get("keys", np.arange(len(sizes)))
-        if len(t["keys"]) and t["keys"].max() >= len(sizes):
-            raise ValueError("a keyframe is no sample")
+        if len(t["keys"]) and (t["keys"][0] < 0 or t["keys"][-1] >= len(sizes) or (np.diff(t["keys"]) <= 0).any()):
+            raise ValueError("keyframes aren't ascending samples")
     return found
 
 
 def keyframe_ranges(track: dict) -> np.ndarray:
-    """(offset, length) of the bytes from each keyframe up to the next, where they lie together."""
+    """(offset, length) of the bytes from each keyframe up to the next; one for each run of samples that lie together."""
     keys, offsets, sizes = track["keys"], track["offsets"], track["sizes"]
     if not len(keys):
         return np.zeros((0, 2), np.int64)
-    ends = np.append(keys[1:], len(sizes)) - 1
-    return np.stack([offsets[keys], offsets[ends] + sizes[ends] - offsets[keys]], 1)
+    begins = np.concatenate(([True], offsets[1:] != offsets[:-1] + sizes[:-1]))
+    begins[keys] = True
+    # Samples before the first keyframe belong to none.
+    at = np.flatnonzero(begins & (np.arange(len(sizes)) >= keys[0]))
+    last = np.append(at[1:], len(sizes)) - 1
+    return np.stack([offsets[at], offsets[last] + sizes[last] - offsets[at]], 1)
 
 
 def payload(data: bytes, spans: np.ndarray) -> bytes:
@@ -217,7 +232,7 @@ def media_row(data: bytes | None) -> tuple:
         seconds = t["duration"] / t["timescale"] if t.get("timescale") else None
         keyframes = [{"offset": int(a), "length": int(n)} for a, n in spans]
         return t.get("codec"), t.get("handler"), len(found), seconds, len(t["offsets"]), len(t["keys"]), keyframes, None
-    except (ValueError, IndexError, struct.error) as e:
+    except (ValueError, IndexError, OverflowError, struct.error) as e:
         return None, None, None, None, None, None, None, str(e)
 
 

@@ -37,14 +37,15 @@ def test_several_tracks_uneven_chunks_and_wide_offsets():
     sizes = [10, 20, 30, 40, 50, 60]
     # Chunks of 1, 1, 3 and 1 samples.
     video = trak(b"vide", b"avc1", sizes, [1000, 2000, 3000, 4000], [(1, 1, 1), (3, 3, 1), (4, 1, 1)], [1, 3], True, compact=True)
-    data = box(b"ftyp", b"isom") + box(b"free", b"junk") + box(b"moov", sound, video)
+    data = box(b"ftyp", b"isom") + box(b"free", b"junk") + box(b"moov", sound, video) + box(b"mdat", bytes(4000))
     got = media.media_row(data)
     assert got[:3] == ("avc1", "vide", 2) and got[3] == 0.6 and got[4:6] == (6, 2) and got[7] is None
     track = media.tracks(data)[1]
     assert track["offsets"].tolist() == [1000, 2000, 3000, 3030, 3070, 4000] and track["sizes"].tolist() == sizes
-    assert got[6] == [{"offset": 1000, "length": 1020}, {"offset": 3000, "length": 1060}]
+    # Between the chunks lie bytes of other tracks, so each run of samples is a range.
+    assert got[6] == [{"offset": a, "length": n} for a, n in ((1000, 10), (2000, 20), (3000, 120), (4000, 60))]
     # Without a table of keyframes every sample is one.
-    assert media.media_row(box(b"moov", sound))[4:6] == (4, 4)
+    assert media.media_row(box(b"moov", sound) + box(b"mdat", bytes(300)))[4:6] == (4, 4)
 
 
 def test_broken_containers():
@@ -56,6 +57,24 @@ def test_broken_containers():
         media.media_row(good[:cut] + b"\xff" + good[cut + 1 :])
 
 
+def test_containers_that_lie():
+    def made(sizes=(10, 20), chunks=(600,), runs=((1, 2, 1),), keys=(1,)):
+        return media.media_row(box(b"moov", trak(b"vide", b"avc1", list(sizes), list(chunks), list(runs), list(keys), True)) + box(b"mdat", bytes(2000)))
+
+    assert made()[7] is None and made()[6] == [{"offset": 600, "length": 30}]
+    assert made(keys=(2,))[6] == [{"offset": 610, "length": 20}]
+    for bad in ({"keys": (0,)}, {"keys": (2, 1)}, {"keys": (1, 1)}, {"keys": (3,)}):
+        assert made(**bad)[7] == "keyframes aren't ascending samples"
+    for bad in ({"chunks": (2**31 - 1,)}, {"chunks": (2**63 + 5,)}, {"chunks": (2600,)}, {"sizes": (10, 2**32 - 1)}):
+        assert made(**bad)[7] == "a sample lies outside the file"
+    for bad in (((2, 2, 1),), ((1, 1, 1), (1, 1, 1)), ((1, 1, 1), (3, 1, 1))):
+        assert made(runs=bad)[7] == "the runs of chunks aren't ascending"
+    nested = b""
+    for _ in range(3000):
+        nested = box(b"moov", nested)
+    assert media.media_row(nested)[7] == "boxes are nested too deep"
+
+
 def test_columns_keep_the_others(spark):
     data = bytearray(media.store(media.padded("abc")[1]))
     df = spark.createDataFrame([(1, data, "mine", "gone"), (2, None, "mine", "gone")], "k long, f binary, n_bytes string, codec string")
