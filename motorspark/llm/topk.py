@@ -18,10 +18,7 @@ triangle inequality can't rule out.
 
 from __future__ import annotations
 
-import decimal
 import heapq
-import math
-import operator
 import pickle
 
 import numpy as np
@@ -43,6 +40,10 @@ LIMIT = float(1 << 20)
 SLACK = 1e-6
 #: Up to this squared norm, inner products are exact in doubles.
 EXACT = 1 << 52
+#: Bits of a limb, and columns whose products of limbs are summed in doubles: 2^40 times 2^12 is exact.
+LIMB_BITS, LIMB_COLUMNS = 20, 4096
+#: Queries, and vectors, in a block of the large ones' way.
+LARGE_BLOCK = 128
 
 
 def augment(x: np.ndarray, most: int) -> np.ndarray:
@@ -163,39 +164,69 @@ def _finite(vectors: DataFrame) -> DataFrame:
     return rows.withColumn("large", F.exists("x", lambda e: F.abs(e) >= LIMIT) | (square >= LIMIT * LIMIT))
 
 
+def _limbs(x: np.ndarray) -> list[np.ndarray]:
+    """Whole numbers in doubles as sums of limbs times 2^LIMB_BITS^k, the lowest first; each below 2^LIMB_BITS."""
+    if not np.isfinite(x).all():
+        raise ValueError("a component times the scale is beyond a double")
+    top = int(np.frexp(np.abs(x).max(initial=1.0))[1])
+    out = []
+    for k in reversed(range(-(-top // LIMB_BITS))):
+        limb = np.trunc(np.ldexp(x, -LIMB_BITS * k))
+        x = x - np.ldexp(limb, LIMB_BITS * k)
+        out.append(limb)
+    return out[::-1]
+
+
+def exact_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All inner products of rows of whole numbers, as Python's integers: products of limbs are exact in doubles."""
+    xs, ys = _limbs(x), _limbs(y)
+    by_place = [np.zeros((len(x), len(y)), np.int64) for _ in range(len(xs) + len(ys) - 1)]
+    for i, a in enumerate(xs):
+        for j, b in enumerate(ys):
+            for at in range(0, x.shape[1], LIMB_COLUMNS):
+                by_place[i + j] += (a[:, at : at + LIMB_COLUMNS] @ b[:, at : at + LIMB_COLUMNS].T).astype(np.int64)
+    out = np.zeros((len(x), len(y)), object)
+    for k, m in enumerate(by_place):
+        out += m.astype(object) * (1 << LIMB_BITS * k)
+    return out
+
+
 def _with_large(rows: DataFrame, k: int, every: int, scale: float) -> DataFrame:
-    """query_id, mark, vec_id, score (decimal) of the pairs that have a large vector: of each query the k best among them.
+    """query_id, mark, vec_id, score of the pairs that have a large vector: of each query the k best of each block.
 
-    Products are sums of Python's integers. Large vectors come in blocks, each
-    of which is read against all queries; large queries against all vectors.
+    Queries and vectors are in blocks of LARGE_BLOCK, and every pair of blocks is a
+    row of its own, dealt by both block numbers.
     """
     distinct = written(rows.dropDuplicates(["x", "vec_id"]).withColumns({"n": F.size("x"), "mark": F.xxhash64("x")}), "topk-large-rows")
     asked = distinct.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "mark", F.col("x").alias("q"), F.col("large").alias("_ql"), "n")
-    block = lambda df, *by: df.withColumn("_g", F.pmod(F.xxhash64(*by), F.lit(max(1, -(-df.count() // GROUP)))).cast("int"))
     large, queries = distinct.where("large"), asked.where("_ql")
     # Every query with the large vectors, and every large query with the others.
     sides = ((asked, large), (queries, distinct.where("NOT large")))
-    schema = "query_id long, mark long, vec_id long, score decimal(38,0)"
+    schema = "query_id long, mark long, vec_id long, score long"
 
     def products(batches):
-        whole = lambda x: [math.floor(e * scale) for e in x]
         for batch in batches:
             out: list[dict] = []
             for qs, vs in zip(batch.column("qs").to_pylist(), batch.column("vs").to_pylist(), strict=True):
-                entries = [(v["vec_id"], whole(v["x"])) for v in vs]
-                for q in qs:
-                    own = whole(q["q"])
-                    scored = ((-sum(map(operator.mul, own, v)), i) for i, v in entries if i != q["query_id"])
-                    for s, i in heapq.nsmallest(k, scored):
-                        out.append({"query_id": q["query_id"], "mark": q["mark"], "vec_id": i, "score": decimal.Decimal(-s)})
-            kind = pa.schema([("query_id", pa.int64()), ("mark", pa.int64()), ("vec_id", pa.int64()), ("score", pa.decimal128(38, 0))])
-            yield pa.RecordBatch.from_pylist(out, schema=kind)
+                width = len(vs[0]["x"])
+                x, y = (np.floor(np.array([r[c] for r in rows_], np.float64).reshape(len(rows_), width) * scale) for rows_, c in ((qs, "q"), (vs, "x")))
+                ids = [v["vec_id"] for v in vs]
+                for q, scores in zip(qs, exact_products(x, y), strict=True):
+                    best = heapq.nsmallest(k, ((-s, i) for s, i in zip(scores, ids, strict=True) if i != q["query_id"]))
+                    for s, i in best:
+                        if not -(1 << 63) <= -s < 1 << 63:
+                            raise ValueError(f"the score of vectors {q['query_id']} and {i} is beyond a long")
+                        out.append({"query_id": q["query_id"], "mark": q["mark"], "vec_id": i, "score": -s})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([(c, pa.int64()) for c in ("query_id", "mark", "vec_id", "score")]))
 
     found = None
     for left, right in sides:
-        a = block(left, "query_id", "mark").groupBy("n", "_g").agg(F.collect_list(F.struct("query_id", "mark", "q")).alias("qs")).select("n", "qs")
-        b = block(right, "vec_id", "mark").groupBy("n", "_g").agg(F.collect_list(F.struct("vec_id", "x")).alias("vs")).select("n", "vs")
-        part = a.join(b, "n").select("qs", "vs").mapInArrow(products, schema)
+        many, others = (max(1, -(-side.count() // LARGE_BLOCK)) for side in (left, right))
+        deal = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+        copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        a = left.groupBy("n", deal(many, "query_id", "mark").alias("_g")).agg(F.collect_list(F.struct("query_id", "mark", "q")).alias("qs")).withColumn("_h", copies(others))
+        b = right.groupBy("n", deal(others, "vec_id", "mark").alias("_h")).agg(F.collect_list(F.struct("vec_id", "x")).alias("vs")).withColumn("_g", copies(many))
+        part = a.join(b, ["n", "_g", "_h"]).select("qs", "vs").mapInArrow(products, schema)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -206,7 +237,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
     Vectors that are null, or hold a null or a number that isn't finite, take
     no part, nor do rows without vec_id. Those with a norm of 2^20 or more
     are compared in integers of any length; a score that no long holds is an
-    error, as a cast in SQL is. Vectors of one length are compared with each
+    error that names the vectors, as a cast in SQL is. Vectors of one length are compared with each
     other only; beyond the LENGTHS most frequent lengths, without trees.
     Repeated rows count once; a vec_id with several vectors is a query for
     each, and all rows of its id are its own. Other columns are not read. An
