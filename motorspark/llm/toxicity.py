@@ -39,6 +39,8 @@ REMEMBERED = 120_000
 #: Longest piece of a run of word characters that is one word, and the characters that two successive pieces share (as many as the longest n-gram has bytes).
 PIECE, SHARED = 200, 7
 BATCH = 2048
+#: Windows, and words, that are scored at once; always so many, so that a text's score doesn't depend on its neighbours.
+FIXED = 1024
 
 
 def words_of(text: str) -> list[str]:
@@ -110,10 +112,14 @@ class Network:
         }
         self.calibration = np.array([1.0, 0.0, 0.0, 0.0])
 
+    def read(self, f: Features) -> np.ndarray:
+        """What the network reads for each word."""
+        means = np.add.reduceat(self.chars[f.grams], f.starts) / f.counts[:, None].astype(np.float32)
+        return np.concatenate((self.words[f.words], means), 1)
+
     def inputs(self, f: Features) -> tuple[np.ndarray, np.ndarray]:
         """What the network reads for each word, and the projection to the gates."""
-        means = np.add.reduceat(self.chars[f.grams], f.starts) / f.counts[:, None].astype(np.float32)
-        x = np.concatenate((self.words[f.words], means), 1)
+        x = self.read(f)
         return x, x @ self.dense["wx"] + self.dense["bx"]
 
     def forward(self, projected: np.ndarray, index: np.ndarray, lengths: np.ndarray, keep: bool = False):
@@ -135,7 +141,7 @@ class Network:
             z, r = zr[:, :h2], zr[:, h2:]
             n = np.tanh(x[k, :, 2 * h2 :] + r * g[:, 2 * h2 :])
             new = n + z * (h - n)
-            states[k + 1] = new if full else h + live[k] * (new - h)
+            states[k + 1] = new if full else np.where(live[k] > 0, new, h)
             if keep:
                 saved.append((z, r, n, g[:, 2 * h2 :]))
         both = np.concatenate((states[1:, :, :HIDDEN], states[:0:-1, :, HIDDEN:]), 2)
@@ -227,6 +233,17 @@ def _logits(net: Network, projected: np.ndarray, index: np.ndarray, lengths: np.
     return np.concatenate([net.forward(projected, index[i : i + BATCH], lengths[i : i + BATCH]) for i in range(0, len(index), BATCH)])
 
 
+def _fixed(rows: np.ndarray, n: int) -> np.ndarray:
+    """``rows`` and copies of the last one, up to a multiple of ``n``."""
+    return np.concatenate((rows, np.repeat(rows[-1:], -len(rows) % n, 0)))
+
+
+def _same_logits(net: Network, projected: np.ndarray, index: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The logits of windows in blocks of FIXED: sums of products round alike only in matrices of one shape."""
+    index, n, lengths = _fixed(index, FIXED), len(index), _fixed(lengths, FIXED)
+    return np.concatenate([net.forward(projected, index[i : i + FIXED], lengths[i : i + FIXED]) for i in range(0, len(index), FIXED)])[:n]
+
+
 def summary(logits: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Largest logit, mean logit and log of the number of windows of each document."""
     counts = np.diff(np.append(starts, len(logits)))
@@ -297,6 +314,11 @@ class Scorer:
         self.net, self.known = net, {}
         self.projected = np.zeros((0, 6 * HIDDEN), np.float32)
 
+    def _projection(self, f: Features) -> np.ndarray:
+        x = self.net.read(f)
+        blocks = _fixed(x, FIXED)
+        return np.concatenate([blocks[i : i + FIXED] @ self.net.dense["wx"] + self.net.dense["bx"] for i in range(0, len(blocks), FIXED)])[: len(x)]
+
     def scores(self, texts: list[str]) -> list[float]:
         if len(self.known) > REMEMBERED:
             self.known, self.projected = {}, self.projected[:0]
@@ -305,7 +327,7 @@ class Scorer:
             seen.update(ws)
         if new := list(seen.difference(known)):
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self.projected = np.concatenate((self.projected, self.net.inputs(Features(new))[1]))
+            self.projected = np.concatenate((self.projected, self._projection(Features(new))))
         docs = [np.fromiter(map(known.__getitem__, ws), np.int64, len(ws)) for ws in found]
         cut = [_index(d, windows(len(d))) for d in docs if len(d)]
         if not cut:
@@ -314,7 +336,7 @@ class Scorer:
         # Windows of one length run together, so that the others need no mask.
         order = np.argsort(-lengths, kind="stable")
         logits = np.empty(len(index), np.float32)
-        logits[order] = _logits(self.net, self.projected, index[order], lengths[order])
+        logits[order] = _same_logits(self.net, self.projected, index[order], lengths[order])
         x = summary(logits, np.cumsum([0, *(len(c[0]) for c in cut)])[:-1])
         c = self.net.calibration
         got = iter((1 / (1 + np.exp(-np.clip(x @ c[:3] + c[3], -30, 30)))).tolist())
