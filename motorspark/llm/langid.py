@@ -12,6 +12,7 @@ above the level calibrated on held-back documents) is rejected.
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 from dataclasses import dataclass
 
@@ -20,20 +21,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorspark.llm._io import documents, kept, with_columns
+from motorspark.llm._io import documents, kept, with_columns, written
 
 ORDER = 4
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Number characters that count as word characters without being letters or digits (fractions, Roman numerals, superscripts).
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{re.escape(NUMBERS)}]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Languages (the most frequent ones), distinct texts of each, and characters of each text that the models are fitted on, at most.
-MOST_LANGUAGES, SAMPLE_DOCS, SAMPLE_CHARS = 200, 400, 2500
+#: Distinct texts of each language, texts in all (at least one of each language), and characters of each text that the models are fitted on, at most.
+SAMPLE_DOCS, SAMPLE_TOTAL, SAMPLE_CHARS = 400, 80_000, 2500
 #: A longer text gives the sample this many slices of equal length, spread evenly from its start to its end.
 SLICES = 5
 #: Places that are scored at once. Every place sees the characters before it wherever the cut is.
 PLACES = 1 << 18
-#: A document of fewer letters is never rejected for its cross-entropy. A language with fewer held-back documents than CALIBRATED takes the limit of all.
+#: Powers of two up to which a limit is calibrated: for texts of 1, 2, 4, ... letters or more.
+LEVELS = 12
+#: A language with fewer held-back pieces of a length than CALIBRATED takes the limit of all languages.
 CALIBRATED = 5
-REJECT_FROM, REJECT_QUANTILE, REJECT_MARGIN = 100, 0.999, 1.2
+REJECT_QUANTILE, REJECT_MARGIN = 0.999, 1.2
 #: Scores of words that a worker remembers.
 REMEMBERED = 200_000
 
@@ -174,20 +179,39 @@ def fit(texts: dict[str, list[str]]) -> Model:
             # Of order 1 the context is empty: what isn't seen has the empty context's weight.
             floor = floor + context_logs[0]
             lower = _lookup(grams, logs)
-    model = Model(languages, tables, weights, floor.astype(np.float64), np.full(len(languages), np.inf))
-    scores = {lang: [] for lang in languages}
-    for lang in languages:
-        for h, n in (entropies(model, [t]) for t in back[lang]):
-            if n[0] >= REJECT_FROM:
-                scores[lang].append(h[0].min())
-    pooled = [h for lang in languages for h in scores[lang]]
-    for j, lang in enumerate(languages):
-        found = scores[lang] if len(scores[lang]) >= CALIBRATED else pooled
-        if len(found) >= CALIBRATED:
-            model.limit[j] = np.quantile(found, REJECT_QUANTILE) + REJECT_MARGIN
+    model = Model(languages, tables, weights, floor.astype(np.float64), np.full((len(languages), LEVELS), np.inf))
+    # Short texts vary more, so that held-back texts are cut into pieces of every length, and each length has its limit.
+    found = [pieces_entropies(model, back[lang], j) for j, lang in enumerate(languages)]
+    for level in range(LEVELS):
+        pooled = np.concatenate([f[level] for f in found])
+        for j, own in enumerate(f[level] for f in found):
+            use = own if len(own) >= CALIBRATED else pooled
+            if len(use) >= CALIBRATED:
+                model.limit[j, level] = np.quantile(use, REJECT_QUANTILE) + REJECT_MARGIN
+            elif level:
+                model.limit[j, level] = model.limit[j, level - 1]
+    # More letters never widen a limit.
+    model.limit = np.minimum.accumulate(model.limit, 1)
     return model
 
 
+def pieces_entropies(model: Model, texts: list[str], language: int) -> list[np.ndarray]:
+    """For each level the cross-entropies, in one language, of the texts' runs of words that have just 2^level letters or more."""
+    out: list[list[float]] = [[] for _ in range(LEVELS)]
+    for text in texts:
+        words = LETTERS.findall(text.lower())
+        if not words:
+            continue
+        letters = np.cumsum([0, *map(len, words)])
+        total = np.concatenate(([0.0], np.cumsum(model.word_scores(words)[:, language])))
+        for level in range(LEVELS):
+            a = 0
+            while (b := int(np.searchsorted(letters, letters[a] + (1 << level)))) <= len(words):
+                out[level].append((total[b] - total[a]) / (letters[b] - letters[a] + b - a))
+                a = b
+    return [np.array(x) for x in out]
+
+
 def _lookup(grams: np.ndarray, logs: np.ndarray):
     def find(h: np.ndarray, j: int) -> np.ndarray:
         return logs[np.minimum(np.searchsorted(grams, h), len(grams) - 1), j].astype(np.float64)
@@ -240,26 +264,26 @@ def train(docs: DataFrame) -> Model | None:
     """Fit on ``docs`` (doc_id, text, lang): of every language with letters a bounded sample.
 
     Distinct texts are taken in the order of their hash, up to SAMPLE_DOCS of
-    each of the MOST_LANGUAGES most frequent languages, and up to SAMPLE_CHARS
-    characters of each; so at most MOST_LANGUAGES x SAMPLE_DOCS x SAMPLE_CHARS
-    characters (200 MB) reach the driver, whatever the texts' lengths. Null
+    each language (fewer where there are so many languages that the sample
+    would hold over SAMPLE_TOTAL texts), and up to SAMPLE_CHARS characters of
+    each; so at most SAMPLE_TOTAL x SAMPLE_CHARS characters (200 MB), or one
+    text of each language, reach the driver, whatever the texts' lengths. Null
     languages and texts are left out; without any, there is no model (None).
     """
     from pyspark.sql import Window
 
     usable = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text", F.lit(7)).alias("h")).where(F.length("text") > 0)
-    counted = usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    sizes = {r["lang"]: r["n"] for r in counted.collect()}
-    if not sizes:
+    counted = written(usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), "langid-languages")
+    languages = counted.count()
+    if not languages:
         return None
+    most = max(1, min(SAMPLE_DOCS, SAMPLE_TOTAL // languages))
     # A share by hash first, so that no window holds a language's every row; copies are one row from the map side on.
-    share = F.lit(False)
-    for lang, n in sizes.items():
-        share = share | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1_000_000)) < min(1_000_000, 4_000_000 * SAMPLE_DOCS // max(n, 1) + 1)))
-    some = usable.where(share).select("lang", "h", _slices(F.col("text")).alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    share = F.pmod("h", F.lit(1_000_000)) < F.lit(4_000_000 * most) / F.col("n") + 1
+    some = usable.join(counted, "lang").where(share).select("lang", "h", _slices(F.col("text")).alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     got: dict[str, list[str]] = {}
-    for r in some.withColumn("r", rank).where(F.col("r") <= SAMPLE_DOCS).select("lang", "text").toLocalIterator():
+    for r in some.withColumn("r", rank).where(F.col("r") <= most).select("lang", "text").toLocalIterator():
         got.setdefault(r["lang"], []).append(r["text"])
     return fit({lang: t for lang, t in got.items() if any(LETTERS.search(x) for x in t)} or {"und": ["a"]})
 
@@ -294,7 +318,7 @@ def detect(docs: DataFrame, model: Model | None) -> DataFrame:
                 odds = np.exp(-(row - row[best]) * min(float(n), 20.0))
                 pred.append(m.languages[best])
                 score.append(float(1 / odds.sum()))
-                rejected.append(bool(n >= REJECT_FROM and row[best] > m.limit[best]))
+                rejected.append(bool(row[best] > m.limit[best, min(int(n).bit_length(), LEVELS) - 1]))
         return [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
 
     return with_columns(docs, "lang_pred string, score double, rejected boolean", add)

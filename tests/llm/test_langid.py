@@ -104,3 +104,29 @@ def test_query_on_odd_rows(spark, tmp_path):
     assert by[500]["lang_pred"] == by[501]["lang_pred"] == "und" and by[502]["lang_pred"] == "bb" and not by[None]["held_out"]
     df.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
     assert langid.op9_langid(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_numbers_are_no_letters_and_short_junk_is_rejected(spark):
+    r = random.Random(6)
+    kinds = {"aa": ["ba", "ko", "ti", "na", "re"], "bb": ["sch", "ung", "ei", "de", "ver"]}
+    word = lambda parts: "".join(r.choice(parts) for _ in range(r.randint(1, 3)))
+    make = lambda parts, n: " ".join(word(parts) for _ in range(n))
+    model = langid.fit({k: [make(p, 100) for _ in range(60)] for k, p in kinds.items()})
+    assert (np.diff(model.limit, axis=1) <= 0).all() and np.isfinite(model.limit).all()
+    texts = ["½ ²", "Ⅷ", "12 ³", "x½y"]
+    real = [make(p, n) for p in kinds.values() for n in (1, 2, 5, 10, 20) for _ in range(40)]
+    junk = [" ".join("".join(r.choice("qxzjwvkfpmyhgu") for _ in range(r.randint(3, 8))) for _ in range(n)) for n in (5, 8, 12, 16) for _ in range(50)]
+    rows = [(i, t) for i, t in enumerate(texts + real + junk)]
+    got = [g for g in sorted(langid.detect(spark.createDataFrame(rows, "doc_id long, text string"), model).collect(), key=lambda g: g["doc_id"])]
+    assert [g["lang_pred"] for g in got[:3]] == ["und"] * 3 and got[3]["lang_pred"] != "und" and all(g["rejected"] for g in got[:3])
+    good, bad = got[4 : 4 + len(real)], got[4 + len(real) :]
+    assert not any(g["rejected"] for g in good) and np.mean([g["rejected"] for g in bad]) > 0.97
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_TOTAL", 10)
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda texts: seen.update(texts))
+    rows = [(i, f"text of language {i % 300} number {i}", f"l{i % 300}") for i in range(900)]
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(seen) == 300 and all(len(t) == 1 for t in seen.values())
