@@ -44,9 +44,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_no_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that some language's model accepts.
 
-    Null and empty texts, and texts without a letter, go. Texts of fewer than
-    100 letters are accepted. Repeated rows are judged each; equal texts
-    alike. An empty table stays empty.
+    Null and empty texts, and texts without a letter, go; a short text needs
+    to be stranger than a long one to go. Repeated rows are judged each; equal
+    texts alike. An empty table stays empty.
     """
     model = langid.train(docs.where(langid.fold(5) != 0))
     return _carried(docs, lambda d: langid.detect(d, model).where("NOT rejected"))
