@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from motorspark.llm._io import documents, kept, with_columns, written
 
 ORDER = 4
-#: Number characters that count as word characters without being letters or digits (fractions, Roman numerals, superscripts).
-NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{re.escape(NUMBERS)}]+")
+#: Runs of word characters that are neither digits nor number characters (fractions, Roman numerals, superscripts) are words.
+LETTERS = re.compile(r"[^\W\d_]+")
+NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "]")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct texts of each language, texts in all (at least one of each language), and characters of each text that the models are fitted on, at most.
 SAMPLE_DOCS, SAMPLE_TOTAL, SAMPLE_CHARS = 400, 80_000, 2500
@@ -43,6 +43,12 @@ REJECT_QUANTILE, REJECT_MARGIN = 0.999, 1.2
 REMEMBERED = 200_000
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case: its runs of letters."""
+    text = text.lower()
+    return LETTERS.findall(text if text.isascii() else NUMBERS.sub(" ", text))
+
+
 def _flat(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Characters of all words, each word between ORDER - 1 starts and one end; and the word of each."""
     pad, end = "\x02" * (ORDER - 1), "\x03"
@@ -122,7 +128,7 @@ def fit(texts: dict[str, list[str]]) -> Model:
     for lang in languages:
         keep = [t for i, t in enumerate(texts[lang]) if i % 10 or len(texts[lang]) < 20]
         back[lang] = texts[lang][::10]
-        words = [w for t in keep for w in LETTERS.findall(t.lower())]
+        words = [w for t in keep for w in words_of(t)]
         codes, _ = _flat(words or ["a"])
         streams.append(codes)
     alphabet = len(np.unique(np.concatenate(streams))) + 1
@@ -199,7 +205,7 @@ def pieces_entropies(model: Model, texts: list[str], language: int) -> list[np.n
     """For each level the cross-entropies, in one language, of the texts' runs of words that have just 2^level letters or more."""
     out: list[list[float]] = [[] for _ in range(LEVELS)]
     for text in texts:
-        words = LETTERS.findall(text.lower())
+        words = words_of(text)
         if not words:
             continue
         letters = np.cumsum([0, *map(len, words)])
@@ -237,7 +243,7 @@ class Memory:
 def entropies(model: Model, texts: list[str], memory: Memory | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Cross-entropy per character in each language, and the number of letters, of each text."""
     memory = memory or Memory(len(model.languages))
-    found = [LETTERS.findall(t.lower()) for t in texts]
+    found = [words_of(t) for t in texts]
     seen: set[str] = set()
     for ws in found:
         seen.update(ws)
@@ -285,7 +291,7 @@ def train(docs: DataFrame) -> Model | None:
     got: dict[str, list[str]] = {}
     for r in some.withColumn("r", rank).where(F.col("r") <= most).select("lang", "text").toLocalIterator():
         got.setdefault(r["lang"], []).append(r["text"])
-    return fit({lang: t for lang, t in got.items() if any(LETTERS.search(x) for x in t)} or {"und": ["a"]})
+    return fit({lang: t for lang, t in got.items() if any(words_of(x) for x in t)} or {"und": ["a"]})
 
 
 def detect(docs: DataFrame, model: Model | None) -> DataFrame:
