@@ -12,7 +12,6 @@ above the level calibrated on held-back documents) is rejected.
 from __future__ import annotations
 
 import re
-import sys
 import uuid
 from dataclasses import dataclass
 
@@ -24,9 +23,8 @@ from pyspark.sql import functions as F
 from motorspark.llm._io import documents, kept, with_columns, written
 
 ORDER = 4
-#: Runs of word characters that are neither digits nor number characters (fractions, Roman numerals, superscripts) are words.
+#: Runs of word characters without digits; a fraction, a Roman numeral or a superscript can still be among them.
 LETTERS = re.compile(r"[^\W\d_]+")
-NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "]")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct texts of each language, texts in all (at least one of each language), and characters of each text that the models are fitted on, at most.
 SAMPLE_DOCS, SAMPLE_TOTAL, SAMPLE_CHARS = 400, 80_000, 2500
@@ -45,8 +43,11 @@ REMEMBERED = 200_000
 
 def words_of(text: str) -> list[str]:
     """The words of a text in lower case: its runs of letters."""
-    text = text.lower()
-    return LETTERS.findall(text if text.isascii() else NUMBERS.sub(" ", text))
+    found = LETTERS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    # Number characters end a word.
+    return [w for f in found for w in ("".join(c if c.isalpha() else " " for c in f)).split()]
 
 
 def _flat(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
