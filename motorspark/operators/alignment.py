@@ -27,7 +27,7 @@ from motorspark.functions import spaces as S
 from motorspark.operators import series as W
 from motorspark.operators.models import _keys_ddl, _spread, per_group, seed_of
 from motorspark.operators.predicates import crop_to_period
-from motorspark.sources.scratch import scratch
+from motorspark.sources.scratch import stored
 
 #: The comparisons, their behaviour blocks in order, and the period they are made on.
 COMPARISONS = {
@@ -78,12 +78,6 @@ def comparison_designs(rates: DataFrame, signals: DataFrame, comparisons: dict[s
     return rows.select(*keys, "comparison", trial, F.col("t").alias("bin"), "x", "y", "blocks")
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def numbered(designs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """``designs`` with ``trial_no`` and ``idx``, the places of trial and row in the order of trial and bin, from 0; no task sorts a design."""
     lengths = designs.groupBy(*keys, "trial").agg(F.count(F.lit(1)).alias("_n"))
@@ -222,7 +216,7 @@ def cca_components(packed: DataFrame, sums: DataFrame, keys: Sequence[str] = KEY
         raw = [(by[1 : 1 + width, 1 : 1 + p] @ a, by[1 + width :, 1 + p :] @ b) for a, b, _ in folds]
         return [{"fold": int(f), "k": k, "a": a.tobytes(), "b": b.tobytes(), "held": [_null(v) for v in r], "inside": inside.tolist()} for f, (a, b), (_, _, r) in zip(number, raw, folds, strict=True)]
 
-    fits = _stored(per_group(sums, keys, fit, "fold int, k int, a binary, b binary, held array<double>, inside array<double>"), "cca-folds")
+    fits = stored(per_group(sums, keys, fit, "fold int, k int, a binary, b binary, held array<double>, inside array<double>"), "cca-folds")
     weights = fits.groupBy(*keys).agg(F.collect_list(F.struct("fold", "k", "a", "b")).alias("fits"))
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -352,9 +346,9 @@ def compare_behaviour(
     "all", or names of surrogates. A design of fewer bins than the delays
     need has no dynamics; NaN headlines are null and count in no null.
     """
-    packed = _stored(pieces(designs, keys, folds, seed, whole_trials, piece), "alignment-pieces")
-    sums = _stored(moments(packed, keys), "alignment-moments")
-    fits = _stored(_preparations(sums, keys, alpha, **preparation), "alignment-preparations")
+    packed = stored(pieces(designs, keys, folds, seed, whole_trials, piece), "alignment-pieces")
+    sums = stored(moments(packed, keys), "alignment-moments")
+    fits = stored(_preparations(sums, keys, alpha, **preparation), "alignment-preparations")
     linear = [m for m in methods if m != "dsa"]
 
     def observed(pdf: pd.DataFrame) -> list[dict]:
@@ -365,12 +359,12 @@ def compare_behaviour(
 
     found = per_group(fits, keys, observed, f"{HEADLINE}, rank int")
     if "dsa" in methods:
-        dynamics = _stored(operators(transitions(packed, fits, keys, delays, delay), keys, rank), "alignment-operators")
+        dynamics = stored(operators(transitions(packed, fits, keys, delays, delay), keys, rank), "alignment-operators")
         found = found.unionByName(dynamics.select(*keys, F.lit("dsa").alias("method"), F.lit("both").alias("direction"), F.col("dsa").alias("value"), "rank"))
         fits = fits.join(dynamics.select(*keys, F.col("rank").alias("r"), "a_x"), list(keys), "left")
     else:
         fits = fits.select("*", F.lit(0).alias("r"), F.lit(None).cast("binary").alias("a_x"))
-    found = _stored(found, "alignment-observed")
+    found = stored(found, "alignment-observed")
 
     names = {m: SURROGATES if null == "all" else (DEFAULT_NULL[m],) if null == "auto" else (null,) if isinstance(null, str) else tuple(null) for m in methods}
     by_surrogate = {s: [m for m in methods if s in names[m]] for s in SURROGATES}
@@ -420,7 +414,7 @@ def compare_behaviour(
             out += [{"draw": int(r["lane"]) * DRAWS + i, "method": m, "direction": d, "value": _null(v)} for (m, d), v in values.items()]
         return out
 
-    nulls = _stored(per_group(drawn, [*keys, "surrogate", "lane"], headlines, f"draw int, {HEADLINE}").drop("lane"), "alignment-nulls")
+    nulls = stored(per_group(drawn, [*keys, "surrogate", "lane"], headlines, f"draw int, {HEADLINE}").drop("lane"), "alignment-nulls")
     return effect_sizes(found, nulls, [*keys, "method", "direction"]), nulls
 
 

@@ -208,16 +208,6 @@ def optimal_lag(sweep: DataFrame, keys: Sequence[str] = ("session", "unit_id"),
     return best if least is None else best.where(F.col("best_r2") >= least)
 
 
-def encode_at_mode_lag(design: DataFrame, modes: DataFrame, stored: DataFrame | None = None, keys: Sequence[str] = ("session",), **fit: object) -> DataFrame:
-    """GLM at the session's mode lag in bins (0 without one); sessions already stored are passed over."""
-    todo = design if stored is None else design.join(stored.select(*keys).distinct(), list(keys), "left_anti")
-    f = todo.join(modes.select(*keys, F.col("mode_lag").cast("int").alias("_lag")), list(keys), "left").withColumn("_lag", F.coalesce("_lag", F.lit(0)))
-    w = Window.partitionBy(*keys, "trial").orderBy("t")
-    f = f.withColumns({"_i": F.row_number().over(w)})
-    x = f.select(*keys, "trial", (F.col("_i") - F.col("_lag")).alias("_i"), "x")
-    return poisson_glm_cv(f.drop("x").join(x, [*keys, "trial", "_i"]).drop("_i", "_lag"), keys, **fit)
-
-
 def trial_activity(counts: DataFrame, width: float, sigma_bins: float, drift: DataFrame | None = None, keys: Sequence[str] = ("session", "unit_id")) -> DataFrame:
     """Square root of the causal-smoothed, drift-corrected and clipped rate per trial, unit and bin."""
     r = W.causal_smooth(counts, sigma_bins, [*keys, "trial"]).withColumn("rate", F.col("rate") / width)
@@ -246,6 +236,63 @@ def lda_through_time(activity: DataFrame, keys: Sequence[str] = ("session",), fo
     return per_group(_by_bin(activity, keys), [*keys, "bin"], fit, "accuracy double, shuffled double, n long")
 
 
+def classified(rows: DataFrame, keys: Sequence[str], folds: int = 5, seed: int = 0, percentile: float = 0.99) -> DataFrame:
+    """LDA at every bin of ``rows`` (keys, bin, trial, condition, x), with ``chance``: the percentile of the shuffled accuracies over a key's bins."""
+    from motorspark.functions.stats import chance_level
+
+    def fit(pdf: pd.DataFrame) -> list[dict]:
+        pdf = pdf.sort_values("trial")
+        x, y = _matrix(pdf["x"]), pdf["condition"].to_numpy()
+        if len(np.unique(y)) < 2:
+            return []
+        mixed = np.random.default_rng(seed_of(seed, int(pdf["bin"].iloc[0]))).permutation(y)
+        return [{"accuracy": M.lda_cv(x, y, folds, seed), "shuffled": M.lda_cv(x, mixed, folds, seed), "n": len(y), "units": x.shape[1], "conditions": len(np.unique(y))}]
+
+    found = per_group(rows, [*keys, "bin"], fit, "accuracy double, shuffled double, n long, units int, conditions int")
+    return found.join(chance_level(found, keys, "shuffled", percentile), list(keys)).withColumn("theoretical", 1.0 / F.col("conditions"))
+
+
+def depth_groups(units: DataFrame, top: float = 0.25, bottom: float = 0.25, keys: Sequence[str] = ("session",), depth: str = "depth") -> DataFrame:
+    """keys, unit_id and ``depth_group`` (top, bottom) of the units farthest from the tip and nearest to it; the rest have none."""
+    if not (0 < top <= 1 and 0 < bottom <= 1 and top + bottom <= 1):
+        raise ValueError("the depth groups would share units")
+    f = units.where(F.col(depth).isNotNull())
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(depth).desc(), "unit_id"))
+    f = f.withColumns({"_n": n, "_r": rank})
+    # As many as the rounded share, one at least.
+    first, last = (F.greatest(F.lit(1), F.round(F.col("_n") * share).cast("int")) for share in (top, bottom))
+    group = F.when(F.col("_r") <= first, "top").when(F.col("_r") > F.col("_n") - last, "bottom")
+    return f.select(*keys, "unit_id", group.alias("depth_group")).where("depth_group IS NOT NULL")
+
+
+def classify_pooled(activity: DataFrame, groups: DataFrame | None = None, folds: int = 5, seed: int = 0, percentile: float = 0.99) -> DataFrame:
+    """Condition from activity through time: of each session, and of all sessions' units together (``session`` null), by unit group.
+
+    ``activity`` has session, unit_id, trial, condition, bin, value; ``groups``
+    (session, unit_id, depth_group) splits the units, without it all are
+    "all". Pooled trials are draws: for each condition that every session of
+    the group has, as many as the session with the fewest trials gives, each
+    session's own trials in an order from a hash; a pooled vector has the
+    units of all sessions side by side.
+    """
+    from motorspark.operators.ordering import pseudopopulation
+
+    if groups is None:
+        f = activity.withColumn("depth_group", F.lit("all"))
+    else:
+        f = activity.join(groups.select("session", "unit_id", "depth_group"), ["session", "unit_id"])
+    vector = lambda *order: F.transform(F.array_sort(F.collect_list(F.struct(*order, "value"))), lambda s: s["value"]).alias("x")
+    own = f.groupBy("depth_group", "session", "bin", "trial", "condition").agg(vector(F.col("unit_id").cast("string").alias("u")))
+    alone = classified(own.withColumn("trial", F.col("trial").cast("string")), ["depth_group", "session"], folds, seed, percentile)
+    draws = pseudopopulation(f.select("depth_group", "session", "condition", "trial").distinct(), seed, by=("depth_group",))
+    met = f.join(draws, ["depth_group", "session", "condition", "trial"])
+    pooled = met.groupBy("depth_group", "bin", "condition", "draw").agg(vector("session", F.col("unit_id").cast("string").alias("u")))
+    pooled = pooled.withColumn("trial", F.concat_ws(":", F.col("condition").cast("string"), F.lpad(F.col("draw").cast("string"), 9, "0"))).drop("draw")
+    together = classified(pooled, ["depth_group"], folds, seed, percentile).withColumn("session", F.lit(None).cast(activity.schema["session"].dataType))
+    return alone.unionByName(together)
+
+
 def _trials(pdf: pd.DataFrame, column: str) -> list[np.ndarray]:
     return [_matrix(g.sort_values("bin")[column]) for _, g in pdf.groupby("trial")]
 

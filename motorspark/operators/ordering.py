@@ -94,15 +94,18 @@ def concat_logs(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def pseudopopulation(trials: DataFrame, seed: int = 0, condition: str = "condition", trial: str = "trial") -> DataFrame:
+def pseudopopulation(trials: DataFrame, seed: int = 0, condition: str = "condition", trial: str = "trial", by: Sequence[str] = ()) -> DataFrame:
     """(session, condition, trial, draw): per condition as many draws as the session with the fewest trials has.
 
-    Conditions that a session lacks are left out.
+    Conditions that a session lacks are left out. With ``by``, each group is a
+    population of its own.
     """
-    own = Window.partitionBy("session", condition)
-    f = trials.select("session", condition, trial).distinct()
+    keys = list(by)
+    own = Window.partitionBy(*keys, "session", condition)
+    f = trials.select(*keys, "session", condition, trial).distinct()
     f = f.withColumn("draw", (F.row_number().over(own.orderBy(F.xxhash64(F.lit(seed), "session", condition, trial), trial)) - 1).cast("int"))
-    sizes = f.groupBy("session", condition).agg(F.count(F.lit(1)).alias("_n"))
-    total = sizes.agg(F.count_distinct("session").alias("_s"))
-    least = sizes.groupBy(condition).agg(F.min("_n").alias("_n"), F.count(F.lit(1)).alias("_has")).crossJoin(F.broadcast(total)).where("_has = _s")
-    return f.join(least, condition).where("draw < _n").select("session", condition, trial, "draw")
+    sizes = f.groupBy(*keys, "session", condition).agg(F.count(F.lit(1)).alias("_n"))
+    total = sizes.groupBy(*keys).agg(F.count_distinct("session").alias("_s"))
+    least = sizes.groupBy(*keys, condition).agg(F.min("_n").alias("_n"), F.count(F.lit(1)).alias("_has"))
+    least = (least.join(total, keys) if keys else least.crossJoin(F.broadcast(total))).where("_has = _s")
+    return f.join(least, [*keys, condition]).where("draw < _n").select(*keys, "session", condition, trial, "draw")

@@ -13,6 +13,7 @@ from motorspark.operators import alignment as L
 from motorspark.plans import views as V
 from motorspark.plans.demo import BEFORE, CTE, WIDTH, _counts, _rates
 from motorspark.plans.registry import register
+from motorspark.sources.scratch import stored
 
 DRAWS = 200
 
@@ -36,8 +37,8 @@ def _designs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _moments(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    packed = L._stored(L.pieces(_designs(spark, d)), "alignment-pieces")
-    return packed, L._stored(L.moments(packed), "alignment-moments")
+    packed = stored(L.pieces(_designs(spark, d)), "alignment-pieces")
+    return packed, stored(L.moments(packed), "alignment-moments")
 
 
 @register("comparison_designs")
@@ -84,7 +85,7 @@ def cca_loadings(spark, d):
 @register("dynamics")
 def dynamics(spark, d):
     packed, sums = _moments(spark, d)
-    fits = L._stored(L._preparations(sums, L.KEYS, 1.0), "alignment-preparations")
+    fits = stored(L._preparations(sums, L.KEYS, 1.0), "alignment-preparations")
     return L.operators(L.transitions(packed, fits)).select(*L.KEYS, "rank", "dsa")
 
 

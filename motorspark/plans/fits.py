@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from motorspark.functions import stats as X
 from motorspark.operators import aggregates as A
+from motorspark.operators import encoding as E
 from motorspark.operators import models as M
 from motorspark.operators import ordering as K
 from motorspark.operators import predicates as P
@@ -15,6 +16,8 @@ from motorspark.plans import views as V
 from motorspark.plans.demo import BEFORE, CTE, HALF, SIG, TRIAL_COUNTS, WIDTH, _counts, _events, _rates, r
 from motorspark.plans.registry import register
 from motorspark.sources import tables as S
+from motorspark.sources.results import ResultStore
+from motorspark.sources.scratch import scratch
 
 
 def _activity(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +104,34 @@ def poisson_glm_cv(spark, d):
 def encode_at_mode_lag(spark, d):
     design = _design(spark, d)
     modes = design.select("session").distinct().withColumn("mode_lag", F.day("session") % 3 - 1)
-    return M.encode_at_mode_lag(design, modes)
+    return E.encode_at_lag(design, modes)
+
+
+@register("lag_surrogate")
+def lag_surrogate(spark, d):
+    return E.lag_surrogate(_design(spark, d), range(-5, 6)).withColumns(r("r2"))
+
+
+@register("optimal_lags")
+def optimal_lags(spark, d):
+    """Rates are a few events an hour here, so that no unit is too silent to be searched."""
+    return E.optimal_lags(_design(spark, d), range(-5, 6), min_rate=0.0)
+
+
+@register("run_encoding")
+def run_encoding(spark, d):
+    """Half of the sessions first, then all: what the first run stored is passed over."""
+    design = _design(spark, d)
+    stores = [ResultStore(spark, scratch(spark, name), schema) for name, schema in (("lags", E.LAGS), ("encodings", E.ENCODINGS))]
+    E.run_encoding(design.where(F.day("session") % 2 == 0), range(-2, 3), *stores, min_rate=0.0)
+    return E.run_encoding(design, range(-2, 3), *stores, min_rate=0.0)[1].drop("folds")
+
+
+@register("classify_pooled")
+def classify_pooled(spark, d):
+    a = _activity(spark, d)
+    units = a.select("session", "unit_id").distinct().withColumn("depth", F.length("unit_id").cast("double"))
+    return M.classify_pooled(a, M.depth_groups(units, 0.4, 0.4))
 
 
 @register("lag_sweep", SIG + """, s AS (SELECT session, channel AS unit_id, row_number() OVER w AS bin, value AS y, lag(value, 2) OVER w AS x FROM sig WINDOW w AS (PARTITION BY session, channel ORDER BY t)),

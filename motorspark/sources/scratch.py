@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
@@ -24,3 +24,10 @@ def scratch(spark: SparkSession, name: str) -> str:
             atexit.register(shutil.rmtree, _OWN[application], True)
         root = f"file://{_OWN[application]}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a path of its own and read back: several readers share one computation, and lost executors are answered from files."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

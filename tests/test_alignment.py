@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from motorspark.functions import spaces as S
 from motorspark.operators import alignment as A
+from motorspark.sources.scratch import stored
 
 PIECE, P, BLOCKS = 64, 6, [3, 2]
 SCHEMA = "session int, comparison string, trial int, bin int, x array<double>, y array<double>, blocks array<int>"
@@ -36,7 +37,7 @@ def designs(spark):
 
 @pytest.fixture(scope="module")
 def packed(designs):
-    return A._stored(A.pieces(designs, piece=PIECE), "test-pieces")
+    return stored(A.pieces(designs, piece=PIECE), "test-pieces")
 
 
 @pytest.fixture(scope="module")
@@ -101,7 +102,7 @@ def test_pieces_keep_the_order_and_every_finite_row(packed, gathered):
 
 
 def test_rank_curve_and_targets_equal_the_gathered_version(packed, gathered):
-    sums = A._stored(A.moments(packed), "test-moments")
+    sums = stored(A.moments(packed), "test-moments")
     curve = {(r["session"], r["comparison"], r["direction"], r["rank"]): (r["r2"], r["selected"]) for r in A.rrr_curve(sums).collect()}
     targets = {(r["session"], r["comparison"], r["direction"], r["target"]): (r["r2"], r["block"], r["block_r2"]) for r in A.rrr_targets(sums).collect()}
     seen = 0
@@ -146,7 +147,7 @@ def test_preparations_act_on_sums_as_on_samples(packed, gathered, options):
 
 
 def test_canonical_correlations_and_loadings(packed, gathered):
-    sums = A._stored(A.moments(packed), "test-moments")
+    sums = stored(A.moments(packed), "test-moments")
     found = {(r["session"], r["comparison"], r["component"]): r for r in A.cca_components(packed, sums, permutations=40).collect()}
     loading = {(r["session"], r["comparison"], r["side"], r["channel"], r["component"]): r["loading"] for r in A.cca_loadings(sums).collect()}
     for (s, c), (x, y, fold, _) in gathered.items():
@@ -170,7 +171,7 @@ def test_noise_is_significant_by_chance_only_and_a_planted_pair_always(spark):
                 x, y = g.normal(size=4), g.normal(size=3)
                 pair = np.concatenate((x[:1] + 0.3 * g.normal(size=1), y[1:]))
                 rows += [(c, "noise", t, b, x.tolist(), y.tolist(), [3]), (c, "pair", t, b, x.tolist(), pair.tolist(), [3])]
-    packed = A._stored(A.pieces(spark.createDataFrame(rows, SCHEMA), piece=200), "test-pieces")
+    packed = stored(A.pieces(spark.createDataFrame(rows, SCHEMA), piece=200), "test-pieces")
     found = [(r["comparison"], r["component"], r["significant"]) for r in A.cca_components(packed, A.moments(packed), permutations=100).collect()]
     assert len(found) == 48 and all(yes for c, j, yes in found if c == "pair" and j == 0)
     # At the 95th percentile one in twenty of the others; of 40 more than six is beyond chance.
@@ -178,8 +179,8 @@ def test_noise_is_significant_by_chance_only_and_a_planted_pair_always(spark):
 
 
 def test_dynamics_from_pieces_equal_the_gathered_operator(packed, gathered):
-    fits = A._stored(A._preparations(A.moments(packed), A.KEYS, 1.0), "test-preparations")
-    sums = A._stored(A.transitions(packed, fits, delays=4), "test-transitions")
+    fits = stored(A._preparations(A.moments(packed), A.KEYS, 1.0), "test-preparations")
+    sums = stored(A.transitions(packed, fits, delays=4), "test-transitions")
     for r in A.operators(sums, rank=5).collect():
         x, y, _, _ = gathered[r["session"], r["comparison"]]
         for side, v in (("x", z(x)), ("y", z(y))):

@@ -181,13 +181,3 @@ def test_lda_through_time(spark):
     d = spark.createDataFrame(a, "session string, trial int, condition int, unit_id int, bin int, value double")
     got = {r["bin"]: r["accuracy"] for r in O.lda_through_time(d).collect()}
     assert got[1] > 0.9 > got[0]
-
-
-def test_encode_at_mode_lag_passes_over_stored(spark):
-    g = rng()
-    a = [(s, 0, float(i), [float(v) for v in g.normal(size=2)], {"u": float(g.poisson(2))}) for s in ("a", "b") for i in range(40)]
-    d = spark.createDataFrame(a, "session string, trial int, t double, x array<double>, y map<string,double>")
-    modes = spark.createDataFrame([("a", 1), ("b", 0)], "session string, mode_lag int")
-    got = O.encode_at_mode_lag(d, modes, d.where("session = 'b'"))
-    assert [r["session"] for r in got.collect()] == ["a"]
-    assert got.select(F.size("folds")).first()[0] == 5
