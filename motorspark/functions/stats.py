@@ -11,31 +11,75 @@ from pyspark.sql import functions as F
 
 from motorspark.functions import kernels
 from motorspark.functions.columns import pearson
+from motorspark.sources.scratch import stored
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, rank: str = "rank", ties: str = "ties") -> DataFrame:
-    """Average ranks of the values within each key, and the size of each value's tie."""
-    w = Window.partitionBy(*keys)
-    t = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    return df.withColumn(ties, t).withColumn(rank, F.rank().over(w.orderBy(value)) + (F.col(ties) - 1) / 2.0)
+def _met(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Joined on keys of which null is one like any other."""
+    other = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def cumulated(counts: DataFrame, keys: Sequence[str], value: str, n: str = "ties", end: str = "end") -> DataFrame:
+    """``counts`` (one row for each key and distinct value, with ``n`` rows of it) and ``end``, the rows of the key up to this value.
+
+    Values are dealt by ranges, summed within their range, and a range starts
+    where the key's ranges before it end: a key of very many values is many
+    tasks, and none holds or sorts all of them. The ranges are a table, so
+    that both passes see the same ones.
+    """
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(counts.repartitionByRange(parts, *keys, value).withColumn("_range", F.spark_partition_id()), "stats-ranges")
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a key
+    starts = ranged.groupBy(*keys, "_range").agg(F.sum(n).alias("_sum")).withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    inside = F.sum(n).over(Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return _met(ranged.withColumn("_in", inside), starts, [*keys, "_range"]).withColumn(end, F.col("_start") + F.col("_in")).drop("_range", "_in", "_start")
+
+
+def average_ranks(counts: DataFrame, keys: Sequence[str], value: str, rank: str = "rank", ties: str = "ties") -> DataFrame:
+    """The average rank of each distinct value of a key; ``counts`` has one row for each, with the size of its tie."""
+    f = cumulated(counts, keys, value, ties, "_end")
+    return f.withColumn(rank, F.col("_end") - (F.col(ties) - 1) / 2.0).drop("_end")
+
+
+def quantiles(rows: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles of each key, named by ``shares``, interpolated between order statistics; nulls don't count.
+
+    Only distinct values with their numbers are shuffled, and no task holds a
+    key's values.
+    """
+    c = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    f = cumulated(c, keys, value, "_n", "_end")
+    f = _met(f, c.groupBy(*keys).agg(F.sum("_n").alias("_all")), keys)
+    place = lambda p: (F.col("_all") - 1) * F.lit(float(p))
+    at = lambda k: F.max(F.when((F.col("_end") - F.col("_n") <= k) & (k < F.col("_end")), F.col(value)))
+    found = f.groupBy(*keys, "_all").agg(*[e for name, p in shares.items() for e in (at(F.floor(place(p))).alias(f"_lo_{name}"), at(F.ceil(place(p))).alias(f"_hi_{name}"))])
+    part = lambda p: place(p) - F.floor(place(p))
+    return found.select(*keys, *[(F.col(f"_lo_{name}") * (1 - part(p)) + F.col(f"_hi_{name}") * part(p)).alias(name) for name, p in shares.items()])
 
 
 def _finite(df: DataFrame, value: str) -> DataFrame:
     return df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
 
 
+def _tied() -> Column:
+    """What a tie takes from the variance of ranks."""
+    t = F.col("ties").cast("double")
+    return t * (t * t - 1)
+
+
 def mann_whitney(df: DataFrame, keys: Sequence[str], group: str, value: str, first: object, second: object, alternative: str = "two-sided") -> DataFrame:
     """U of the first sample, p, rank-biserial r = 1 - 2 U / (n1 n2), n1 and n2.
 
     With this formula r is negative where the first sample is the larger.
     """
-    f = average_ranks(_finite(df, value).where(F.col(group).isin([first, second])), keys, value)
-    one = F.col(group) == first
-    n1, n2 = F.count_if(one), F.count_if(~one)
-    s = f.groupBy(*keys).agg(
-        (F.sum(F.when(one, F.col("rank")).otherwise(0.0)) - n1 * (n1 + 1) / 2).alias("u"), n1.alias("n1"), n2.alias("n2"),
-        F.sum((F.col("ties") * F.col("ties") - 1).cast("double")).alias("_ties"),
-    )
+    each = _finite(df, value).where(F.col(group).isin([first, second])).groupBy(*keys, value)
+    f = average_ranks(each.agg(F.count(F.lit(1)).alias("ties"), F.count_if(F.col(group) == first).alias("_one")), keys, value)
+    n1, n2 = F.sum("_one"), F.sum(F.col("ties") - F.col("_one"))
+    s = f.groupBy(*keys).agg((F.sum(F.col("rank") * F.col("_one")) - n1 * (n1 + 1) / 2).alias("u"), n1.alias("n1"), n2.alias("n2"), F.sum(_tied()).alias("_ties"))
 
     @F.pandas_udf("double")
     def p(u: pd.Series, a: pd.Series, b: pd.Series, t: pd.Series) -> pd.Series:
@@ -49,12 +93,14 @@ def signed_rank(df: DataFrame, keys: Sequence[str], a: str, b: str, zero_method:
     d = df.withColumn("_d", F.col(a) - F.col(b)).where("_d IS NOT NULL AND NOT isnan(_d)")
     if zero_method == "wilcox":
         d = d.where("_d <> 0")
-    f = average_ranks(d.withColumn("_abs", F.abs("_d")), keys, "_abs")
-    plus, minus = F.sum(F.when(F.col("_d") > 0, F.col("rank")).otherwise(0.0)), F.sum(F.when(F.col("_d") < 0, F.col("rank")).otherwise(0.0))
-    half = F.sum(F.when(F.col("_d") == 0, F.col("rank")).otherwise(0.0)) / 2 if zero_method == "zsplit" else F.lit(0.0)
+    each = d.withColumn("_abs", F.abs("_d")).groupBy(*keys, "_abs")
+    counts = each.agg(F.count(F.lit(1)).alias("ties"), F.count_if(F.col("_d") > 0).alias("_up"), F.count_if(F.col("_d") < 0).alias("_down"))
+    f = average_ranks(counts, keys, "_abs")
+    zero = F.col("ties") - F.col("_up") - F.col("_down")
+    half = F.sum(F.col("rank") * zero) / 2 if zero_method == "zsplit" else F.lit(0.0)
     s = f.groupBy(*keys).agg(
-        (plus + half).alias("_plus"), (minus + half).alias("_minus"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("_d") == 0).alias("_zeros"),
-        F.sum(F.when(F.col("_d") != 0, (F.col("ties") * F.col("ties") - 1).cast("double")).otherwise(0.0)).alias("_ties"),
+        (F.sum(F.col("rank") * F.col("_up")) + half).alias("_plus"), (F.sum(F.col("rank") * F.col("_down")) + half).alias("_minus"), F.sum("ties").alias("n"), F.sum(zero).alias("_zeros"),
+        F.sum(F.when(F.col("_abs") > 0, _tied()).otherwise(0.0)).alias("_ties"),
     )
 
     @F.pandas_udf("double")
@@ -75,9 +121,13 @@ def signed_rank(df: DataFrame, keys: Sequence[str], a: str, b: str, zero_method:
 
 def kruskal(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
     """Tie-corrected H, its chi-square p, groups and n."""
-    f = average_ranks(_finite(df, value), keys, value)
-    g = f.groupBy(*keys, group).agg(F.sum("rank").alias("_r"), F.count(F.lit(1)).alias("_n"), F.sum((F.col("ties") * F.col("ties") - 1).cast("double")).alias("_t"))
-    s = g.groupBy(*keys).agg(F.sum(F.col("_r") * F.col("_r") / F.col("_n")).alias("_s"), F.sum("_n").alias("n"), F.sum("_t").alias("_t"), F.count(F.lit(1)).alias("groups"))
+    each = _finite(df, value).groupBy(*keys, value, group).agg(F.count(F.lit(1)).alias("_m"))
+    # A value's numbers by group travel with it: as many as there are groups.
+    f = average_ranks(each.groupBy(*keys, value).agg(F.sum("_m").alias("ties"), F.collect_list(F.struct(F.col(group).alias("g"), F.col("_m").alias("m"))).alias("_by")), keys, value)
+    ties = f.groupBy(*keys).agg(F.sum(_tied()).alias("_t"))
+    g = f.select(*keys, "rank", F.explode("_by").alias("_b")).groupBy(*keys, "_b.g").agg(F.sum(F.col("rank") * F.col("_b.m")).alias("_r"), F.sum("_b.m").alias("_n"))
+    s = g.groupBy(*keys).agg(F.sum(F.col("_r") * F.col("_r") / F.col("_n")).alias("_s"), F.sum("_n").alias("n"), F.count(F.lit(1)).alias("groups"))
+    s = _met(s, ties, keys)
     n = F.col("n").cast("double")
     h = F.try_divide(12.0 / (n * (n + 1)) * F.col("_s") - 3 * (n + 1), 1 - F.try_divide(F.col("_t"), n * n * n - n))
 

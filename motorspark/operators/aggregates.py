@@ -173,11 +173,14 @@ def normalize_rows_to_max(rows: DataFrame, keys: Sequence[str], value: str) -> D
 
 
 def data_stats(rows: DataFrame, keys: Sequence[str], value: str, central: float = 0.95) -> DataFrame:
-    q = lambda p: F.percentile(value, F.lit(p))
-    return rows.groupBy(*keys).agg(
-        F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.median(value).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3"),
-        (q(0.75) - q(0.25)).alias("iqr"), q((1 - central) / 2).alias("low"), q((1 + central) / 2).alias("high"),
-    )
+    """Mean, deviation, median, quartiles and the central interval of each key; quantiles exact, from ranges of distinct values."""
+    from motorspark.functions.stats import _met, quantiles
+
+    shares = {"median": 0.5, "q1": 0.25, "q3": 0.75, "low": (1 - central) / 2, "high": (1 + central) / 2}
+    found = quantiles(rows, keys, value, shares)
+    plain = rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    out = _met(plain, found, keys, "left")
+    return out.select(*keys, "mean", "std", "median", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"), "low", "high")
 
 
 def condition_success_matrix(trials: DataFrame, columns: Sequence[str], force: str | None = None, max_forces: int = 9, success: str = "success") -> DataFrame:

@@ -4,12 +4,15 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from motorspark.functions import kernels
 from motorspark.functions import stats as X
+from motorspark.operators import aggregates as A
 from motorspark.operators import models as O
 from motorspark.operators import ordering as K
 from motorspark.operators import series as W
+from motorspark.sources.scratch import stored
 
 
 @pytest.fixture(scope="module")
@@ -188,3 +191,33 @@ def test_exact_rank_sums_count_all_orders():
             assert kernels.mann_whitney_p(u, n1, n2, 0, "greater") == pytest.approx(greater)
             assert kernels.mann_whitney_p(u, n1, n2, 0, "less") == pytest.approx(np.mean([x <= u for x in us]))
     assert kernels.mann_whitney_p(4e6, 8, 1_000_000, 0) == pytest.approx(1.0, abs=1e-3)
+
+
+def test_ranks_and_quantiles_of_one_key_over_many_tasks(spark):
+    g = np.random.default_rng(8)
+    values = np.round(g.normal(size=60_000), 2)  # many ties
+    rows = [("k", "ab"[i % 2], float(v)) for i, v in enumerate(values)] + [(None, "a", 1.0), (None, "b", 2.0), (None, "b", None)]
+    d = spark.createDataFrame(rows, "k string, g string, x double").repartition(5)
+    counts = d.where("x IS NOT NULL").groupBy("k", "x").agg(F.count(F.lit(1)).alias("ties"))
+    ranked = X.average_ranks(counts, ["k"], "x")
+    got = {r["x"]: r["rank"] for r in ranked.where("k = 'k'").collect()}
+    order = np.sort(values)
+    low, high = np.searchsorted(order, values), np.searchsorted(order, values, side="right")
+    assert got == dict(zip(values.tolist(), ((low + 1 + high) / 2).tolist(), strict=True))
+    # No range holds all values of the key.
+    ranges = stored(counts.repartitionByRange(4, "k", "x"), "ranges").where("k = 'k'").groupBy(F.input_file_name().alias("f")).count().collect()
+    assert len(ranges) >= 3 and max(r["count"] for r in ranges) < 0.7 * len(got)
+    a, b = values[::2], values[1::2]
+    rank = dict(zip(values.tolist(), ((low + 1 + high) / 2).tolist(), strict=True))
+    found = {r["k"]: r for r in X.mann_whitney(d, ["k"], "g", "x", "a", "b").collect()}
+    assert found["k"]["u"] == sum(rank[v] for v in a.tolist()) - 30_000 * 30_001 / 2 and (found["k"]["n1"], found["k"]["n2"]) == (30_000, 30_000)
+    assert found[None]["u"] == 0 and found[None]["n2"] == 1
+    h = {r["k"]: r for r in X.kruskal(d, ["k"], "g", "x").collect()}
+    n = 60_000
+    ties = sum(int(c) ** 3 - int(c) for c in np.unique(values, return_counts=True)[1])
+    want = (12 / (n * (n + 1)) * sum(sum(rank[v] for v in part.tolist()) ** 2 / 30_000 for part in (a, b)) - 3 * (n + 1)) / (1 - ties / (n**3 - n))
+    assert h["k"]["h"] == pytest.approx(want, abs=1e-6) and h["k"]["groups"] == 2 and h[None]["n"] == 2
+    shares = {"q0": 0.0, "q1": 0.25, "m": 0.5, "odd": 0.3371, "q4": 1.0}
+    q = {r["k"]: r for r in X.quantiles(d, ["k"], "x", shares).collect()}
+    assert [q["k"][c] for c in shares] == pytest.approx(np.quantile(values, list(shares.values())).tolist(), abs=1e-12)
+    assert q[None]["m"] == 1.5 and A.data_stats(d, ["k"], "x").where("k IS NULL").first()["median"] == 1.5
