@@ -217,6 +217,24 @@ def stage_status(manifest: DataFrame, input_time: str = "input_time", output_tim
     return manifest.withColumn("status", F.when(i.isNull(), "NEG").when(o.isNull(), "ZER").when(o >= i, "COR").otherwise("POS"))
 
 
+def file_manifest(files: DataFrame, trials: DataFrame, stages: dict[str, tuple[str, str]]) -> DataFrame:
+    """session, trial, stage, input_time and output_time of every trial and stage, from the modification times of files.
+
+    ``files`` has path and modified; ``trials`` session and trial. A stage is
+    the pattern of its input files and that of its output files, each with two
+    groups, session and trial. Of several inputs the newest counts, of several
+    outputs too.
+    """
+    of = lambda stage, role, p: F.struct(F.lit(stage).alias("stage"), F.lit(role).alias("role"), F.regexp_extract("path", p, 1).alias("session"), F.regexp_extract("path", p, 2).alias("trial"))
+    every = F.array(*[of(stage, i, p) for stage, patterns in stages.items() for i, p in enumerate(patterns)])
+    met = files.select("modified", F.explode(F.filter(every, lambda m: m["session"] != "")).alias("m")).select("modified", "m.*")
+    newest = lambda role: F.max(F.when(F.col("role") == role, F.col("modified")))
+    times = met.groupBy(F.col("session").alias("_session"), F.col("trial").alias("_trial"), F.col("stage").alias("_stage")).agg(newest(0).alias("input_time"), newest(1).alias("output_time"))
+    spine = trials.select("session", "trial").distinct().withColumn("stage", F.explode(F.array(*map(F.lit, stages))))
+    same = (F.col("session").cast("string") == F.col("_session")) & (F.col("trial").cast("string") == F.col("_trial")) & (F.col("stage") == F.col("_stage"))
+    return spine.join(times, same, "left").drop("_session", "_trial", "_stage")
+
+
 def processing_status(manifest: DataFrame, keys: Sequence[str] = ("session", "stage")) -> DataFrame:
     count = lambda s: F.count_if(F.col("status") == s).alias(s.lower())
     return stage_status(manifest).groupBy(*keys).agg(count("NEG"), count("ZER"), count("POS"), count("COR"), _n().alias("n"))

@@ -247,3 +247,9 @@ def write_lines(lines: DataFrame, path: str, keys: Sequence[str] = ("file",)) ->
 
 def parse_meta(text: str) -> dict:
     return SESSION_DEFAULTS | json.loads(text)
+
+
+def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """path, modified and length of every file under ``folder``, whatever its depth; contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    return found.select("path", F.col("modificationTime").alias("modified"), "length")

@@ -1,5 +1,7 @@
+import os
 from pathlib import Path
 
+from motorspark.operators import aggregates as A
 from motorspark.sources import tables as S
 
 
@@ -53,3 +55,19 @@ def test_write_json_rounds(spark, tmp_path):
     S.write_table(d, str(tmp_path / "out"), "json", ["session"])
     got = {r["session"]: r["v"] for r in spark.read.schema("session string, v double").json(str(tmp_path / "out")).collect()}
     assert got == {"a": 0.1235, "b": None}
+
+
+def test_status_from_the_times_of_real_files(spark, tmp_path):
+    for path, at in {"s1/raw/t1.csv": 100, "s1/raw/t2.csv": 100, "s1/out/t1.csv": 200, "s1/out/t2.csv": 50, "s1/raw/t3.csv": 100, "s2/out/t1.csv": 300, "s2/notes.txt": 1}.items():
+        f = tmp_path / "in" / path
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("x")
+        os.utime(f, (at, at))
+    files = S.list_files(spark, f"file://{tmp_path}/in")
+    assert {r["path"].split("/in/")[1]: r["length"] for r in files.collect()}["s2/notes.txt"] == 1 and "content" not in files.columns
+    trials = spark.createDataFrame([("s1", 1), ("s1", 2), ("s1", 3), ("s2", 1), ("s2", 2)], "session string, trial int")
+    manifest = A.file_manifest(files, trials, {"align": ("/in/(s[0-9]+)/raw/t([0-9]+)[.]csv$", "/in/(s[0-9]+)/out/t([0-9]+)[.]csv$")})
+    got = {(r["session"], r["trial"]): r["status"] for r in A.stage_status(manifest).collect()}
+    assert got == {("s1", 1): "COR", ("s1", 2): "POS", ("s1", 3): "ZER", ("s2", 1): "NEG", ("s2", 2): "NEG"}
+    counts = {r["session"]: (r["neg"], r["zer"], r["pos"], r["cor"], r["n"]) for r in A.processing_status(manifest).collect()}
+    assert counts == {"s1": (0, 1, 1, 1, 3), "s2": (2, 0, 0, 0, 2)}
