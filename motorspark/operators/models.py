@@ -143,6 +143,22 @@ def demixed_pca(marginals: DataFrame, n: int, keys: Sequence[str] = ("session",)
     return per_group(rows, keys, fit, "part string, component int, decoder array<double>, encoder array<double>, explained double")
 
 
+def demixed_traces(peth: DataFrame, components: DataFrame, keys: Sequence[str] = ("session",), value: str = "rate_avg", sem: str = "rate_sem") -> DataFrame:
+    """Condition averages on each demixed component through time, with a band: keys, part, component, condition, bin, trace, band.
+
+    ``peth`` has a mean and its standard error for each unit, condition and
+    bin; ``components`` are those of ``demixed_pca``, whose decoders follow the
+    units' order. The band is the root of the sum of the squared, weighted
+    standard errors; a missing one counts 0.
+    """
+    units = peth.select(*keys, "unit_id").distinct().withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy("unit_id")) - 1)
+    weights = components.select(*keys, "part", "component", F.posexplode("decoder").alias("_at", "_w")).join(units, [*keys, "_at"]).drop("_at")
+    # As many rows a unit as there are components; sums are partial before the shuffle.
+    f = peth.select(*keys, "unit_id", "condition", "bin", F.col(value).alias("_v"), F.coalesce(sem, F.lit(0.0)).alias("_s")).join(weights, [*keys, "unit_id"])
+    band = F.sqrt(F.sum(F.col("_w") * F.col("_w") * F.col("_s") * F.col("_s")))
+    return f.groupBy(*keys, "part", "component", "condition", "bin").agg(F.sum(F.col("_w") * F.col("_v")).alias("trace"), band.alias("band"))
+
+
 def poisson_glm_cv(design: DataFrame, keys: Sequence[str] = ("session",), folds: int = 5, seed: int = 0, alpha: float = 1e-4, max_predictors: int | None = None, units: int = 16) -> DataFrame:
     """Held-out pR2 of every unit, as the mean over folds of whole bins; with ``max_predictors``, of the strongest by lasso.
 

@@ -17,7 +17,7 @@ from motorspark.plans.demo import BEFORE, CTE, HALF, SIG, TRIAL_COUNTS, WIDTH, _
 from motorspark.plans.registry import register
 from motorspark.sources import tables as S
 from motorspark.sources.results import ResultStore
-from motorspark.sources.scratch import scratch
+from motorspark.sources.scratch import scratch, stored
 
 
 def _activity(spark: SparkSession, d: str) -> DataFrame:
@@ -59,6 +59,14 @@ def demixed_pca(spark, d):
     return M.demixed_pca(A.marginal_means(peth.join(kept, ["session", "condition"], "left_semi")), 2)
 
 
+@register("demixed_traces")
+def demixed_traces(spark, d):
+    peth = A.mean_and_sem(_rates(spark, d), ["session", "unit_id", "condition", "bin"])
+    kept, _ = A.common_conditions(peth)
+    peth = stored(peth.join(kept, ["session", "condition"], "left_semi"), "demixed-peth")
+    return M.demixed_traces(peth, M.demixed_pca(A.marginal_means(peth), 2))
+
+
 @register("trial_activity", CTE + f""", half(i, k) AS (VALUES {HALF})
 SELECT a.session, a.unit_id, a.trial, a.condition, a.bin::INTEGER AS bin, round(sqrt(greatest(sum(b.n * k) / 60, 0)), 9) AS value FROM filled a, half
 JOIN filled b ON b.session = a.session AND b.unit_id = a.unit_id AND b.trial = a.trial AND b.bin = a.bin - half.i GROUP BY ALL""")

@@ -156,6 +156,16 @@ def test_demixed_pca_tells_time_from_condition(spark):
     for part, direction in (("time", time), ("condition", cond)):
         assert abs(np.corrcoef(got[part, 0]["encoder"], direction)[0, 1]) > 0.99
     assert 0.9 < got["time", 0]["explained"] + got["condition", 0]["explained"] < 1.01
+    # Projections of the averages, with the band of the standard errors.
+    mean, sem = g.normal(size=(12, 3, 20)), g.random((12, 3, 20))
+    peth = spark.createDataFrame([("s", u, c, b, float(mean[u, c, b]), float(sem[u, c, b]) if u else None) for u in range(12) for c in range(3) for b in range(20)], "session string, unit_id int, condition int, bin int, rate_avg double, rate_sem double")
+    sem[0] = 0
+    traces = {(r["part"], r["condition"], r["bin"]): (r["trace"], r["band"]) for r in O.demixed_traces(peth, O.demixed_pca(d, 1)).collect()}
+    for part in ("time", "condition"):
+        w = np.array(got[part, 0]["decoder"])
+        want, band = np.tensordot(w, mean, 1), np.sqrt(np.tensordot(w**2, sem**2, 1))
+        assert all(traces[part, c, b] == pytest.approx((want[c, b], band[c, b])) for c in range(3) for b in range(20))
+    assert len(traces) == 120
 
 
 def test_shuffle_alignment_rolls_each_trial(spark):
