@@ -109,8 +109,9 @@ def nearest_time_join(left: DataFrame, right: DataFrame, time: str = "t", keys:
     other = right.select(*keys, F.col(time).alias("_t"), F.lit(0).alias("_left"), F.col(time).cast("double").alias("_v"))
     both = sides.unionByName(other, allowMissingColumns=True)
     before = Window.partitionBy(*keys).orderBy("_t", "_left").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys).orderBy("_t", F.desc("_left")).rowsBetween(0, Window.unboundedFollowing)
-    both = both.withColumns({"_a": F.last("_v", ignorenulls=True).over(before), "_b": F.first("_v", ignorenulls=True).over(after)}).where("_left = 1")
+    # From the end backwards: a frame that reaches to the end is added up anew for every row, which is quadratic.
+    after = Window.partitionBy(*keys).orderBy(F.desc("_t"), "_left").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumns({"_a": F.last("_v", ignorenulls=True).over(before), "_b": F.last("_v", ignorenulls=True).over(after)}).where("_left = 1")
     near = F.when(F.col("_b").isNull() | (F.col("_t") - F.col("_a") <= F.col("_b") - F.col("_t")), F.col("_a")).otherwise(F.col("_b"))
     return both.withColumn(name, near).withColumn("distance", F.abs(F.col("_t") - F.col(name))).drop("_t", "_left", "_v", "_a", "_b")
 
