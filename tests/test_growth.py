@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from motorspark.operators import pairing as J
 from motorspark.operators import series as W
+from motorspark.sources import tables as S
 
 
 def plan(df) -> str:
@@ -22,3 +23,19 @@ def test_no_frame_reaches_to_the_end_of_a_series(spark):
     got = {k: [r["value"] for r in df.orderBy("t").collect()] for k, df in made.items()}
     assert got["held"] == [0.0, 5.0, 15.0, 25.0, 35.0] and got["extended"] == [-5.0, 5.0, 15.0, 25.0, 35.0]
     assert got["filled"] == [0.0, 10.0, 20.0, 30.0, 40.0] and got["nearest"] == [0.0, 0.0, 1.0, 2.0, 3.0]
+
+
+def test_head_and_body_stay_in_one_file(spark, tmp_path):
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        s = spark.range(8 * 4000).select((F.col("id") % 8).alias("session"), F.floor(F.col("id") / 8).cast("double").alias("t"), F.lit("a").alias("channel"), F.rand(1).alias("value"))
+        path = str(tmp_path / "motion")
+        S.write_lines(S.motion_lines(s, ["a"], ("session",)), path, ("session",))
+        assert {len(list(d.glob("*.txt"))) for d in (tmp_path / "motion").glob("session=*")} == {1}
+        assert S.read_motion(spark, f"{path}/session=*").count() == 8 * 4000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
