@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from motorspark.functions.columns import numbered
 
+#: Occurrences that one row gives at once.
+STEP = 8192
+
 
 def with_occurrence(log: DataFrame, keys: Sequence[str], order: str = "seq", name: str = "dup_index") -> DataFrame:
     """Number the rows of each key from 0, in the order of ``order``."""
@@ -27,11 +30,18 @@ def common_trials(first: DataFrame, *others: DataFrame, keys: Sequence[str] = ("
 
 
 def absent_trials(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("session",), trial: str = "trial_num") -> DataFrame:
-    """Trial occurrences in one log and not in the other, with ``missing_in`` = a or b."""
+    """Trial occurrences in one log and not in the other, with ``missing_in`` = a or b.
+
+    Occurrences are numbered from 0, so counts give those that one log has and
+    the other hasn't: no log is sorted. Long runs are made in steps.
+    """
     by = [*keys, trial]
-    left, right = (with_occurrence(x, by).select(*by, "dup_index") for x in (a, b))
-    on = [*by, "dup_index"]
-    return left.join(right, on, "left_anti").withColumn("missing_in", F.lit("b")).unionByName(right.join(left, on, "left_anti").withColumn("missing_in", F.lit("a")))
+    left, right = (x.groupBy(*by).agg(F.count(F.lit(1)).alias(n)) for x, n in ((a, "_a"), (b, "_b")))
+    n = left.join(right, by, "full_outer").na.fill(0, ["_a", "_b"]).where("_a <> _b")
+    lo, hi = F.least("_a", "_b"), F.greatest("_a", "_b") - 1
+    runs = n.select(*by, F.when(F.col("_a") > F.col("_b"), "b").otherwise("a").alias("missing_in"), hi.alias("_hi"), F.explode(F.sequence(lo, hi, F.lit(STEP).cast("long"))).alias("_lo"))
+    last = F.least(F.col("_lo") + (STEP - 1), F.col("_hi"))
+    return runs.select(*by, F.explode(F.sequence(F.col("_lo").cast("int"), last.cast("int"))).alias("dup_index"), "missing_in")
 
 
 def pair_pulses_to_trials(

@@ -39,3 +39,15 @@ def test_head_and_body_stay_in_one_file(spark, tmp_path):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_absent_trials_by_counts(spark):
+    a = spark.createDataFrame([("s", t, i) for i, t in enumerate([1] * 3 + [2] + [4] + [None])], "session string, trial_num int, seq int")
+    b = spark.createDataFrame([("s", t, i) for i, t in enumerate([1] + [2] * 2 + [4] + [None])], "session string, trial_num int, seq int")
+    made = J.absent_trials(a, b)
+    assert made.dtypes == [("session", "string"), ("trial_num", "int"), ("dup_index", "int"), ("missing_in", "string")] and "window" not in plan(made)
+    got = sorted(((r["trial_num"] or -1, r["dup_index"], r["missing_in"]) for r in made.collect()))
+    assert got == [(-1, 0, "a"), (-1, 0, "b"), (1, 1, "b"), (1, 2, "b"), (2, 1, "a")]
+    many = spark.range(20_000).select(F.lit("s").alias("session"), F.lit(7).alias("trial_num"))
+    left = J.absent_trials(many, many.limit(1))
+    assert left.agg(F.min("dup_index"), F.max("dup_index"), F.count_distinct("dup_index")).first()[:] == (1, 19_999, 19_999) and left.count() == 19_999
