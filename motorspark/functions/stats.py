@@ -168,7 +168,9 @@ def poisson_deviance(y: Column, mu: Column) -> Column:
 
 def poisson_pr2(df: DataFrame, keys: Sequence[str], y: str, mu: str, predictors: int = 1) -> DataFrame:
     """1 - deviance / deviance of the mean-only model; and adjusted for n and the number of predictors."""
-    f = df.withColumn("_mean", F.avg(y).over(Window.partitionBy(*keys)))
+    # Means are one row a key, stored, so that Spark knows how small they are; no task gets a key's rows.
+    means = stored(df.groupBy(*keys).agg(F.avg(y).alias("_mean")), "poisson-means")
+    f = _met(df, means, keys)
     dev, null = F.sum(poisson_deviance(F.col(y), F.col(mu))), F.sum(poisson_deviance(F.col(y), F.col("_mean")))
     s = f.groupBy(*keys).agg((1 - F.try_divide(dev, null)).alias("pr2"), F.count(F.lit(1)).alias("n"))
     return s.withColumn("adj_pr2", 1 - (1 - F.col("pr2")) * F.try_divide((F.col("n") - 1).cast("double"), (F.col("n") - predictors - 1).cast("double")))

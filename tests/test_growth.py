@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from motorspark.functions import stats as X
+from motorspark.operators import models as M
 from motorspark.operators import pairing as J
 from motorspark.operators import series as W
 from motorspark.sources import tables as S
@@ -51,3 +53,13 @@ def test_absent_trials_by_counts(spark):
     many = spark.range(20_000).select(F.lit("s").alias("session"), F.lit(7).alias("trial_num"))
     left = J.absent_trials(many, many.limit(1))
     assert left.agg(F.min("dup_index"), F.max("dup_index"), F.count_distinct("dup_index")).first()[:] == (1, 19_999, 19_999) and left.count() == 19_999
+
+
+def test_few_large_keys_are_not_shuffled(spark):
+    d = spark.range(400).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), (F.col("id") % 7 + 1.0).alias("y"), (F.col("id") % 5 + 1.0).alias("mu"))
+    p = X.poisson_pr2(d, ["k"], "y", "mu")
+    assert "window" not in plan(p) and "BroadcastHashJoin" in p._jdf.queryExecution().executedPlan().toString()
+    assert {r["k"]: r["n"] for r in p.collect()} == {None: 134, 1: 133, 2: 133}
+    rows = d.where("k IS NOT NULL").withColumn("id", F.monotonically_increasing_id())
+    s = M.pca_scores(rows, ["y", "mu"], M.pca(rows, ["y", "mu"], 2, ["k"]), ["k"])
+    assert "SortMergeJoin" not in s._jdf.queryExecution().executedPlan().toString() and s.count() == 2 * 266
