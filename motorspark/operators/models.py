@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from motorspark.functions import models as M
 from motorspark.operators import series as W
 from motorspark.operators.predicates import crop_to_period
+from motorspark.sources.scratch import stored
 
 #: Predictors, and the signals that each takes its channels from.
 PREDICTORS = {
@@ -114,8 +115,9 @@ def pca(rows: DataFrame, columns: Sequence[str], n: int, keys: Sequence[str] = (
 
 def pca_scores(rows: DataFrame, columns: Sequence[str], components: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Long scores: own columns, component, score. ``components`` has at most as many rows a key as columns."""
-    # Means and deviations are one row a key; no task holds a key's rows.
-    stats = rows.groupBy(*keys).agg(*[e for c in columns for e in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))])
+    # Means, deviations and components are few rows a key, stored, so that Spark knows how small they are; no task gets a key's rows.
+    stats = stored(rows.groupBy(*keys).agg(*[e for c in columns for e in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))]), "pca-stats")
+    components = stored(components, "pca-components")
     f = rows.join(stats, list(keys)) if keys else rows.crossJoin(F.broadcast(stats))
     z = [F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")), F.lit(0.0)) for c in columns]
     f = f.select(*rows.columns, F.array(*z).alias("_z"))
