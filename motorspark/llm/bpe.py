@@ -66,7 +66,8 @@ def _splitter() -> pre_tokenizers.ByteLevel:
 
 def words_of(text: str) -> list[str]:
     """The words that byte-level pre-tokenisation cuts a text into; the tokenizers library itself decides about unsettled code points."""
-    if text.isascii() or not _unsettled().search(text):
+    # A class of so many ranges is slow to search for, and the distinct characters of a text are few.
+    if text.isascii() or not _unsettled().search("".join(set(text))):
         return PATTERN.findall(text)
     return [text[a:b] for _, (a, b) in _splitter().pre_tokenize_str(text)]
 
@@ -156,12 +157,17 @@ class Encoder:
         parts = [self.ids[word[i : i + 1]] for i in range(len(word))]
         if len(parts) > 256:
             return self._merge_long(parts)
-        while len(parts) > 1:
-            best = min(((m[0], i) for i in range(len(parts) - 1) if (m := self.merges.get((parts[i], parts[i + 1])))), default=None)
-            if best is None:
-                break
-            i = best[1]
+        found, none = self.merges.get, (int(NEVER), -1)
+        ranks = [found(p, none)[0] for p in zip(parts, parts[1:], strict=False)]
+        # A merge changes the ranks of the pairs at its two ends only; the first of equal ranks is the leftmost.
+        while ranks and (best := min(ranks)) < none[0]:
+            i = ranks.index(best)
             parts[i : i + 2] = [self.merges[parts[i], parts[i + 1]][1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = found((parts[i - 1], parts[i]), none)[0]
+            if i < len(ranks):
+                ranks[i] = found((parts[i], parts[i + 1]), none)[0]
         return parts
 
     def _merge_long(self, parts: list[int]) -> list[int]:

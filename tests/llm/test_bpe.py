@@ -48,6 +48,36 @@ def test_long_texts_with_an_unsettled_code_point(both):
     assert got.tolist() == want and code.decode(got) == t.decode(want, skip_special_tokens=False)
 
 
+def test_unsettled_code_points_are_searched_among_distinct_characters(monkeypatch):
+    searched = []
+
+    class Class:
+        def search(self, text):
+            searched.append(len(text))
+
+    monkeypatch.setattr(bpe, "_unsettled", Class)
+    assert len(bpe.words_of("é und noch ein Wort, " * 10_000)) == 60_001 and searched and max(searched) < 20
+
+
+def test_a_merge_looks_up_its_neighbours_only(both):
+    code, t = both
+    looked = []
+
+    class Merges(dict):
+        def get(self, key, default=None):
+            looked.append(key)
+            return super().get(key, default)
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(200)) for _ in range(20)]
+    own, code.merges = code.merges, Merges(code.merges)
+    try:
+        assert [code.merge(w.encode()) for w in words] == [e.ids for e in t.encode_batch(words, add_special_tokens=False)]
+    finally:
+        code.merges = own
+    assert len(looked) < 3 * 200 * len(words)
+
+
 def test_query(spark, tmp_path, both):
     _, t = both
     texts = [None, "", "a", "<|endoftext|> x <|endoftext|>", "é中😀՘", " \n\n  ", "same", "same"]
