@@ -43,6 +43,20 @@ def test_head_and_body_stay_in_one_file(spark, tmp_path):
             spark.conf.set(k, v)
 
 
+def test_many_small_files_are_written_by_many_tasks(spark, tmp_path):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        S.write_lines(spark.range(64).select(F.col("id").alias("file"), F.lit(0).alias("pos"), F.lit("a").alias("line")), str(tmp_path / "lines"))
+        samples = spark.range(64).select(F.col("id").alias("session"), F.lit(1.0).alias("t"), F.lit("a").alias("channel"), F.lit(2.0).alias("value"))
+        S.write_timed_csv(samples, str(tmp_path / "timed"), ["a"], ("session",))
+        for name in ("lines", "timed"):
+            files = list((tmp_path / name).glob("*=*/part-*"))
+            assert len(files) == 64 and len({f.name.split("-")[1] for f in files}) > 4
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_absent_trials_by_counts(spark):
     a = spark.createDataFrame([("s", t, i) for i, t in enumerate([1] * 3 + [2] + [4] + [None])], "session string, trial_num int, seq int")
     b = spark.createDataFrame([("s", t, i) for i, t in enumerate([1] + [2] * 2 + [4] + [None])], "session string, trial_num int, seq int")
