@@ -77,3 +77,19 @@ def test_few_large_keys_are_not_shuffled(spark):
     rows = d.where("k IS NOT NULL").withColumn("id", F.monotonically_increasing_id())
     s = M.pca_scores(rows, ["y", "mu"], M.pca(rows, ["y", "mu"], 2, ["k"]), ["k"])
     assert "SortMergeJoin" not in s._jdf.queryExecution().executedPlan().toString() and s.count() == 2 * 266
+
+
+def test_clock_of_a_trial_is_neither_shuffled_nor_sorted(spark):
+    # A median step of 1 and gaps of 500: the clock has many more points than there are samples.
+    times = [0.0, 1.0, 2.0, 502.0, 503.0, 504.0, 505.0]
+    joints = spark.createDataFrame([("s", 0, c, t, None if c == "n" else t * 2 if c == "a" else 1.0) for c in "abn" for t in times if c != "b" or t == 502.0], "session string, trial int, channel string, t double, value double")
+    frames = spark.createDataFrame([("s", 0, t, [t, 1.0]) for t in (0.0, 2.25, 2.5, 300.4, 505.0)], "session string, trial int, t double, sensels array<double>")
+    made = W.align_trial(joints, frames)
+    p = plan(made)
+    assert p.index("generate explode") < p.index("window")
+    got = {c: sorted((r["t"], r["value"], r["force"]) for r in made.where(F.col("channel") == c).collect()) for c in "ab"}
+    force = {0.0: 1.0, 2.0: 3.25, 3.0: 3.5, 300.0: 301.4, 505.0: 506.0}
+    assert got["a"] == [(float(t), 2.0 * t, force.get(float(t), 0.0)) for t in range(506)]
+    assert got["b"] == [(t, 1.0, f) for t, _, f in got["a"]]
+    none = made.where("channel = 'n'")
+    assert none.count() == 506 and none.where("value IS NOT NULL").count() == 0
