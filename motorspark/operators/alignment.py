@@ -57,18 +57,20 @@ def comparison_designs(rates: DataFrame, signals: DataFrame, comparisons: dict[s
     """
     spark, own = rates.sparkSession, [*keys, trial]
     wanted = spark.createDataFrame([(c, i, s, len(signals_)) for c, (signals_, _) in comparisons.items() for i, s in enumerate(signals_)], "comparison string, block int, signal string, _blocks int")
-    met = signals.join(F.broadcast(wanted), "signal").withColumn("channel", F.concat_ws(".", F.lpad("block", 4, "0"), "channel")).drop("signal")
-    span = met.groupBy(*own, "comparison", "channel").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.first("block").alias("block"), F.first("_blocks").alias("_blocks"))
-    span = span.groupBy(*own, "comparison").agg(F.max("a").alias("_a"), F.min("b").alias("_b"), F.count_distinct("block").alias("_has"), F.first("_blocks").alias("_blocks")).where("_has = _blocks")
+    # A channel's value at a bin is the same in every comparison: samples are never copied for comparisons, only channels and bins are.
+    samples = signals.where(F.col("signal").isin(sorted({s for signals_, _ in comparisons.values() for s in signals_})))
+    ranges = samples.groupBy(*own, "signal", "channel").agg(F.min("t").alias("a"), F.max("t").alias("b")).join(F.broadcast(wanted), "signal")
+    named = F.struct("signal", "channel", F.concat_ws(".", F.lpad("block", 4, "0"), "channel").alias("_name"))
+    span = ranges.groupBy(*own, "comparison").agg(F.max("a").alias("_a"), F.min("b").alias("_b"), F.count_distinct("block").alias("_has"), F.first("_blocks").alias("_blocks"), F.collect_list(named).alias("_channels")).where("_has = _blocks")
     grid = rates.select(*own, "t").distinct().join(span.drop("_has", "_blocks"), own).where("t >= _a AND t <= _b").drop("_a", "_b")
     if timepoints is not None:
         parts = [crop_to_period(grid.where(F.col("comparison").isin([c for c, (_, p) in comparisons.items() if p == period])), timepoints, period, own) for period in dict.fromkeys(p for _, p in comparisons.values())]
         grid = parts[0]
         for part in parts[1:]:
             grid = grid.unionByName(part)
-    channels = met.select(*own, "comparison", "channel").distinct()
-    at = W.interpolate(grid.join(channels, [*own, "comparison"]), met.select(*own, "comparison", "channel", "t", "value"), [*own, "comparison", "channel"])
-    y = at.groupBy(*own, "comparison", "t").agg(F.array_sort(F.collect_list(F.struct("channel", "value"))).alias("_y"))
+    points = grid.select(*own, "comparison", "t", F.inline("_channels"))
+    at = W.interpolate(points, samples.select(*own, "signal", "channel", "t", "value"), [*own, "signal", "channel"])
+    y = at.groupBy(*own, "comparison", "t").agg(F.array_sort(F.collect_list(F.struct(F.col("_name").alias("channel"), "value"))).alias("_y"))
     sizes = F.transform(F.array_distinct(F.transform("_y", lambda c: F.left(c["channel"], F.lit(4)))), lambda b: F.size(F.filter("_y", lambda c: F.left(c["channel"], F.lit(4)) == b)))
     x = rates.groupBy(*own, "t").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("unit_id").cast("string"), "rate"))), lambda u: u["rate"]).alias("x"))
     rows = y.select(*own, "comparison", "t", F.transform("_y", lambda c: c["value"]).alias("y"), sizes.alias("blocks")).join(x, [*own, "t"])

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from motorspark.functions import stats as X
+from motorspark.operators import alignment as L
 from motorspark.operators import models as M
 from motorspark.operators import pairing as J
 from motorspark.operators import series as W
@@ -93,3 +94,21 @@ def test_clock_of_a_trial_is_neither_shuffled_nor_sorted(spark):
     assert got["b"] == [(t, 1.0, f) for t, _, f in got["a"]]
     none = made.where("channel = 'n'")
     assert none.count() == 506 and none.where("value IS NOT NULL").count() == 0
+
+
+def test_samples_are_not_copied_for_comparisons(spark, monkeypatch):
+    rates = spark.createDataFrame([(1, 0, 7, float(b), 1.0 * b) for b in range(6)], "session int, trial int, unit_id int, t double, rate double")
+    signals = [(1, 0, s, c, float(b), b * k) for s, c, k in (("joint_angles", "a", 2.0), ("joint_angles", None, 3.0), ("segment_forces", "a", 5.0), ("torques", "a", 7.0), ("other", "a", 9.0)) for b in (0, 2, 5)]
+    s = spark.createDataFrame(signals, "session int, trial int, signal string, channel string, t double, value double")
+    ordered, interpolate = [], W.interpolate
+
+    def counted(grid, samples, *args, **kwargs):
+        ordered.append(samples.count())
+        return interpolate(grid, samples, *args, **kwargs)
+
+    monkeypatch.setattr(W, "interpolate", counted)
+    pair = {"twice": (("joint_angles", "joint_angles"), "active_movement")}
+    got = {(r["comparison"], r["bin"]): (r["y"], r["blocks"]) for r in L.comparison_designs(rates, s, L.COMPARISONS | pair).collect()}
+    assert ordered == [12]  # four channels of three samples; before, each once a comparison and block
+    blocks = {"joint_angles": ([3.0, 2.0], [2]), "joint_angles_segment_forces": ([3.0, 2.0, 5.0], [2, 1]), "joint_angles_torques": ([3.0, 2.0, 7.0], [2, 1]), "twice": ([3.0, 2.0, 3.0, 2.0], [2, 2])}
+    assert got == {(c, float(b)): ([b * k for k in y], n) for c, (y, n) in blocks.items() for b in range(6)}
