@@ -42,6 +42,8 @@ METHODS = ("rrr", "cca", "dsa")
 KEYS = ("session", "comparison")
 #: Bins in a piece; draws that one task makes one after the other.
 PIECE, DRAWS = 8192, 25
+#: Numbers that a task permutes in all its draws, as long as one draw is less.
+PERMUTED = 1 << 22
 
 
 def comparison_designs(rates: DataFrame, signals: DataFrame, comparisons: dict[str, tuple[Sequence[str], str]] = COMPARISONS, timepoints: DataFrame | None = None, keys: Sequence[str] = ("session",), trial: str = "trial") -> DataFrame:
@@ -202,24 +204,28 @@ def cca_components(packed: DataFrame, sums: DataFrame, keys: Sequence[str] = KEY
     Rows are paired anew within their held-out fold, ``permutations`` times.
     The threshold is the percentile of the absolute mean correlations over
     permutations and components. A task gets the variates of one fold (two
-    numbers a row and component), never the channels.
+    numbers a row and component), never the channels. A design's draws are
+    dealt by its size, so that many small designs are no more groups than
+    they have folds; a draw doesn't depend on the task that makes it.
     """
 
     def fit(pdf: pd.DataFrame) -> list[dict]:
         g, p, blocks = _folds(pdf)
+        most = float(g[:, 0, 0].max())
         by, p, _ = S.preparation(g, p, blocks, **preparation)
         g = S.prepared(g, by)
         folds = S.cca_folds(g, p, alpha_x, alpha_y, components)
         inside = S.cca_fit(g.sum(0), p, alpha_x, alpha_y, components)[0]
         number = sorted(pdf["fold"])
         k = len(inside)
+        lanes = max(1, min(permutations, int(np.ceil(most * k * permutations / PERMUTED))))
         # Weights on the raw columns; constants don't matter to a correlation.
         width = int(pdf["p"].iloc[0])
         raw = [(by[1 : 1 + width, 1 : 1 + p] @ a, by[1 + width :, 1 + p :] @ b) for a, b, _ in folds]
-        return [{"fold": int(f), "k": k, "a": a.tobytes(), "b": b.tobytes(), "held": [_null(v) for v in r], "inside": inside.tolist()} for f, (a, b), (_, _, r) in zip(number, raw, folds, strict=True)]
+        return [{"fold": int(f), "k": k, "lanes": lanes, "a": a.tobytes(), "b": b.tobytes(), "held": [_null(v) for v in r], "inside": inside.tolist()} for f, (a, b), (_, _, r) in zip(number, raw, folds, strict=True)]
 
-    fits = stored(per_group(sums, keys, fit, "fold int, k int, a binary, b binary, held array<double>, inside array<double>"), "cca-folds")
-    weights = fits.groupBy(*keys).agg(F.collect_list(F.struct("fold", "k", "a", "b")).alias("fits"))
+    fits = stored(per_group(sums, keys, fit, "fold int, k int, lanes int, a binary, b binary, held array<double>, inside array<double>"), "cca-folds")
+    weights = fits.groupBy(*keys).agg(F.collect_list(F.struct("fold", "k", "lanes", "a", "b")).alias("fits"))
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -229,28 +235,32 @@ def cca_components(packed: DataFrame, sums: DataFrame, keys: Sequence[str] = KEY
                     at = fold == f["fold"]
                     if at.any():
                         a, b = (np.frombuffer(f[c]).reshape(-1, f["k"]) for c in "ab")
-                        yield pd.DataFrame([{k: r[k] for k in keys} | {"piece": r["piece"], "fold": f["fold"], "k": f["k"], "u": (a.T @ x[at].T).tobytes(), "v": (b.T @ y[at].T).tobytes()}])
+                        yield pd.DataFrame([{k: r[k] for k in keys} | {"piece": r["piece"], "fold": f["fold"], "k": f["k"], "lanes": f["lanes"], "u": (a.T @ x[at].T).tobytes(), "v": (b.T @ y[at].T).tobytes()}])
 
-    variates = packed.join(weights, list(keys)).mapInPandas(project, f"{_keys_ddl(packed, keys)}, piece long, fold int, k int, u binary, v binary")
-    blocks = -(-permutations // DRAWS)
-    lanes = variates.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    variates = packed.join(weights, list(keys)).mapInPandas(project, f"{_keys_ddl(packed, keys)}, piece long, fold int, k int, lanes int, u binary, v binary")
+    lanes = variates.withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
 
     def permute(pdf: pd.DataFrame) -> list[dict]:
         pdf = pdf.sort_values("piece")
-        k, lane, fold = int(pdf["k"].iloc[0]), int(pdf["lane"].iloc[0]), int(pdf["fold"].iloc[0])
+        k, n, lane, fold = (int(pdf[c].iloc[0]) for c in ("k", "lanes", "lane", "fold"))
         u, v = (np.concatenate([np.frombuffer(b).reshape(k, -1) for b in pdf[c]], 1) for c in "uv")
         u, v = ((z - z.mean(1, keepdims=True)) for z in (u, v))
         norm = np.sqrt((u * u).sum(1) * (v * v).sum(1))
         out = []
-        for draw in range(lane * DRAWS, min((lane + 1) * DRAWS, permutations)):
+        for draw in range(lane * permutations // n, (lane + 1) * permutations // n):
             mixed = np.random.default_rng(seed_of(seed, draw, fold)).permutation(v.shape[1])
             with np.errstate(divide="ignore", invalid="ignore"):
                 r = np.where(norm > 1e-12, (u * v[:, mixed]).sum(1) / norm, np.nan)
-            out += [{"draw": draw, "component": j, "r": _null(c)} for j, c in enumerate(r)]
-        return out
-
-    chance = per_group(lanes, [*keys, "fold", "lane"], permute, "draw int, component int, r double")
-    chance = chance.groupBy(*keys, "draw", "component").agg(F.abs(F.avg("r")).alias("_r")).groupBy(*keys).agg(F.percentile("_r", F.lit(percentile / 100)).alias("threshold"))
+            out += map(_null, r)
+        return [{"r": out}]
+
+    # A row holds all draws and components of a fold and lane; folds meet by their places in it.
+    chance = per_group(lanes, [*keys, "fold", "lane"], permute, "r array<double>")
+    chance = chance.groupBy(*keys, "lane").agg(F.array_sort(F.collect_list(F.struct("fold", "r"))).alias("_f"))
+    at = lambda i: F.filter(F.transform("_f", lambda f: F.get(f["r"], i)), lambda v: v.isNotNull())
+    mean = lambda i: F.abs(F.try_divide(F.aggregate(at(i), F.lit(0.0), lambda a, v: a + v), F.size(at(i))))
+    chance = chance.select(*keys, F.explode(F.transform(F.get("_f", F.lit(0))["r"], lambda _, i: mean(i))).alias("_r"))
+    chance = chance.groupBy(*keys).agg(F.percentile("_r", F.lit(percentile / 100)).alias("threshold"))
     each = fits.select(*keys, "fold", F.posexplode(F.arrays_zip("held", "inside")).alias("component", "_c"))
     found = each.groupBy(*keys, "component").agg(F.first("_c.inside").alias("correlation"), F.avg("_c.held").alias("cv_correlation"))
     return found.join(chance, list(keys), "left").withColumn("significant", F.coalesce(F.abs("cv_correlation") > F.col("threshold"), F.lit(False)))

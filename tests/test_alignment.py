@@ -162,6 +162,23 @@ def test_canonical_correlations_and_loadings(packed, gathered):
             assert np.abs(np.array(got) - want).max() < 1e-6
 
 
+def test_permutations_are_dealt_by_the_size_of_a_design(packed, monkeypatch):
+    sums = stored(A.moments(packed), "test-moments")
+    groups, per_group = [], A.per_group
+
+    def counted(df, keys, *args):
+        groups.extend([df.select(*keys).distinct().count()] if "lane" in keys else [])
+        return per_group(df, keys, *args)
+
+    monkeypatch.setattr(A, "per_group", counted)
+    few = {tuple(r[c] for c in (*A.KEYS, "component")): r for r in A.cca_components(packed, sums, permutations=60).collect()}
+    assert groups == [4 * 5]  # designs and folds; before, these for every 25 draws
+    monkeypatch.setattr(A, "PERMUTED", 1000)
+    many = {tuple(r[c] for c in (*A.KEYS, "component")): r for r in A.cca_components(packed, sums, permutations=60).collect()}
+    assert groups[1] > 100 and set(few) == set(many)
+    assert all(few[k]["threshold"] == pytest.approx(many[k]["threshold"], abs=1e-12) and few[k]["significant"] == many[k]["significant"] for k in few)
+
+
 def test_noise_is_significant_by_chance_only_and_a_planted_pair_always(spark):
     g = np.random.default_rng(3)
     rows = []
