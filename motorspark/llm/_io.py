@@ -83,6 +83,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is made by a shuffle, whatever its size.
+
+    Spark sizes a stored table by its compressed bytes, an array as one
+    element, and leaves out what explode and Python functions multiply. By that
+    it may broadcast a table that the driver can't hold.
+    """
+    return df.hint("merge")
+
+
 #: A key with more than this part of all rows is hot.
 HOT = 1000
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import pickle
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from motorspark.llm._io import written
+from motorspark.llm._io import shuffled, small_batches, written
 
 #: Pivots, taken from a sample of this many vectors by hash; vectors in a block; entries in a page; children in a node; queries in a group.
 PIVOTS, BLOCK, PAGE, FAN, GROUP = 16, 8192, 128, 8, 256
@@ -118,42 +119,56 @@ class MTree:
 
     def search(self, q: np.ndarray, own: int | None, k: int, beat: float = -np.inf) -> list[tuple[int, int]]:
         """The k largest (score, id) with score >= beat, ties to smaller ids, without the id ``own``."""
-        norm, point = int(q @ q), np.append(q.astype(np.float64), 0.0)
+        return self.search_all(q[None], [own], k, [beat])[0]
+
+    def search_all(self, q: np.ndarray, own: Sequence[int | None], k: int, beat: Sequence[float]) -> list[list[tuple[int, int]]]:
+        """``search`` for each row of ``q``. A node is taken once, with those queries whose bound it doesn't lie beyond."""
+        norm, points = (q * q).sum(1), np.concatenate((q.astype(np.float64), np.zeros((len(q), 1))), 1)
         q = q.astype(self.x.dtype)
-        best: list[tuple[int, int]] = []  # (-score, id), sorted
-        limit = self.reach(norm, beat)
-        start = float(distances(self.centers[0], point))
-        heap = [(max(start - self.radius[0], 0.0), 0, start)]
-        self.computed += 1
+        best: list[list[tuple[int, int]]] = [[] for _ in q]  # (-score, id), sorted
+        floor = list(beat)
+        limit = np.array([self.reach(int(n), b) for n, b in zip(norm, beat, strict=True)])
+        start = distances(self.centers[0], points)
+        lower = np.maximum(start - self.radius[0], 0.0)
+        # The least bound, the node, and of its queries their places, bounds and distances to the node's object.
+        heap = [(float(lower.min()), 0, np.arange(len(q)), lower, start)]
+        self.computed += len(q)
         while heap:
-            least, node, d = heapq.heappop(heap)
-            if least > limit:
-                break
+            _, node, asked, lower, d = heapq.heappop(heap)
+            live = lower <= limit[asked]
+            if not live.any():
+                continue
+            asked, d = asked[live], d[live]
             a, b = self.first[node], self.last[node]
             if self.leaf[node]:
-                # Entries lie in the order of their distance to the page's object, so those that the bound leaves are one run.
-                low, high = a + np.searchsorted(self.entry[a:b], (d - limit, d + limit))
-                high = min(b, high + 1)
-                if low >= high:
+                # Entries lie in the order of their distance to the page's object, so those that a bound leaves are one run.
+                low = a + np.searchsorted(self.entry[a:b], d - limit[asked])
+                high = np.minimum(b, a + np.searchsorted(self.entry[a:b], d + limit[asked]) + 1)
+                some = low < high
+                if not some.any():
                     continue
-                self.computed += high - low
-                scores = self.x[low:high] @ q
-                floor = -best[-1][0] if len(best) == k else beat
-                good = np.flatnonzero(scores >= floor)
-                if len(good):
-                    best += [(-int(scores[i]), v) for i in good for v in self.ids[low + i] if v != own]
-                    best = sorted(best)[:k]
-                    if len(best) == k:
-                        limit = min(limit, self.reach(norm, -best[-1][0]))
+                asked, low, high = asked[some], int(low[some].min()), int(high[some].max())
+                self.computed += (high - low) * len(asked)
+                scores = q[asked] @ self.x[low:high].T
+                good = scores >= np.array([floor[i] for i in asked])[:, None]
+                for at in np.flatnonzero(good.any(1)):
+                    i = int(asked[at])
+                    best[i] += [(-int(scores[at, e]), v) for e in np.flatnonzero(good[at]) for v in self.ids[low + e] if v != own[i]]
+                    best[i] = sorted(best[i])[:k]
+                    if len(best[i]) == k:
+                        floor[i] = -best[i][-1][0]
+                        limit[i] = min(limit[i], self.reach(int(norm[i]), floor[i]))
             else:
-                near = a + np.flatnonzero(np.abs(self.parent[a:b] - d) - self.radius[a:b] <= limit)
-                self.computed += len(near)
+                near = np.abs(self.parent[a:b] - d[:, None]) - self.radius[a:b] <= limit[asked][:, None]
+                self.computed += int(near.sum())
                 # All points have the same norm, so a product gives the distance.
-                there = np.sqrt(np.maximum(self.most + norm - 2 * (self.centers[near] @ point), 0.0))
-                lower = np.maximum(there - self.radius[near], 0.0)
-                for i in np.flatnonzero(lower <= limit):
-                    heapq.heappush(heap, (float(lower[i]), int(near[i]), float(there[i])))
-        return [(-s, v) for s, v in best]
+                there = np.sqrt(np.maximum(self.most + norm[asked][:, None] - 2 * (points[asked] @ self.centers[a:b].T), 0.0))
+                lower = np.maximum(there - self.radius[a:b], 0.0)
+                near &= lower <= limit[asked][:, None]
+                for c in np.flatnonzero(near.any(0)):
+                    some = near[:, c]
+                    heapq.heappush(heap, (float(lower[some, c].min()), int(a + c), asked[some], lower[some, c], there[some, c]))
+        return [[(-s, v) for s, v in x] for x in best]
 
 
 def _finite(vectors: DataFrame) -> DataFrame:
@@ -226,7 +241,7 @@ def _with_large(rows: DataFrame, k: int, every: int, scale: float) -> DataFrame:
         copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         a = left.groupBy("n", deal(many, "query_id", "mark").alias("_g")).agg(F.collect_list(F.struct("query_id", "mark", "q")).alias("qs")).withColumn("_h", copies(others))
         b = right.groupBy("n", deal(others, "vec_id", "mark").alias("_h")).agg(F.collect_list(F.struct("vec_id", "x")).alias("vs")).withColumn("_g", copies(many))
-        part = a.join(b, ["n", "_g", "_h"]).select("qs", "vs").mapInArrow(products, schema)
+        part = a.join(shuffled(b), ["n", "_g", "_h"]).select("qs", "vs").mapInArrow(products, schema)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -248,6 +263,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
     structure it grows with queries times vectors, as brute force does.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     every_row = _finite(vectors)
     counted = every_row.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").limit(LENGTHS)
     lengths = sorted(r["n"] for r in counted.collect())
@@ -258,7 +274,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
         marks = F.when(F.col("large"), F.xxhash64("x")).otherwise(F.xxhash64(F.transform("x", lambda e: F.floor(e * scale))))
         extra = _with_large(every_row, k, every, scale)
         named = every_row.select(F.col("vec_id").alias("query_id"), F.xxhash64("x").alias("mark"), marks.alias("_mark")).distinct()
-        extra = extra.join(named, ["query_id", "mark"]).select("query_id", F.col("_mark").alias("mark"), "vec_id", "score").distinct()
+        extra = extra.join(shuffled(named), ["query_id", "mark"]).select("query_id", F.col("_mark").alias("mark"), "vec_id", "score").distinct()
     else:
         extra = None
     parts = [_one_length(rows.where(F.size("v") == n), k, every) for n in lengths]
@@ -318,17 +334,23 @@ def _one_length(rows: DataFrame, k: int, every: int) -> DataFrame | None:
         F.col("ids")[0].alias("query_id"), "v", "cell", F.xxhash64("v").alias("mark")
     ).withColumn("block", block)
     queries = written(placed, "topk-queries")
-    total = queries.count()
-    deal = F.pmod(F.xxhash64("query_id", "mark"), F.lit(max(1, -(-total // GROUP)))).cast("int")
+    # Groups are dealt within their cell, so that none is small for its cell's share: each takes a copy of every tree it meets.
+    many = {r["cell"]: -(-r["n"] // GROUP) for r in queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not many:
+        return None
+    groups_of = F.element_at(F.create_map(*[F.lit(i) for cn in many.items() for i in cn]), F.col("cell"))
+    deal = F.pmod(F.xxhash64("query_id", "mark"), groups_of).cast("int")
 
     def look(batches):
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
             for blob, asked_now in zip(batch.column("tree"), batch.column("q"), strict=True):
                 tree = pickle.loads(blob.as_py())
-                for q in asked_now.as_py():
-                    beat = -np.inf if q["beat"] is None else q["beat"]
-                    for score, v in tree.search(np.array(q["v"], np.int64), q["query_id"], k, beat):
+                asked = asked_now.as_py()
+                beats = [-np.inf if q["beat"] is None else q["beat"] for q in asked]
+                found = tree.search_all(np.array([q["v"] for q in asked], np.int64).reshape(len(asked), -1), [q["query_id"] for q in asked], k, beats)
+                for q, best in zip(asked, found, strict=True):
+                    for score, v in best:
                         for column, value in zip(out, (q["query_id"], q["mark"], v, score), strict=True):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query_id", "mark", "vec_id", "score"])
@@ -337,36 +359,32 @@ def _one_length(rows: DataFrame, k: int, every: int) -> DataFrame | None:
     one = F.struct("query_id", "mark", "v", "beat")
     home = (
         queries.withColumn("beat", F.lit(None).cast("long")).groupBy("cell", "block", deal.alias("g")).agg(F.collect_list(one).alias("q"))
-        .join(trees, ["cell", "block"]).select("q", "tree").mapInArrow(look, found)
+        .join(shuffled(trees), ["cell", "block"]).select("q", "tree").mapInArrow(look, found)
     )
     first = written(home.groupBy("query_id", "mark").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")), "topk-first")
-    beats = queries.join(first, ["query_id", "mark"], "left").withColumn("beat", F.when(F.col("n") >= k, F.col("least")))
+    beats = queries.join(shuffled(first), ["query_id", "mark"], "left").withColumn("beat", F.when(F.col("n") >= k, F.col("least")))
     far = {c: f for c, (_, f) in sizes.items()}
 
     def spread(batches):
         points, _, most = shared.value
         for batch in batches:
-            groups, cell_of, block_of = [], [], []
-            for q in batch.column("q").to_pylist():
+            for group in batch.column("q"):
+                q = group.as_py()
                 x = np.array([a["v"] for a in q], np.int64).reshape(len(q), -1)
                 own = np.concatenate((x.astype(np.float64), np.zeros((len(q), 1))), 1)
                 beat = np.array([-np.inf if a["beat"] is None else a["beat"] for a in q], np.float64)
                 with np.errstate(invalid="ignore"):
                     reach = np.where(np.isinf(beat), np.inf, np.sqrt(np.maximum((x * x).sum(1) + most - 2 * beat, 0)) * (1 + 1e-9) + SLACK * np.sqrt(most))
-                for c, radius in far.items():
-                    live = distances(own, points[c]) - radius <= reach
-                    if live.any():
-                        chosen = [a for a, yes in zip(q, live, strict=True) if yes]
-                        for b in range(salts[c]):
-                            groups.append(chosen)
-                            cell_of.append(c)
-                            block_of.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(groups, batch.schema.field("q").type), pa.array(cell_of, pa.int32()), pa.array(block_of, pa.int32())], names=["q", "cell", "block"])
+                live = {c: distances(own, points[c]) - radius <= reach for c, radius in far.items()}
+                cells = [c for c, yes in live.items() if yes.any()]
+                chosen = [[a for a, yes in zip(q, live[c], strict=True) if yes] for c in cells]
+                yield pa.RecordBatch.from_arrays([pa.array(chosen, batch.schema.field("q").type), pa.array(cells, pa.int32())], names=["q", "cell"])
 
     groups = beats.groupBy("cell", deal.alias("g")).agg(F.collect_list(one).alias("q")).select("q")
     kind = "array<struct<query_id:long,mark:long,v:array<long>,beat:long>>"
-    sent = groups.mapInArrow(spread, f"q {kind}, cell int, block int")
-    return sent.join(trees, ["cell", "block"]).select("q", "tree").mapInArrow(look, found)
+    # Copies for the blocks of a cell are made row by row, so that no batch holds a group once a block.
+    sent = groups.mapInArrow(spread, f"q {kind}, cell int").withColumn("block", F.explode(F.sequence(F.lit(0), salt_of - 1)))
+    return sent.join(shuffled(trees), ["cell", "block"]).select("q", "tree").mapInArrow(look, found)
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
