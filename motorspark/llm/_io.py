@@ -107,7 +107,7 @@ def join_counted(rows: DataFrame, right: DataFrame, keys: list[str], n: str) ->
     added = [c for c in right.columns if c not in (*keys, n)]
     hot = F.broadcast(right.where(F.col(n) * HOT > rows.count()).drop(n).withColumn("_hot", F.lit(True)))
     met = rows.join(hot, keys, "left")
-    rest = met.where("_hot IS NULL").drop("_hot", *added).join(right.drop(n), keys)
+    rest = met.where("_hot IS NULL").drop("_hot", *added).join(shuffled(right.drop(n)), keys)
     return met.where("_hot").drop("_hot").unionByName(rest)
 
 

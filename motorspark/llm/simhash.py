@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorspark.llm._io import documents, join_counted, small_batches, written
+from motorspark.llm._io import documents, join_counted, shuffled, small_batches, written
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -107,7 +107,7 @@ def links(fps: DataFrame) -> DataFrame:
     coarse = _cells(fps, fine=False)
     # Cells of one fingerprint only don't matter; most are such.
     met = coarse.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("one")).where("n > 1").select("cell", "n")
-    inside = written(coarse.join(met, "cell"), "simhash-cells")
+    inside = written(coarse.join(shuffled(met), "cell"), "simhash-cells")
     crowd = inside.where(F.col("n") <= CROWDED)
     packed = crowd.groupBy("cell").agg(F.collect_list("fp").alias("fps"))
 
@@ -142,10 +142,10 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # Large star: the larger neighbours of u go to the least of u's surroundings.
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(shuffled(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: the smaller neighbours of u, and u, go to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(shuffled(low), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"components-{step}")
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
@@ -170,13 +170,13 @@ def named(prints: DataFrame, edges: DataFrame) -> DataFrame:
     """``prints`` (doc_id, fp) with the ``component_id`` that the ``edges`` (a, b) between fingerprints give."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     found = components(edges)
-    rooted = found.join(distinct, found["node"] == distinct["fp"]).select("node", "root", "first")
+    rooted = found.join(shuffled(distinct), found["node"] == distinct["fp"]).select("node", "root", "first")
     roots = found.select("root").distinct()
-    rooted = rooted.unionByName(roots.join(distinct, roots["root"] == distinct["fp"]).select(F.col("root").alias("node"), "root", "first"))
+    rooted = rooted.unionByName(roots.join(shuffled(distinct), roots["root"] == distinct["fp"]).select(F.col("root").alias("node"), "root", "first"))
     rooted = written(rooted, "simhash-rooted")
     least = written(rooted.groupBy("root").agg(F.min("first").alias("linked"), F.count(F.lit(1)).alias("n")), "simhash-roots")
     named = join_counted(rooted, least, ["root"], "n").select(F.col("node").alias("fp"), "linked")
-    whole = written(distinct.join(named, "fp", "left").select("fp", F.coalesce("linked", "first").alias("component_id"), "n"), "simhash-components")
+    whole = written(distinct.join(shuffled(named), "fp", "left").select("fp", F.coalesce("linked", "first").alias("component_id"), "n"), "simhash-components")
     return join_counted(prints, whole, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
