@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motorspark.llm import simhash
-from motorspark.llm._io import join_counted, small_batches, written
+from motorspark.llm._io import join_counted, shuffled, small_batches, written
 
 #: Words in a shingle; similarity in percent from which two texts are linked.
 SHINGLE, PERCENT = 5, 80
@@ -139,7 +139,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, size: int,
     only those are moved. Should two sets have one id, each is compared.
     """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    one = sketches.join(ids, "id", "left_semi").groupBy("id", "id2").agg(F.min(F.struct("doc_id", "mark")).alias("one"))
+    one = sketches.join(shuffled(ids), "id", "left_semi").groupBy("id", "id2").agg(F.min(F.struct("doc_id", "mark")).alias("one"))
     one = one.select(F.col("one.doc_id").alias("_doc"), F.col("one.mark").alias("_mark"))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     texts = rows.join(one, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left_semi")
@@ -161,7 +161,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, size: int,
             good = [similar(np.frombuffer(p.as_py(), np.int64), np.frombuffer(q.as_py(), np.int64), percent) for p, q in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    return pairs.join(shuffled(first), "a").join(shuffled(second), "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -205,7 +205,7 @@ def _in_blocks(open_: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     major = written(sizes.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("members_")), "jaccard-major")
     rows = join_counted(open_.drop("members"), major.withColumn("total", F.col("members_")), ["token"], "members_")
     shared = open_.groupBy("id").agg(F.collect_set("token").alias("tokens"))
-    rows = rows.join(known.select("id", "bits"), "id").join(shared, "id")
+    rows = rows.join(shuffled(known.select("id", "bits")), "id").join(shuffled(shared), "id")
     # A set of very many shingles takes a block with fewer others.
     per = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / (F.size("bits") * 8))))
     rows = rows.select("token", (F.col("label") != F.col("major")).alias("other"), F.pmod(F.xxhash64("id"), F.ceil(F.col("total") / per)).alias("block"), per.alias("per"), F.struct("id", "n", "label", "bits", "tokens").alias("row"))
@@ -227,7 +227,7 @@ def _in_blocks(open_: DataFrame, known: DataFrame, percent: int) -> DataFrame:
                             right.append(np.maximum(ia[i], ib[j])[own])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
-    return whole.join(part, "token").select("token", "x", "y").mapInArrow(compare, "a long, b long").distinct()
+    return whole.join(shuffled(part), "token").select("token", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -242,7 +242,7 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     # A node of the graph is a fingerprint; a set's node is its smallest, and its others are linked to that.
     held = sketches.where("n > 0").select("id", "fp").distinct()
     nodes = written(held.groupBy("id").agg(F.min("fp").alias("node")), "jaccard-nodes")
-    equal = held.join(nodes, "id").where("fp <> node").select(F.col("node").alias("a"), F.col("fp").alias("b"))
+    equal = held.join(shuffled(nodes), "id").where("fp <> node").select(F.col("node").alias("a"), F.col("fp").alias("b"))
     edges = near.unionByName(equal)
 
     sets = sketches.where("n > 0").dropDuplicates(["id", "id2"])
@@ -258,7 +258,7 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
         short = lambda x, y: F.when(F.size(x) > F.size(y), fold(x)).otherwise(F.col(x))
         apart = F.aggregate(F.zip_with(short("xa", "xb"), short("xb", "xa"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, e: t + e)
         near = apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
-        return pairs.where(sizes).distinct().join(x, "a").join(y, "b").where(near).select("a", "b").distinct()
+        return pairs.where(sizes).distinct().join(shuffled(x), "a").join(shuffled(y), "b").where(near).select("a", "b").distinct()
 
     group = Window.partitionBy("token")
     own = F.struct("id", "n")
@@ -267,7 +267,7 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
 
     def as_edges(pairs: DataFrame) -> DataFrame:
         a, b = nodes.select(F.col("id").alias("a"), F.col("node").alias("u")), nodes.select(F.col("id").alias("b"), F.col("node").alias("v"))
-        return pairs.join(a, "a").join(b, "b").where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b"))
+        return pairs.join(shuffled(a), "a").join(shuffled(b), "b").where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b"))
 
     first = met.select(F.col("lo.id").alias("a"), F.col("id").alias("b"), F.col("lo.n").alias("na"), F.col("n").alias("nb"))
     last = met.select(F.col("id").alias("a"), F.col("hi.id").alias("b"), F.col("n").alias("na"), F.col("hi.n").alias("nb"))
@@ -277,15 +277,15 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
 
     # What is connected already needn't be compared.
     roots = simhash.components(edges)
-    label = nodes.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("label"))
-    open_ = met.select("token", "id", "n").join(label, "id")
+    label = nodes.join(shuffled(roots), "node", "left").select("id", F.coalesce("root", "node").alias("label"))
+    open_ = met.select("token", "id", "n").join(shuffled(label), "id")
     mixed = open_.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi")
-    open_ = written(open_.join(mixed.select("token", "members"), "token"), "jaccard-open")
+    open_ = written(open_.join(shuffled(mixed.select("token", "members")), "token"), "jaccard-open")
     few = open_.where(F.col("members") <= SMALL)
     x = few.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     y = few.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    pairs = x.join(y, (x["token"] == y["token"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sizes)
+    pairs = x.join(shuffled(y), (x["token"] == y["token"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sizes)
     pairs = plausible(pairs.select("a", "b", "na", "nb")).unionByName(_in_blocks(open_.where(F.col("members") > SMALL), known, percent))
-    pairs = written(pairs.distinct().join(spokes, ["a", "b"], "left_anti"), "jaccard-pairs")
+    pairs = written(pairs.distinct().join(shuffled(spokes), ["a", "b"], "left_anti"), "jaccard-pairs")
     edges = edges.unionByName(as_edges(_verified(pairs, docs, sketches, size, percent)))
     return simhash.named(prints, edges)
