@@ -134,15 +134,16 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large and small stars (Kiveris et al., 2014) until nothing
     changes; the number of rounds grows with the logarithm of the size. Each
     round's edges are a table in the shared folder. Stars with very many rays
-    meet in joins and sums with partial aggregation only, never in one group.
+    meet in sums with partial aggregation, and their least node is broadcast,
+    never in one group.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "components-0")
     step, before = 1, None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
         # Large star: the larger neighbours of u go to the least of u's surroundings.
-        large = both.where("v > u").join(shuffled(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_counted(both.where("v > u"), least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: the smaller neighbours of u, and u, go to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(shuffled(low), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
