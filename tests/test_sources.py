@@ -71,3 +71,22 @@ def test_status_from_the_times_of_real_files(spark, tmp_path):
     assert got == {("s1", 1): "COR", ("s1", 2): "POS", ("s1", 3): "ZER", ("s2", 1): "NEG", ("s2", 2): "NEG"}
     counts = {r["session"]: (r["neg"], r["zer"], r["pos"], r["cor"], r["n"]) for r in A.processing_status(manifest).collect()}
     assert counts == {"s1": (0, 1, 1, 1, 3), "s2": (2, 0, 0, 0, 2)}
+
+
+def test_many_timed_files_are_written_and_listed_by_few_tasks(spark, tmp_path):
+    rows = [(i, c, t / 10, float(i + t)) for i in range(60) for c in ("x", "y") for t in range(3)]
+    samples = spark.createDataFrame(rows, "session long, channel string, t double, value double")
+    path = f"file://{tmp_path}/timed"
+    S.write_timed_csv(samples, path, ["x", "y"], ("session",))
+    assert len(list(tmp_path.glob("timed/session=*/*.csv"))) == 60 and not list(tmp_path.glob("timed/session=*/.*.crc"))
+    before, context = spark.conf.get(S.LISTING), spark.sparkContext
+    context.setJobGroup("timed-files", "")
+    try:
+        found = S.read_timed_csv(spark, f"{path}/session=*")
+        jobs = [context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup("timed-files")]
+        tasks = [context.statusTracker().getStageInfo(k).numTasks for j in jobs for k in j.stageIds]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks and max(tasks) <= 16 and spark.conf.get(S.LISTING) == before
+    got = sorted((int(r["file"].split("session=")[1].split("/")[0]), r["channel"], r["t"], r["value"]) for r in found.collect())
+    assert got == sorted(rows)
